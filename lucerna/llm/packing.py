@@ -28,7 +28,7 @@ CAPACITY, END = 1024, 2
 #: Search nodes of the packer; each also tries a best-fit completion.
 NODES = 160
 #: Rows of one length are ranked in so many groups at least, and in groups of about so many rows.
-BUCKETS, BUCKET_ROWS = 1024, 50_000
+BUCKETS, BUCKET_ROWS = 256, 50_000
 
 
 @cache
