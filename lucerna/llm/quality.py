@@ -132,12 +132,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, passes: int
     return {"mean": mean, "scale": scale, **w}
 
 
-def feature_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+def feature_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, x): the features of every row's text."""
+
     def run(batches):
-        for b in sliced(batches, 0):
-            yield pa.RecordBatch.from_arrays([pa.array([features(t).tolist() for t in raw(b.column(0))], pa.list_(pa.float64()))], ["x"])
+        for b in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t).tolist() for t in raw(b.column(1))], pa.list_(pa.float64()))], ["id", "x"])
 
-    return df.select(F.col(text_col)).mapInArrow(run, "x array<double>")
+    return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> dict:
@@ -150,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def gather(ids: DataFrame) -> np.ndarray:
         """Features of the documents of the ids with the smallest hashes; at most `sample` ids."""
         few = ids.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
-        rows = docs.select(id_col, text_col).join(F.broadcast(few), id_col, "left_semi")
-        got = feature_rows(rows.limit(2 * sample), text_col).toArrow().column("x")  # a repeated id brings more rows
+        rows = feature_rows(docs.select(id_col, text_col).join(F.broadcast(few), id_col, "left_semi"), id_col, text_col)
+        got = rows.groupBy("id").agg(F.min("x").alias("x")).orderBy("id").toArrow().column("x")  # a repeated id is one row
         return np.array(got.to_pylist(), np.float64).reshape(-1, WIDTH)
 
     positive = gather(known.where(F.col(label_col) == 1))
