@@ -47,8 +47,12 @@ def closest_choice(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> I
     def one(answer, texts, labels):
         if answer is None or texts is None:
             return None
-        likeness = [(SequenceMatcher(None, answer.lower(), t.lower()).ratio(), -k) for k, (t, _) in enumerate(zip(texts, labels)) if t is not None]
-        best, k = max(likeness, default=(0.0, 0))
+        found = []
+        for k, (text, _) in enumerate(zip(texts, labels)):
+            m = SequenceMatcher(None, answer.lower(), (text or "").lower())
+            if m.real_quick_ratio() >= V.FUZZY_SHARE and m.quick_ratio() >= V.FUZZY_SHARE:  # bounds from above
+                found.append((m.ratio(), -k))
+        best, k = max(found, default=(0.0, 0))
         return labels[-k].upper() if best >= V.FUZZY_SHARE else None
 
     for answers, texts, labels in parts:
