@@ -29,7 +29,7 @@ from .common import list_column, raw, short_batches, sliced, spool
 
 WINDOW, SHINGLE = 13, 5
 #: Words of benchmark text in one broadcast block.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 #: Bytes that are not digits, a-z or part of a non-ASCII character separate words.
 SEPARATE = bytes(x if x >= 0x80 or 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
 EDGE = b"\xff"  # never part of UTF-8

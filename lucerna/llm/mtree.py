@@ -12,7 +12,8 @@ skipped alike by their stored distances. Scores are integer products, so pruning
 margin for rounding of the bounds. Equal scores go to the smaller vec_id, so a page whose bound equals the k-th
 score is still opened unless all its ids are larger.
 
-Queries are a stated set: they are taken in blocks of `BLOCK` vectors, each broadcast against all trees.
+Queries are a stated set: they are taken in blocks of `BLOCK` vectors (fewer if they are long), each broadcast against
+all trees.
 
 Defined results: vectors that are null, of another length than the first, or hold null or non-finite
 components take no part, nor do null ids; a query's own id is no candidate, also where rows repeat it; of several
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import spool
 
 K, SCALE = 10, 1024
-#: Vectors in a tree, entries in a page, queries in a block.
-TREE_ROWS, PAGE, BLOCK = 16_384, 64, 2_048
+#: Vectors in a tree, entries in a page; queries in a block, and components of its queries, at most.
+TREE_ROWS, PAGE, BLOCK, BLOCK_VALUES = 16_384, 64, 16_384, 4_000_000
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -200,6 +201,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, block: int = BLOCK
 
     spark = vectors.sparkSession
     trees, dim, top = index(vectors, tree_rows)
+    block = max(1, min(block, BLOCK_VALUES // max(1, dim)))
     asked = queries.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = spool(asked.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "vec_id").sortWithinPartitions("vec_id"), "queries")
 
