@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,23 +20,25 @@ def choice_labels(choices: Column) -> Column:
     return F.when(F.size(choices["label"]) < n, made).otherwise(choices["label"])
 
 
-def choice_steps(answer: Column, labels: Column) -> tuple[Column, Column]:
-    """(by pattern, by sole letter): a choice's letter by the four patterns in turn, or null; and the one valid
-    letter that the answer holds anywhere, or null. answer: stripped."""
+def stated_letter(text: Column, labels: Column) -> Column:
+    """A choice's letter by the first of four patterns that names a valid label, or null. text: stripped."""
+    patterns = (
+        rf"(?Ud)\A{S}*\(?([A-Fa-f])\)?{S}*\z",
+        rf"(?Uid)\A{S}*\(?([A-F])\)?[).:\s\x1c-\x1f]+[^\s\x1c-\x1f]",
+        rf"(?Uid)(?:answer|option|choice){S}+(?:is{S}+)?[(\[]?([A-F])[)\]]?\b",
+        rf"(?Ud)\b([A-Fa-f]){S}*\.?{S}*\z",
+    )
+    letters = F.array(*[F.upper(F.regexp_extract(text, p, 1)) for p in patterns])  # '' where a pattern misses
     valid = F.transform(labels, lambda x: F.upper(x))
+    return F.get(F.array_intersect(letters, F.array_remove(valid, "")), F.lit(0))
 
-    def step(pattern: str) -> Column:
-        letter = F.upper(extract(answer, pattern))
-        return F.when(F.array_contains(valid, letter), letter)
 
-    by_pattern = F.coalesce(
-        step(rf"(?Ud)\A{S}*\(?([A-Fa-f])\)?{S}*\z"),
-        step(rf"(?Uid)\A{S}*\(?([A-F])\)?[).:\s\x1c-\x1f]+[^\s\x1c-\x1f]"),
-        step(rf"(?Uid)(?:answer|option|choice){S}+(?:is{S}+)?[(\[]?([A-F])[)\]]?\b"),
-        step(rf"(?Ud)\b([A-Fa-f]){S}*\.?{S}*\z"),
-    )
-    letters = F.array_distinct(F.filter(F.transform(F.split(answer, ""), lambda x: F.upper(x)), lambda x: F.array_contains(valid, x) & (x != "")))
-    return by_pattern, F.when(F.size(letters) == 1, F.get(letters, F.lit(0)))
+def sole_letter(text: Column, labels: Column) -> Column:
+    """The one valid label among the text's characters, in either case, or null if there are none or several."""
+    plain = F.translate(text, "ıſ", "IS")  # the characters whose capitals are another letter's
+    valid = F.filter(F.array_distinct(F.transform(labels, lambda x: F.upper(x))), lambda x: F.length(x) == 1)
+    found = F.filter(valid, lambda x: F.contains(plain, x) | F.contains(plain, F.lower(x)))
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 @F.pandas_udf(T.StringType())
@@ -59,18 +61,6 @@ def closest_choice(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> I
         yield pd.Series([one(*x) for x in zip(answers, texts, labels)], dtype="object")
 
 
-def choice(answer: Column, choices: Column, fuzzy: bool = True) -> Column:
-    """A choice question's answer as a letter, or null. The likeness step runs in Python; rows that the patterns
-    settle reach it as nulls."""
-    text, labels = strip(answer), choice_labels(choices)
-    by_pattern, sole = choice_steps(text, labels)
-    steps = [by_pattern, sole]
-    if fuzzy:
-        rest = by_pattern.isNull() & (text != "")
-        steps.insert(1, closest_choice(F.when(rest, text), F.when(rest, choices["text"]), F.when(rest, labels)))
-    return F.when(text != "", F.coalesce(*steps))
-
-
 def truth(answer: Column) -> Column:
     """Yes or No, or null."""
     text = F.lower(strip(answer))
@@ -84,18 +74,32 @@ def open_answer(answer: Column) -> Column:
     return F.when(text.endswith("END"), strip(F.substring(text, F.lit(1), F.length(text) - 3))).otherwise(text)
 
 
-def answer(raw: Column, kind: Column, choices: Column, fuzzy: bool = True) -> Column:
-    """The normal form by question type; null for blank answers."""
-    is_choice = kind.isin(V.CHOICE_TYPES) & choices.isNotNull()
-    by_kind = F.when(is_choice, choice(F.when(is_choice, raw), choices, fuzzy)).when(kind == V.TRUTH_TYPE, truth(raw)).otherwise(open_answer(raw))
-    return F.when(strip(raw) != "", by_kind)
+def vote_text(raw: Column) -> Column:
+    """An open answer as it is counted: lower case, no punctuation at the end, single spaces; null if nothing is left."""
+    return blank_to_null(F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), r"(?d)[.!?,;:]+$", ""), rf"(?U){S}+", " "))
+
 
+def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzzy: bool = True, voting: bool = False) -> DataFrame:
+    """Adds the normal form of an answer by question type, null for blank answers; with `voting`, open answers as they are counted.
 
-def vote(raw: Column, kind: Column, choices: Column, fuzzy: bool = True) -> Column:
-    """The form in which answers are counted."""
-    is_choice = kind.isin(V.CHOICE_TYPES) & choices.isNotNull()
-    plain = F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), r"(?d)[.!?,;:]+$", ""), rf"(?U){S}+", " ")
-    return F.when(is_choice, choice(F.when(is_choice, raw), choices, fuzzy)).when(kind == V.TRUTH_TYPE, truth(raw)).otherwise(blank_to_null(plain))
+    Steps are columns of their own, so that no pattern is evaluated twice. The likeness step runs in Python; rows that need it
+    not reach it as nulls.
+    """
+    is_choice = F.col(kind).isin(V.CHOICE_TYPES) & F.col(choices).isNotNull()
+    df = df.withColumn("_n_text", F.nullif(strip(F.col(raw)), F.lit("")))
+    df = df.withColumn("_n_is", F.coalesce(is_choice, F.lit(False))).withColumn("_n_labels", F.when(F.col("_n_is"), choice_labels(F.col(choices))))
+    text, labels = F.when(F.col("_n_is"), F.col("_n_text")), F.col("_n_labels")
+    df = df.withColumn("_n_letter", stated_letter(text, labels))
+    letter = F.col("_n_letter")
+    steps = [letter]
+    if fuzzy:
+        rest = letter.isNull() & text.isNotNull()
+        df = df.withColumn("_n_close", closest_choice(F.when(rest, text), F.when(rest, F.col(choices)["text"]), F.when(rest, labels)))
+        steps.append(F.col("_n_close"))
+    steps.append(F.when(letter.isNull(), sole_letter(text, labels)))
+    open_form = vote_text(F.col("_n_text")) if voting else open_answer(F.col("_n_text"))
+    normal = F.when(F.col("_n_is"), F.coalesce(*steps)).when(F.col(kind) == V.TRUTH_TYPE, truth(F.col("_n_text"))).otherwise(open_form)
+    return df.withColumn(out, normal).drop("_n_text", "_n_is", "_n_labels", "_n_letter", "_n_close")
 
 
 def citations(text: Column, last: int = V.LAST_PASSAGE) -> Column:

@@ -42,9 +42,9 @@ def without_markup(text: Column) -> Column:
 def labelled(text: Column, labels: list[str]) -> Column:
     """array<struct<k, v>> of label and value, in text order; a value ends at the next of these labels."""
     one = any_of(labels)
-    pattern = F.lit(rf"(?Uids)({one}){S}*:{S}*(.*?)(?=(?:{one}){S}*:|\z)")
-    keys, values = F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(F.upper(k).alias("k"), strip(v).alias("v")))
+    keys = F.regexp_extract_all(text, F.lit(rf"(?Uid)({one}){S}*:"), F.lit(1))
+    values = F.split(text, rf"(?Uid)(?:{one}){S}*:{S}*", -1)  # the first part comes before any label
+    return F.transform(keys, lambda k, i: F.struct(F.upper(k).alias("k"), strip(F.get(values, i + 1)).alias("v")))
 
 
 def last_value(pairs: Column, label: str) -> Column:
@@ -96,7 +96,7 @@ def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy",
     df = df.withColumn("_found", blank_to_null(field["ANSWER"]))
     df = df.withColumn("_fallback", F.when(F.col("_there") & F.col("_found").isNull() & ~F.col("_refusal"), first_line(F.col("_text"))))
     df = df.withColumn("_answer", F.coalesce("_found", "_fallback"))
-    df = df.withColumn("_normal", normalise.answer(F.col("_answer"), F.col(kind), F.col(choices), fuzzy))
+    df = normalise.with_normal(df, "_answer", kind, choices, "_normal", fuzzy)
     found, refusal, normal, reply = F.col("_found"), F.col("_refusal"), F.col("_normal"), F.col("_answer")
     error = (
         F.when(~F.col("_there"), "empty_response")

@@ -29,10 +29,6 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(c, pattern, group))
 
 
-def first_of(*columns: Column) -> Column:
-    return F.coalesce(*columns)
-
-
 def replaced(c: Column, pairs: list[tuple[str, Column]]) -> Column:
     """Literal replacements, one after the other."""
     return reduce(lambda x, p: F.replace(x, F.lit(p[0]), p[1]), pairs, c)

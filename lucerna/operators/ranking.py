@@ -40,7 +40,7 @@ def sample(df: DataFrame, id_col: str, stratum: str, size: int, seed: int) -> Da
     """Rows of exactly `size`, spread over the strata by quota, with `n`, `quota` and `rank`; rank <= quota."""
     keyed = ranked(df.withColumn("_k", shuffled_key(seed, id_col)), [stratum], "_k", id_col)
     share = quotas(df, stratum, size).withColumnRenamed(stratum, "_s")
-    return keyed.join(F.broadcast(share), F.col(stratum).eqNullSafe(F.col("_s"))).where("rank <= quota").drop("_k", "_s")
+    return keyed.join(share, F.col(stratum).eqNullSafe(F.col("_s"))).where("rank <= quota").drop("_k", "_s")
 
 
 def split(df: DataFrame, id_col: str, stratum: str, sizes: dict[str, int], rest: str, seed: int = 42, at_least: int = 2) -> DataFrame:

@@ -16,7 +16,7 @@ def votes(samples: DataFrame, kind: str = "type", choices: str = "choices", fuzz
     """Adds `valid` (parsed and no refusal) and `vote`, null for samples that don't count."""
     valid = F.col("parse_success") & ~F.col("refusal")
     text = F.when(valid, F.coalesce(blank_to_null(F.col("answer_normalized")), F.col("answer")))
-    return samples.withColumn("valid", valid).withColumn("vote", normalise.vote(text, F.col(kind), F.col(choices), fuzzy))
+    return normalise.with_normal(samples.withColumn("valid", valid).withColumn("_counted", text), "_counted", kind, choices, "vote", fuzzy, voting=True).drop("_counted")
 
 
 def majority(voted: DataFrame, keys: list[str], min_valid: int = V.QUORUM) -> DataFrame:

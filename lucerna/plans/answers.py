@@ -83,7 +83,7 @@ SELECT question_id, CASE WHEN list_contains(valid, s1) THEN s1 WHEN list_contain
 def mc_native(spark, sf_dir):
     rows = questions(spark, sf_dir).where(F.col("type").isin(V.CHOICE_TYPES))
     answer = framed(F.col("details.task"), F.pmod("doc_id", F.lit(len(CHOICE_ANSWERS))), CHOICE_ANSWERS)
-    return rows.select("question_id", normalise.choice(answer, F.col("choices"), fuzzy=False).alias("letter"))
+    return normalise.with_normal(rows.withColumn("raw", answer), "raw", "type", "choices", "letter", fuzzy=False).select("question_id", "letter")
 
 
 @query()
@@ -91,7 +91,7 @@ def mc_fuzzy(spark, sf_dir):
     """The likeness step; its ratio has no SQL form."""
     rows = questions(spark, sf_dir).where(F.col("type").isin(V.CHOICE_TYPES))
     answer = F.concat(F.get("choices.text", F.pmod("doc_id", F.lit(2)).cast("int")), F.lit("!"))
-    return rows.select("question_id", answer.alias("answer"), normalise.choice(answer, F.col("choices")).alias("letter"))
+    return normalise.with_normal(rows.withColumn("raw", answer), "raw", "type", "choices", "letter").select("question_id", F.col("raw").alias("answer"), "letter")
 
 
 TRUTHS = ["Yes", " TRUE ", "Nothing of it", "I think this is wrong", "yesterday", "incorrect.", "maybe", "", "the right one, not false"]

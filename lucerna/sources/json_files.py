@@ -46,6 +46,23 @@ def read_papers(spark: SparkSession, folder: str, glob: str = "*.json") -> DataF
     return text.select(split.alias("split"), F.explode(F.from_json("value", PAPERS)).alias("paper_id", "paper"))
 
 
+def stage_archive(archive: str, folder: str, word: str) -> list[str]:
+    """Unpacks the JSON files of a tar archive whose names hold `word` into a folder, flat; the names, sorted. A step before
+    Spark reads the folder."""
+    import tarfile
+    from pathlib import Path
+
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    names = []
+    with tarfile.open(archive) as tar:
+        for member in tar:
+            name = PurePosixPath(member.name).name
+            if member.isfile() and name.endswith(".json") and word in name:
+                Path(folder, name).write_bytes(tar.extractfile(member).read())
+                names.append(name)
+    return sorted(names)
+
+
 def write_array(df: DataFrame, path: str) -> None:
     """One JSON array; an export for small results, made by the driver from rows as they come."""
     import json

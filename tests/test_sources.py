@@ -54,6 +54,19 @@ def test_array_sink_and_manifest(spark, tmp_path):
     assert [r.file for r in J.mismatches(spark, str(tmp_path / "*.json"), str(tmp_path / "sums.md5")).collect()] == ["b.json"]
 
 
+def test_archive(tmp_path):
+    import io
+    import tarfile
+
+    with tarfile.open(tmp_path / "a.tgz", "w:gz") as tar:
+        for name in ("d/set-dev.json", "d/other.json", "../set-x.txt", "../../set-up.json"):
+            info = tarfile.TarInfo(name)
+            info.size = 2
+            tar.addfile(info, io.BytesIO(b"{}"))
+    assert J.stage_archive(str(tmp_path / "a.tgz"), str(tmp_path / "out"), "set") == ["set-dev.json", "set-up.json"]
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["set-dev.json", "set-up.json"]
+
+
 def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text(json.dumps({"data": {}, "models": {"m": {"path": "p"}}, "strategies": ["da", "sc"], "inference": {}, "output": {}}))
     c = settings.load(str(tmp_path / "c.yaml"))
