@@ -1,8 +1,11 @@
 """SimHash near-duplicates with a Gray-order hierarchical index.
 
-Fingerprints come from XXH64 of word shingles. Equal fingerprints are one from then on. Two fingerprints within
-`distance` bits agree on at least one of distance + 1 bit blocks, so each distinct fingerprint goes to one group per
-block. Inside a group an index finds the links: fingerprints in order of Gray rank are cut into leaves, a node
+Fingerprints come from XXH64 of word shingles. Equal fingerprints are one from then on. With the bits cut into
+`blocks` blocks, two fingerprints within `distance` bits agree on all but `distance` of the blocks, so each distinct
+fingerprint goes to one group for every choice of blocks - distance of them. More blocks give longer keys and
+more groups; their number follows the count of fingerprints, so that groups stay near a chunk in size at any count
+(5 blocks, 13 bits and 5 groups each up to a million or so; 6 blocks, 21 bits and 15 groups each up to some hundred
+millions; and so on). Every such number finds every link. Inside a group an index finds the links: fingerprints in order of Gray rank are cut into leaves, a node
 keeps the mask and the values of the bits that all its fingerprints share, and a query adds up differences
 from node to node (only bits that the parent didn't cover yet), dropping a whole node once they exceed the
 distance. Groups of more than `CHUNK` are dealt out as pairs of chunks, so no task holds more than two
@@ -15,6 +18,8 @@ get a row; an empty table gives no rows; other columns are ignored, whatever the
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -137,11 +142,25 @@ def group_links(values: np.ndarray, side: np.ndarray, distance: int) -> tuple[np
     return values[root[child]], values[child]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) whose closure has every link within `distance`."""
-    blocks = distance + 1
+def masks(distance: int, blocks: int) -> list[int]:
+    """Bit masks of every choice of blocks - distance of the blocks, as signed longs."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", edges[k]).bitwiseAND(F.lit((1 << (edges[k + 1] - edges[k])) - 1)).alias("key")) for k in range(blocks)])
+    block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
+    return [m - (1 << BITS) * (m >> BITS - 1) for m in (sum(x) for x in combinations(block, blocks - distance))]
+
+
+def blocks_for(count: int, distance: int, chunk: int) -> int:
+    """The least number of blocks whose keys are long enough to spread `count` fingerprints into groups below `chunk`."""
+    blocks = distance + 1
+    while blocks < 2 * distance and count >> BITS * (blocks - distance) // blocks >= chunk // 2:
+        blocks += 1
+    return blocks
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) whose closure has every link within `distance`."""
+    blocks = blocks or blocks_for(distinct.count(), distance, chunk)
+    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(distance, blocks))])
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.key")
     large = spool(rows.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "groups")
     chunks = large.select("block", "key", F.ceil(F.col("n") / (chunk // 2)).cast("int").alias("m"))

@@ -65,9 +65,10 @@ def test_gray_rank():
     assert (simhash.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
 
 
-@pytest.mark.parametrize("chunk", [512, 8])
-def test_components(spark, chunk, monkeypatch):
-    """Chains of near prints, copies, prints that share a block with many, null ids; also with groups cut into tiny chunks."""
+@pytest.mark.parametrize("chunk,blocks", [(512, 5), (8, 5), (512, 7), (8, 6)])
+def test_components(spark, chunk, blocks, monkeypatch):
+    """Chains of near prints, copies, prints that share a block with many, null ids; also with groups cut into tiny chunks, and
+    with more blocks, as for many fingerprints."""
     rng = random.Random(chunk)
     prints = [(i, rng.getrandbits(64)) for i in range(60)]
     x = rng.getrandbits(64)
@@ -78,12 +79,23 @@ def test_components(spark, chunk, monkeypatch):
     prints += [(260, 0), (261, 15), (262, 31), (None, 0), (263, 0), (0, prints[0][1]), (None, rng.getrandbits(64))]
     signed = [(i, p - 2**64 if p >= 2**63 else p) for i, p in prints]
     original = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda d, distance: original(d, distance, chunk))
+    monkeypatch.setattr(simhash, "links", lambda d, distance: original(d, distance, chunk, blocks))
     got = simhash.components(spark.createDataFrame(signed, "doc_id long, fp long")).collect()
     key = lambda x: (str(x[0]), x[1], str(x[2]))
     assert sorted((tuple(r) for r in got), key=key) == sorted(((i, s, c) for (i, s), c in zip(signed, brute_components(prints))), key=key)
 
 
+def test_blocks_grow_with_the_count():
+    assert [simhash.blocks_for(n, 4, 512) for n in (0, 300_000, 10_000_000, 10**11)] == [5, 5, 6, 8]
+    for blocks in (5, 6, 7, 8):
+        chosen = [m % 2**64 for m in simhash.masks(4, blocks)]
+        assert len(chosen) == len(set(chosen))
+        rng = random.Random(blocks)
+        for _ in range(300):  # any four bits leave a mask untouched
+            bits = sum({1 << b for b in rng.sample(range(64), 4)})
+            assert any(not m & bits for m in chosen)
+
+
 def test_star_components(spark):
     """A hub, long chains and lone pairs."""
     edges = [(0, k) for k in range(1, 300)] + [(k, k + 1) for k in range(1000, 1200)] + [(5000, 4000), (4000, 5000), (7, 7)]
