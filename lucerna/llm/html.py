@@ -36,6 +36,7 @@ ASIDE = frozenset("nav footer aside form button dialog menu".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul caption".split()
 )
+SINGLE = frozenset("p li ul ol tr td th tbody thead tfoot table h1 h2 h3 h4 h5 h6 blockquote pre caption dt dd dl".split())
 #: Elements that the start of another one ends.
 ENDS = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 #: Elements that such an end doesn't reach beyond.
@@ -44,48 +45,82 @@ HOLDS = frozenset("table ul ol dl article main section div body html blockquote
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side aside widget widgets footer foot header masthead topbar toolbar "
-    "comment comments disqus respond reply replies discussion reader share sharing social follow subscribe newsletter signup login related recommended recommendations "
+    "comment comments disqus respond reply replies discussion share sharing social follow subscribe newsletter signup login related recommended recommendations "
     "pagination pager search skip copyright legal disclaimer hidden contentinfo complementary".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Beginnings of such words; and words beside which a header belongs to the article.
+BEGIN = ("comment", "advert", "sidebar", "cookie", "breadcrumb", "newsletter", "sponsor")
+NOT_BEGIN = frozenset(["commentary"])
+OWN = frozenset("article post entry content story".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S)
+CUT_OFF = re.compile(r"</?[a-zA-Z]")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
 class Token(NamedTuple):
     kind: str  # "word", "open" or "close"
     text: str  # the words of a run of text, or the tag's name
-    path: tuple  # numbers of the open elements
+    element: int  # the innermost element around a text or made by a tag; 0 is the page
     aside: str  # the outermost left-out element around it, or ''
 
 
-def marked(attributes: str) -> bool:
+class Page(NamedTuple):
+    """Tokens in page order, and by element: its name, parent, and range of tokens."""
+
+    tokens: list[Token]
+    names: list[str]
+    parents: list[int]
+    starts: list[int]
+    ends: list[int]
+
+
+def marked(attributes: str, in_content: bool = False) -> bool:
     """Whether a tag's attributes hide its element or name a role that no article has."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())):
-            return True
+        if name in ("class", "id", "role"):
+            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+            own_header = in_content or not OWN.isdisjoint(words)
+            if any((w in MARKS or w.startswith(BEGIN) and w not in NOT_BEGIN) and not (w == "header" and own_header) for w in words):
+                return True
     return False
 
 
-def tokens(page: str) -> list[Token]:
-    """Tags and runs of text in page order, each with the elements around it."""
-    out: list[Token] = []
-    stack: list[tuple[str, int, str]] = []  # name, number, left-out element around or at it
-    number, at, n = 0, 0, len(page)
-    in_content = 0
+def read(page: str) -> Page:
+    """A page's tags and runs of text; in time linear in its length, however deep its markup."""
+    out = Page([], ["page"], [0], [0], [0])
+    stack: list[tuple[int, str]] = []  # element, left-out element around or at it
+    opened: Counter = Counter()
+    names = out.names
+    if cut := CUT_OFF.search(page, page.rfind(">") + 1):  # a last tag that never ends is none
+        page = page[: cut.start()]
+    at, n = 0, len(page)
 
     def text(piece: str) -> None:
         if piece:
-            out.append(Token("word", entities.unescape(piece), tuple(x[1] for x in stack), stack[-1][2] if stack else ""))
+            element, aside = stack[-1] if stack else (0, "")
+            out.tokens.append(Token("word", entities.unescape(piece), element, aside))
 
     def pop(to: int) -> None:
-        nonlocal in_content
         while len(stack) > to:
-            name, *_ = stack.pop()
-            in_content -= name in ("article", "main")
-            out.append(Token("close", name, tuple(x[1] for x in stack), stack[-1][2] if stack else ""))
+            element, aside = stack.pop()
+            opened[names[element]] -= 1
+            out.tokens.append(Token("close", names[element], element, aside))
+            out.ends[element] = len(out.tokens)
+
+    def close(which: frozenset, hold: frozenset) -> None:
+        """Closes the innermost element of `which`, if none of `hold` stands before it."""
+        if not any(opened[x] > 0 for x in which):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            name = names[stack[k][0]]
+            if name in which:
+                pop(k)
+                return
+            if name in hold:
+                return
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -98,38 +133,40 @@ def tokens(page: str) -> list[Token]:
             continue
         name = m[2].lower()
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
+            close(frozenset([name]), frozenset())
             continue
-        if name in ENDS or name in BLOCK:
-            ended = ENDS.get(name, frozenset()) | ({"p"} if name in BLOCK else set())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ended:
-                    pop(k)
-                    break
-                if stack[k][0] in HOLDS:
-                    break
-        around = stack[-1][2] if stack else ""
+        if name in ENDS:
+            close(ENDS[name], HOLDS)
+        if name in BLOCK and name != "p":
+            close(ENDS["p"], HOLDS)
+        around = stack[-1][1] if stack else ""
         # a header of an article holds its title; a page's header holds its menus
-        left_out = name in ASIDE or name == "header" and not in_content or name not in ("html", "body", "article", "main") and marked(m[3])
+        inside = opened["article"] + opened["main"] > 0
+        left_out = name in ASIDE or name == "header" and not inside or name not in ("html", "body", "article", "main") and marked(m[3], inside)
         aside = around or ((name if name in ASIDE or name == "header" else "marked") if left_out else "")
-        number += 1
+        names.append(name)
+        element = len(names) - 1
+        out.parents.append(stack[-1][0] if stack else 0)
+        out.starts.append(len(out.tokens))
+        out.ends.append(len(out.tokens) + 1)
         if name in VOID or m[3].endswith("/"):
-            out.append(Token("open", name, tuple(x[1] for x in stack), around))
+            out.tokens.append(Token("open", name, element, around))
             continue
-        stack.append((name, number, aside))
-        in_content += name in ("article", "main")
-        out.append(Token("open", name, tuple(x[1] for x in stack), aside))
+        stack.append((element, aside))
+        opened[name] += 1
+        out.tokens.append(Token("open", name, element, aside))
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-            at = end.end()
+            at = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at).end()
             pop(len(stack) - 1)
     pop(0)
+    out.ends[0] = len(out.tokens)
     return out
 
 
+def tokens(page: str) -> list[Token]:
+    return read(page).tokens
+
+
 # ---- weights from labelled pages ----
 
 
@@ -194,24 +231,25 @@ def best_region(seq: list[Token], weights: dict[str, float]) -> tuple[int, int]:
 
 def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
     """The main text of a page."""
-    seq = tokens(page or "")
+    read_page = read(page or "")
+    seq, names, parents = read_page.tokens, read_page.names, read_page.parents
     lo, hi = best_region(seq, weights or dict(default_weights()))
-    wordy = [t for t in seq[lo:hi] if t.kind == "word" and not t.aside and t.text.strip()]
+    wordy = [t.element for t in seq[lo:hi] if t.kind == "word" and not t.aside and t.text.strip()]
     if not wordy:
         return ""
-    common = wordy[0].path
-    for t in wordy:
-        k = 0
-        while k < min(len(common), len(t.path)) and common[k] == t.path[k]:
-            k += 1
-        common = common[:k]
-    names = {t.path[-1]: t.text for t in seq if t.kind == "open" and t.path}
-    # grow to the closest article or main, else to the closest element that isn't inline
-    holder = next((k for k in range(len(common), 0, -1) if names.get(common[k - 1]) in ("article", "main")), 0)
-    if not holder:
-        holder = next((k for k in range(len(common), 0, -1) if names.get(common[k - 1]) in BLOCK and names.get(common[k - 1]) not in ("p", "li", "ul", "ol", "tr", "td", "tbody", "table", "h1", "h2", "h3", "blockquote")), 0)
-    holder = common[:holder]
-    if not holder or names.get(holder[-1]) in ("body", "html"):
+    # the smallest element around all of it: elements are numbered as they open, so the first and last text decide
+    a, b = wordy[0], wordy[-1]
+    while a != b:
+        if a > b:
+            a = parents[a]
+        else:
+            b = parents[b]
+    # grow to the closest article or main, else to the closest element that can hold several blocks
+    up = [a]
+    while up[-1]:
+        up.append(parents[up[-1]])
+    holder = next((x for x in up if names[x] in ("article", "main")), 0) or next((x for x in up if names[x] in BLOCK and names[x] not in SINGLE), 0)
+    if not holder or names[holder] in ("body", "html"):
         # only the page itself holds it: whole blocks of the region
         edge = lambda i: seq[i].kind != "word" and seq[i].text in BLOCK
         while lo > 0 and not edge(lo - 1):
@@ -220,7 +258,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
             hi += 1
         part = seq[lo:hi]
     else:
-        part = [t for t in seq if t.path[: len(holder)] == holder]
+        part = seq[read_page.starts[holder] : read_page.ends[holder]]
     blocks, block = [], []
     for t in part:
         if t.kind == "word":

@@ -51,9 +51,13 @@ def test_odd_pages(spark, empty):
     assert html.extract(None) == html.extract("") == html.extract("<p></p>") == html.extract("<script>x</script>") == ""
     assert html.extract("just words & more") == "just words & more"
     assert html.extract("<article><p>one<br>two <b>th</b>ree<p>&nbsp;x\t y</article>") == "one two three\nx y"
-    assert html.extract("<article>a < b <p>cut <b") .startswith("a < b\ncut")
+    assert html.extract("<article>a < b <p>cut <b") == "a < b\ncut"
+    assert html.extract("<article><p title='it > that' lang=don't>one's words</p><p class=\"x>two's words</p></article>") == "one's words\ntwo's words"
+    for hostile in ("<a " * 50_000, "<a x='" * 50_000, "<a \"" * 50_000 + ">", "<" * 100_000, "</b>" * 50_000, "<!--" * 50_000, "&" * 100_000, "<p>" * 50_000, "<select>" * 50_000):
+        html.extract(hostile)
     assert len(html.extract("<p>" + "long words " * 100_000)) == 1_099_999
-    html.extract("<div>" * 5000 + "deep words here" + "</div>" * 4000)
+    assert html.extract("<div>" * 100_000 + "deep words here" + "</i>" * 100_000 + "</div>" * 4000) == "deep words here"
+    assert html.extract("<body><article class='post'><header class='entry-header'><h1>Title</h1></header><div class='entry-content'><p>Some words of the text.</div><ol class='commentlist'><li>me too</ol></article>") == "Title\nSome words of the text."
     df = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>words</p>", "y"), (None, None, "<p>words</p>", "y")], "page_id long, url string, html string, text string")
     assert sorted(r.text for r in html.main_text(df).collect()) == ["", "words", "words"]
     assert html.main_text(df.limit(0)).count() == 0
@@ -65,7 +69,7 @@ def test_scan_finds_the_best_sum():
     assert weights["word"] > 0 and all(v < 0 for k, v in weights.items() if k != "word")
     for seed in range(20):
         rng = random.Random(seed)
-        seq = [html.Token("word", " ".join("w" * rng.randint(0, 3)), (), rng.choice(["", "", "nav"])) if rng.random() < 0.5 else html.Token("open", rng.choice(["p", "div", "li", "zz"]), (), "") for _ in range(25)]
+        seq = [html.Token("word", " ".join("w" * rng.randint(0, 3)), 0, rng.choice(["", "", "nav"])) if rng.random() < 0.5 else html.Token("open", rng.choice(["p", "div", "li", "zz"]), 0, "") for _ in range(25)]
 
         def value(t):
             return len(t.text.split()) * (weights["in nav"] if t.aside else weights["word"]) if t.kind == "word" else weights.get(t.text, weights["tag"])
