@@ -16,13 +16,12 @@ empty benchmark leaves all documents clean; other columns are ignored, whatever
 
 from __future__ import annotations
 
-import hashlib
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import list_column, raw, short_batches, sliced, spool
@@ -110,26 +109,31 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
         yield block
 
 
+def text_key(text: Column) -> Column:
+    """With the id, what tells rows of one id apart: rows with the same key have the same text and so the same result."""
+    return F.xxhash64(text)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, size: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document row: doc_id, n_words, spans (word ranges inside an occurring window, merged, as
+    """Per document row: doc_id, row (`text_key` of its text), n_words, spans (word ranges inside an occurring window, merged, as
     array<struct<start,end>>), n_hit and items (ids of items with occurring windows, as sorted strings)."""
     spark = docs.sparkSession
     short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, row bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>"
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("row"))
     parts = [_block(source, block, window, size, schema, kind) for block in blocks_of(benchmark, item_col, item_text_col, block_words)]
     if not parts:
         parts = [_block(source, [], window, size, schema, kind)]
     merged = parts[0]
-    if len(parts) > 1:  # several blocks: a document's hits meet by its id and its text's digest; repeated rows stay as many
+    if len(parts) > 1:  # several blocks: a document's hits meet by its id and its text's hash; repeated rows stay as many
         for p in parts[1:]:
             merged = merged.union(p)
         lists = [F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("spans_", "items")]
         merged = merged.withColumn("spans_", F.arrays_zip("starts", "ends")).groupBy("doc_id", "row", "n_words").agg(*lists, F.count("*").alias("n"))
         merged = merged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int"))))
         merged = merged.select("doc_id", "row", "n_words", F.col("spans_.starts").alias("starts"), F.col("spans_.ends").alias("ends"), "items")
-    return merged.mapInArrow(_merge, f"doc_id {kind}, n_words bigint, spans array<struct<start:int,end:int>>, n_hit bigint, items array<string>")
+    return merged.mapInArrow(_merge, f"doc_id {kind}, row bigint, n_words bigint, spans array<struct<start:int,end:int>>, n_hit bigint, items array<string>")
 
 
 def _block(source: DataFrame, items: list, window: int, size: int, schema: str, kind: str) -> DataFrame:
@@ -155,8 +159,7 @@ def _block(source: DataFrame, items: list, window: int, size: int, schema: str,
             at, node = at[order[used[node[order]]]], node[order[used[node[order]]]]
             doc = np.searchsorted(edges, at)
             sizes = np.bincount(doc, minlength=len(texts))
-            digest = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(digest), pa.array(edges - starts, pa.int64()), list_column(at - starts[doc] if len(at) else at, sizes, pa.int32()), list_column(node, sizes, pa.int32())], ["doc_id", "row", "n_words", "at", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(edges - starts, pa.int64()), list_column(at - starts[doc] if len(at) else at, sizes, pa.int32()), list_column(node, sizes, pa.int32())], ["doc_id", "row", "n_words", "at", "node"])
 
     matches = spool(source.mapInArrow(scan, f"doc_id {kind}, row bigint, n_words bigint, at array<int>, node array<int>"), "matches")
     seen = matches.select(F.explode(F.array_distinct("node")).alias("node")).groupBy("node").count()
@@ -220,13 +223,25 @@ def _merge(batches):
             hits.append(sum(y - x for x, y in out))
             items.append(sorted(set(names)))
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("n_words")), pa.array(spans, kind), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "n_hit", "items"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(b.schema.get_field_index("row")), b.column(b.schema.get_field_index("n_words")), pa.array(spans, kind), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "spans", "n_hit", "items"])
+
+
+def contaminated() -> Column:
+    """The verdict on a row of `decontaminate`: a twentieth of its words, and at least one, are hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that aren't contaminated; rows that share an id, or have none, are judged each by its own text."""
+    found = decontaminate(docs, benchmark, id_col, text_col)
+    bad = spool(found.where(contaminated()).select(F.col("doc_id").alias("_bad"), F.col("row").alias("_row")).distinct(), "bad")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (text_key(F.col(text_col)) == F.col("_row")), "left_anti")
 
 
 def report(found: DataFrame) -> DataFrame:
-    """The digest of `decontaminate`: counts, a checksum of the items and the verdict (a twentieth of the words hit)."""
+    """The digest of `decontaminate`: counts, a checksum of the items and the verdict."""
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )

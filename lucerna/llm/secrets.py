@@ -52,7 +52,7 @@ MORE = (
     Rule("pem", "-----BEGIN [A-Z]", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
     Rule("github", "gh[pousr]_", rb"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
     Rule("slack", "xox[abprs]-[0-9]", rb"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}", 0, 1),
-    Rule("jwt", "[.]eyJ", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    Rule("jwt", "[.]eyJ", rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 )
 RULES = BASE + MORE
 

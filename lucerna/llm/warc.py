@@ -36,8 +36,8 @@ NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
 TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
-HREF = re.compile(r"<(a|area|link|img|script|iframe)\b[^>]*?\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
+HREF = re.compile(r"<(a|area|link|img|script|iframe)\b[^<>]*?\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+TITLE, TITLE_END = re.compile(r"<title[^<>]*>", re.I), re.compile(r"</title", re.I)
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -60,6 +60,13 @@ def plain_text(page: str) -> str:
     return "\n".join(x for line in page.split("\n") if (x := " ".join(entities.unescape(line).split())))
 
 
+def title(page: str) -> str:
+    """The text of the first title element; '' without one, or where it doesn't end."""
+    if not (start := TITLE.search(page)) or not (end := TITLE_END.search(page, start.end())):
+        return ""
+    return " ".join(entities.unescape(page[start.end() : end.start()]).split())
+
+
 def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of a block."""
     if not block.startswith(b"HTTP/"):
@@ -85,12 +92,11 @@ def derive(response: dict) -> Iterator[dict]:
     text = decoded(headers, payload)
     payload_digest = response.get("payload_digest") or digest(payload)
     links = [{"path": f"{m[1].lower()}", "url": entities.unescape(m[2] or m[3] or m[4] or "")} for m in HREF.finditer(text)]
-    title = TITLE.search(text)
     meta = {
         "Container": {"WARC-Record-ID": response["record_id"], "WARC-Target-URI": response["target_uri"], "WARC-Date": response["warc_date"], "Content-Length": len(block)},
         "Payload": {"Length": len(payload), "Digest": payload_digest},
         "HTTP": {"Status": status, "Headers": [list(x) for x in headers]},
-        "HTML": {"Title": " ".join(entities.unescape(title[1]).split()) if title else "", "Links": links},
+        "HTML": {"Title": title(text), "Links": links},
     }
     for kind, content_type, data in (
         ("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()),

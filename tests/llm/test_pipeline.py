@@ -47,6 +47,9 @@ def test_odd_documents(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     kept = cp.near_dedup_stage(spark, docs, SF).collect()
     assert sorted((r.doc_id for r in kept if r.doc_id is not None)) == [1, 3]
+    item = table(spark, SF, "benchmark").first().text
+    several = spark.createDataFrame([(7, item, "en", "s", 1), (7, "clean words", "en", "s", 1), (None, item, None, None, None), (None, "clean words", None, None, None), (None, None, None, None, None)], docs.schema)
+    assert sorted(str(r.text) for r in cp.decontamination_stage(spark, several, SF).collect()) == ["None", "clean words", "clean words"]
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         stage(spark, docs, SF).count()

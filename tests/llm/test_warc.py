@@ -65,5 +65,10 @@ def test_other_responses():
     assert len(list(warc.derive(plain | {"block": None}))) == 2
 
 
+def test_hostile_markup():
+    for page in ("<a " * 60_000, "<title>" * 30_000, "<script>" * 30_000, "<!--" * 50_000, "<" * 100_000, "<a href='" * 30_000):
+        list(warc.derive({"record_id": "<a>", "target_uri": None, "warc_date": None, "block": page.encode()}))
+
+
 def test_empty(spark, pages):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
