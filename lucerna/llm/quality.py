@@ -28,8 +28,8 @@ from .common import raw, short_batches, sliced
 #: Rows of positives and of unlabelled text that the model is fitted on, at most.
 SAMPLE = 20_000
 THRESHOLD, FOLDS, HELD = 0.7, 4, 2
-#: Hidden units, passes, rows in a step, step size, weight decay.
-HIDDEN, PASSES, STEP_ROWS, RATE, DECAY, SEED = 16, 60, 512, 0.01, 1e-4, 7
+#: Hidden units, steps, rows of each kind in a step, step size, weight decay.
+HIDDEN, STEPS, STEP_ROWS, RATE, DECAY, SEED = 16, 8000, 512, 0.01, 1e-4, 7
 
 
 def _mask(chars: str) -> np.ndarray:
@@ -93,7 +93,7 @@ def probability(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits(model, x), -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, passes: int = PASSES, seed: int = SEED) -> dict:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, total: int = STEPS, seed: int = SEED) -> dict:
     """A network of one hidden layer beside a linear part, by Adam on the risk above."""
     if not len(positive) or not len(unlabelled) or not 0 < prior < 1:
         return {"prior": float(prior)}
@@ -104,8 +104,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, passes: int
     first, second = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
     zp, zu = (np.clip((x - mean) / scale, -20, 20) for x in (positive, unlabelled))
     steps = max(1, min(len(zp), len(zu)) // STEP_ROWS)
-    passes = max(passes, -(-1200 // steps))  # small samples get as many steps
-    t, total = 0, passes * steps
+    t, passes = 0, -(-total // steps)  # small samples get as many steps
     for _ in range(passes):
         ps, us = np.array_split(rng.permutation(len(zp)), steps), np.array_split(rng.permutation(len(zu)), steps)
         for pi, ui in zip(ps, us):
@@ -123,7 +122,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, passes: int
                 slope[:n] += prior * (s[:n] - 1) / n
             back = slope[:, None] * w["c"] * (1 - h * h)
             grad = {"a": z.T @ back, "b": back.sum(0), "c": h.T @ slope, "d": np.array([slope.sum()]), "e": z.T @ slope}
-            rate = RATE * (1 - 0.9 * t / total)
+            rate = RATE * (1 - 0.9 * min(1.0, t / total))
             for k, v in w.items():
                 gk = grad[k] + DECAY * v
                 first[k] = 0.9 * first[k] + 0.1 * gk
