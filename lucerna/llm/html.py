@@ -3,7 +3,8 @@
 A page is a sequence of words and tags. Words score positive, tags negative, and one linear scan finds the
 contiguous stretch with the highest sum: the content region. The weights are log odds of being inside the
 labelled region, estimated from labelled pages; the words of elements that labelled pages keep out of their
-article (menus, footers, adverts, comments, ...) are scored by their element's weight, a negative one.
+article (menus, footers, adverts, comments, ...) are scored by their element's weight, a negative one. So are the words
+of blocks that are links alone.
 
 The region is then fitted to the markup, because a page's first or last short block must not be cut off: it
 grows to the smallest element that holds it, or to whole blocks where only the page's body does. Left-out
@@ -51,10 +52,13 @@ MARKS = frozenset(
 #: Beginnings of such words; and words beside which a header belongs to the article.
 BEGIN = ("comment", "advert", "sidebar", "cookie", "breadcrumb", "newsletter", "sponsor")
 NOT_BEGIN = frozenset(["commentary"])
+#: First words of class names that tell what an element has around or in it, not what it is.
+HAVING = frozenset("has have with without no".split())
 OWN = frozenset("article post entry content story".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S)
 CUT_OFF = re.compile(r"</?[a-zA-Z]")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Token(NamedTuple):
@@ -74,22 +78,26 @@ class Page(NamedTuple):
     ends: list[int]
 
 
-def marked(attributes: str, in_content: bool = False) -> bool:
-    """Whether a tag's attributes hide its element or name a role that no article has."""
+def marked(attributes: str, in_content: bool = False, element: str = "div") -> bool:
+    """Whether a tag's attributes hide its element or name a role that no article has. An article's own words outweigh others."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
             return True
         if name in ("class", "id", "role"):
-            words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            own_header = in_content or not OWN.isdisjoint(words)
-            if any((w in MARKS or w.startswith(BEGIN) and w not in NOT_BEGIN) and not (w == "header" and own_header) for w in words):
+            each = [re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower() for x in value.split()]
+            words = [w for x in each if (part := re.findall(r"[a-z]+", x)) and part[0] not in HAVING for w in part]
+            own = not OWN.isdisjoint(words)
+            if element == "article" and own:
+                return False
+            if any((w in MARKS or w.startswith(BEGIN) and w not in NOT_BEGIN) and not (w == "header" and (in_content or own)) for w in words):
                 return True
     return False
 
 
-def read(page: str) -> Page:
-    """A page's tags and runs of text; in time linear in its length, however deep its markup."""
+def read(page: str, marks: bool = True) -> Page:
+    """A page's tags and runs of text; in time linear in its length, however deep its markup. marks: whether attributes can
+    leave elements out, besides their names."""
     out = Page([], ["page"], [0], [0], [0])
     stack: list[tuple[int, str]] = []  # element, left-out element around or at it
     opened: Counter = Counter()
@@ -142,7 +150,7 @@ def read(page: str) -> Page:
         around = stack[-1][1] if stack else ""
         # a header of an article holds its title; a page's header holds its menus
         inside = opened["article"] + opened["main"] > 0
-        left_out = name in ASIDE or name == "header" and not inside or name not in ("html", "body", "article", "main") and marked(m[3], inside)
+        left_out = name in ASIDE or name == "header" and not inside or marks and name not in ("html", "body", "main") and marked(m[3], inside, name)
         aside = around or ((name if name in ASIDE or name == "header" else "marked") if left_out else "")
         names.append(name)
         element = len(names) - 1
@@ -229,11 +237,34 @@ def best_region(seq: list[Token], weights: dict[str, float]) -> tuple[int, int]:
     return region
 
 
+def without_links(seq: list[Token]) -> list[Token]:
+    """The tokens with the words of blocks that are links alone, as menus without a mark are, put down as left out."""
+    out, block, depth, plain = list(seq), [], 0, False
+    for i, t in enumerate([*seq, Token("close", "html", 0, "")]):
+        if t.kind == "word":
+            block.append(i)
+            plain = plain or not depth and any(c.isalnum() for c in t.text)
+        elif t.text == "a":
+            depth = max(0, depth + (1 if t.kind == "open" else -1))
+        elif t.text in BLOCK:
+            if not plain:
+                for k in block:
+                    out[k] = seq[k]._replace(aside=seq[k].aside or "nav")
+            block, plain = [], False
+    return out
+
+
 def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
-    """The main text of a page."""
+    """The main text of a page. Where attributes would leave out all its words and every article, they are not heeded."""
+    weights = weights or dict(default_weights())
     read_page = read(page or "")
+    articles = {t.aside for t in read_page.tokens if t.kind == "open" and t.text in ("article", "main")}
+    if articles == {"marked"} and not any(t.kind == "word" and not t.aside and t.text.strip() for t in read_page.tokens):
+        read_page = read(page or "", marks=False)
     seq, names, parents = read_page.tokens, read_page.names, read_page.parents
-    lo, hi = best_region(seq, weights or dict(default_weights()))
+    lo, hi = best_region(without_links(seq), weights)
+    if lo == hi:
+        lo, hi = best_region(seq, weights)
     wordy = [t.element for t in seq[lo:hi] if t.kind == "word" and not t.aside and t.text.strip()]
     if not wordy:
         return ""

