@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch; texts may be long, so batches are kept short.
@@ -29,6 +29,25 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the frame has no column like it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_rows(df: DataFrame, run: Callable) -> DataFrame:
+    """mapInArrow over all columns, giving the same ones, whatever their names; `run` finds them by place."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+def columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
+    """The frame's columns, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in but]
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
     sc = spark.sparkContext

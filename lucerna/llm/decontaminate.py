@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import list_column, raw, short_batches, sliced, spool
+from .common import list_column, raw, short_batches, sliced, spool, unused
 
 WINDOW, SHINGLE = 13, 5
 #: Words of benchmark text in one broadcast block.
@@ -234,8 +234,9 @@ def contaminated() -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, all columns, that aren't contaminated; rows that share an id, or have none, are judged each by its own text."""
     found = decontaminate(docs, benchmark, id_col, text_col)
-    bad = spool(found.where(contaminated()).select(F.col("doc_id").alias("_bad"), F.col("row").alias("_row")).distinct(), "bad")
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("_bad")) & (text_key(F.col(text_col)) == F.col("_row")), "left_anti")
+    key, row = unused(docs, "bad"), unused(docs, "bad_row")
+    bad = spool(found.where(contaminated()).select(F.col("doc_id").alias(key), F.col("row").alias(row)).distinct(), "bad")
+    return docs.join(bad, F.col(id_col).eqNullSafe(F.col(key)) & (text_key(F.col(text_col)) == F.col(row)), "left_anti")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, short_batches, sliced
+from .common import map_rows, raw, short_batches, sliced
 
 #: Rows of positives and of unlabelled text that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -188,4 +188,4 @@ def accepted(df: DataFrame, model: dict, text_col: str = "text", threshold: floa
             keep = probability(shared.value, np.array([features(t) for t in raw(b.column(at))])) >= threshold
             yield b.filter(pa.array(keep))
 
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, short_batches, sliced
+from .common import map_rows, raw, short_batches, sliced
 
 LANE = 1024
 EDGE = 0xFF  # between texts; never part of UTF-8, and in no rule
@@ -355,9 +355,9 @@ def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_
                     for i, t in changed.items():
                         n[i] = len(t)
                     columns[length_at] = pa.array(n, columns[length_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
 
-    return df.mapInArrow(run, df.schema)
+    return map_rows(df, run)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import columns
+
 #: A prime much larger than the number of shards.
 SLOTS = 65_537
 
@@ -47,7 +49,7 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
     if {"slot", "shard"} & {c.lower() for c in df.columns}:
         raise ValueError("the input has a column named slot or shard")
     table = [(i, shards[k]) for i, k in enumerate(lookup_table(shards, slots))]
-    return df.withColumn("slot", slot(F.col(key), slots)).join(F.broadcast(df.sparkSession.createDataFrame(table, "slot int, shard string")), "slot").select(*df.columns, "slot", "shard")
+    return df.withColumn("slot", slot(F.col(key), slots)).join(F.broadcast(df.sparkSession.createDataFrame(table, "slot int, shard string")), "slot").select(*columns(df), "slot", "shard")
 
 
 def write(placed: DataFrame, path: str, files_each: int = 8) -> None:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 from lucerna.llm import packing, quality
 from lucerna.llm.common import spool, table
@@ -53,3 +55,17 @@ def test_odd_documents(spark):
     for _, stage in cp.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
         stage(spark, docs, SF).count()
+
+
+def test_clashing_columns(spark):
+    """Extra columns, also with the names that stages use or with a dot, stay as they are."""
+    docs = table(spark, SF, "documents").limit(40)
+    docs = docs.unionByName(docs.limit(3))
+    names = ["gone", "Again", "bad", "bad_row", "row", "fp", "component_id", "n", "c0", "a.b", "quality", "score"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    for _, stage in cp.STAGES[:-1]:
+        kept = spool(stage(spark, docs, SF), "t")
+        assert kept.columns == docs.columns
+        assert {r[-len(names) :] for r in kept.collect()} <= {tuple(range(len(names)))}
+    assert cp.packing_stage(spark, docs, SF).count() >= 43
