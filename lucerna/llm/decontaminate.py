@@ -10,7 +10,7 @@ The scan keeps, per document, only positions of benchmark shingles. The benchmar
 most `BLOCK_WORDS` words, each broadcast in turn, so a benchmark of any size works.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no windows;
-repeated document rows each get a row; repeated windows, and items repeated under other ids, all count; an
+repeated document rows each get a row; an item without an id goes by the name None; repeated windows, and items repeated under other ids, all count; an
 empty benchmark leaves all documents clean; other columns are ignored, whatever their names.
 """
 
