@@ -36,9 +36,9 @@ def op2_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata and conversion records of every page; blocks as text."""
+    """Metadata and conversion records of every page; blocks as text. Derived records have no headers beyond the named ones."""
     made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")), ("page_id",))
-    return made.withColumn("block", F.col("block").cast("string"))
+    return made.drop("headers").withColumn("block", F.col("block").cast("string"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """WARC derivatives: metadata and plain-text conversion records from response records.
 
-Each response gives two records that name it in WARC-Refers-To and keep its target URI, date and digests: `metadata`
-with a canonical JSON block of envelope, HTTP headers, title and links, and `conversion` with the page's text.
+Each response gives two records that name it in WARC-Refers-To and keep its target URI, date and payload digest: `metadata`
+with a canonical JSON block of envelope, HTTP headers, title and links, and `conversion` with the page's text. The envelope
+holds the response's block digest and all its other WARC headers, as they were.
 Record ids are name-based UUIDs of the response's id and the kind, so a retried task makes the same ids.
-Digests are SHA-1 in base 32, over the record's block, and over the payload as served.
+A response's own digests stay, whatever their algorithm. Digests computed here are SHA-1 in base 32: over a derived record's
+block, and where the response has none, over its block and its payload as served.
 
 Defined results: a null block is empty; a response that isn't HTTP has no HTTP headers and its whole block as the
 payload; text in another charset than UTF-8 is read by the declared charset, undecodable bytes as U+FFFD; a null
@@ -30,8 +32,14 @@ from .common import short_batches, sliced
 #: Fixed values of the format.
 VERSION, CRLF = b"WARC/1.0", b"\r\n"
 HEADERS = ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "WARC-Block-Digest", "WARC-Payload-Digest", "Content-Type", "Content-Length")
-FIELDS = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length bigint, block_digest string, payload_digest string, block binary"
+KNOWN = {h.lower() for h in HEADERS}
+#: A record's columns; `headers` holds the headers beyond HEADERS as (name, value), in order, with repeated ones.
+FIELDS = "warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length bigint, block_digest string, payload_digest string, headers array<array<string>>, block binary"
 NAMES = [f.split()[0] for f in FIELDS.split(", ")]
+KINDS = [{"content_length": pa.int64(), "headers": pa.list_(pa.list_(pa.string())), "block": pa.binary()}.get(n, pa.string()) for n in NAMES]
+#: Columns that a response may have beside record_id, target_uri, warc_date and block, and where the envelope names them.
+OPTIONAL = {"warc_type": "WARC-Type", "refers_to": "WARC-Refers-To", "content_type": "Content-Type", "block_digest": None, "payload_digest": None, "headers": None}
+FOLDED = re.compile(r"\r\n[ \t]+")
 
 DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
@@ -92,8 +100,11 @@ def derive(response: dict) -> Iterator[dict]:
     text = decoded(headers, payload)
     payload_digest = response.get("payload_digest") or digest(payload)
     links = [{"path": f"{m[1].lower()}", "url": entities.unescape(m[2] or m[3] or m[4] or "")} for m in HREF.finditer(text)]
+    envelope = {"WARC-Record-ID": response["record_id"], "WARC-Target-URI": response["target_uri"], "WARC-Date": response["warc_date"], "Content-Length": len(block)}
+    envelope |= {"WARC-Block-Digest": response.get("block_digest") or digest(block), "Headers": [list(x) for x in response.get("headers") or ()]}
+    envelope |= {name: response[c] for c, name in OPTIONAL.items() if name and response.get(c) is not None}
     meta = {
-        "Container": {"WARC-Record-ID": response["record_id"], "WARC-Target-URI": response["target_uri"], "WARC-Date": response["warc_date"], "Content-Length": len(block)},
+        "Container": envelope,
         "Payload": {"Length": len(payload), "Digest": payload_digest},
         "HTTP": {"Status": status, "Headers": [list(x) for x in headers]},
         "HTML": {"Title": title(text), "Links": links},
@@ -104,23 +115,24 @@ def derive(response: dict) -> Iterator[dict]:
     ):
         yield {
             "warc_type": kind, "record_id": record_id(f"{response['record_id'] or ''}#{kind}"), "refers_to": response["record_id"], "target_uri": response["target_uri"], "warc_date": response["warc_date"],
-            "content_type": content_type, "content_length": len(data), "block_digest": digest(data), "payload_digest": payload_digest, "block": data,
+            "content_type": content_type, "content_length": len(data), "block_digest": digest(data), "payload_digest": payload_digest, "headers": [], "block": data,
         }
 
 
 def derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Two records, as columns of FIELDS, for each response row with record_id, target_uri, warc_date and block;
-    `keep`: columns of the response to carry along."""
+    """Two records, as columns of FIELDS, for each response row with record_id, target_uri, warc_date and block and, where
+    the frame has them, the columns of OPTIONAL as `read` gives them; `keep`: columns of the response to carry along."""
     short_batches(responses.sparkSession)
-    names = ["block", "record_id", "target_uri", "warc_date", *keep]
+    has = {c.lower() for c in responses.columns}
+    source = ["block", "record_id", "target_uri", "warc_date", *(c for c in OPTIONAL if c in has)]
+    names = list(dict.fromkeys([*source, *keep]))
 
     def run(batches):
         for b in sliced(batches, 0):
-            rows = b.select(names[:4]).to_pylist()
+            rows = b.select(source).to_pylist()
             made = [(i, r) for i, row in enumerate(rows) for r in derive(row)]
             at = pa.array([i for i, _ in made], pa.int64())
-            kinds = [pa.int64() if n == "content_length" else pa.binary() if n == "block" else pa.string() for n in NAMES]
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), *(pa.array([r[n] for _, r in made], k) for n, k in zip(NAMES, kinds))], [*keep, *NAMES])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in keep), *(pa.array([r[n] for _, r in made], k) for n, k in zip(NAMES, KINDS))], [*keep, *NAMES])
 
     schema = "".join(f"{c} {responses.schema[c].dataType.simpleString()}, " for c in keep) + FIELDS
     return responses.select(*names).mapInArrow(run, schema)
@@ -146,7 +158,8 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def encode(record: dict) -> bytes:
     """A record in WARC form. Absent values have no header."""
     values = (record["warc_type"], record["record_id"], record["refers_to"], record["target_uri"], record["warc_date"], record["block_digest"], record["payload_digest"], record["content_type"], str(len(record["block"])))
-    head = CRLF.join([VERSION, *(f"{k}: {v}".encode() for k, v in zip(HEADERS, values) if v is not None)])
+    pairs = [*zip(HEADERS, values), *(record.get("headers") or ())]
+    head = CRLF.join([VERSION, *(f"{k}: {v}".encode() for k, v in pairs if v is not None)])
     return head + CRLF * 2 + record["block"] + CRLF * 2
 
 
@@ -157,14 +170,19 @@ def decode(data: bytes) -> Iterator[dict]:
         if not data.startswith(b"WARC/", at):
             raise ValueError(f"no record at byte {at}")
         end = data.index(CRLF * 2, at)
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode().split("\r\n")[1:])}
+        fields, others = {}, []
+        for k, _, v in (x.partition(":") for x in FOLDED.sub(" ", data[at:end].decode()).split("\r\n")[1:]):
+            if (key := k.strip().lower()) in KNOWN and key not in fields:
+                fields[key] = v.strip()
+            else:
+                others.append([k.strip(), v.strip()])
         size, start = int(fields["content-length"]), end + 4
         if start + size > len(data):
             raise ValueError(f"record at byte {at} is cut short")
         get = lambda k: fields.get(k.lower())
         yield {
             "warc_type": get("WARC-Type"), "record_id": get("WARC-Record-ID"), "refers_to": get("WARC-Refers-To"), "target_uri": get("WARC-Target-URI"), "warc_date": get("WARC-Date"),
-            "content_type": get("Content-Type"), "content_length": size, "block_digest": get("WARC-Block-Digest"), "payload_digest": get("WARC-Payload-Digest"), "block": data[start : start + size],
+            "content_type": get("Content-Type"), "content_length": size, "block_digest": get("WARC-Block-Digest"), "payload_digest": get("WARC-Payload-Digest"), "headers": others, "block": data[start : start + size],
         }
         at = start + size + 4
 
@@ -187,8 +205,7 @@ def read(spark, path: str) -> DataFrame:
         for b in batches:
             for data in b.column(0).to_pylist():
                 rows = list(decode(data))
-                kinds = [pa.int64() if n == "content_length" else pa.binary() if n == "block" else pa.string() for n in NAMES]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(NAMES, kinds)], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(NAMES, KINDS)], NAMES)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.col("content")).mapInArrow(run, FIELDS)

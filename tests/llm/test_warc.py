@@ -65,6 +65,25 @@ def test_other_responses():
     assert len(list(warc.derive(plain | {"block": None}))) == 2
 
 
+def test_source_headers_and_digests_stay(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>hi\r\n0\r\n\r\n"
+    others = [["WARC-IP-Address", "192.0.2.7"], ["WARC-Concurrent-To", "<urn:a>"], ["WARC-Concurrent-To", "<urn:b>"], ["WARC-Truncated", "length"], ["X-Note", "one two"]]
+    named = {"WARC-Type": "response", "WARC-Record-ID": "<urn:r>", "WARC-Target-URI": "http://a/", "WARC-Date": "2024-05-06T07:08:09Z", "WARC-Block-Digest": "md5:B", "WARC-Payload-Digest": "sha256:P", "Content-Type": "application/http; msgtype=response", "Content-Length": len(http)}
+    head = "".join(f"{k}: {v}\r\n" for k, v in [*others[:4], *named.items()]) + "X-Note: one\r\n two\r\n"
+    data = b"WARC/1.0\r\n" + head.encode() + b"\r\n" + http + b"\r\n\r\n"
+    source = list(warc.decode(data))
+    assert source[0]["headers"] == others and list(warc.decode(warc.encode(source[0]))) == source
+    (tmp_path / "a.warc").write_bytes(data)
+    got = warc.derivatives(warc.read(spark, str(tmp_path))).collect()
+    assert [r.payload_digest for r in got] == ["sha256:P"] * 2 and all(r.block_digest == sha(bytes(r.block)) for r in got)
+    meta = json.loads(bytes(next(r.block for r in got if r.warc_type == "metadata")))
+    assert meta["Payload"]["Digest"] == "sha256:P" and meta["Container"]["Headers"] == others
+    assert all(meta["Container"][k] == v for k, v in named.items() if k != "WARC-Payload-Digest")
+    bare = warc.derivatives(warc.read(spark, str(tmp_path)).drop("block_digest", "payload_digest", "headers")).collect()
+    assert {r.payload_digest for r in bare} == {sha(http.partition(b"\r\n\r\n")[2])}
+    assert any(json.loads(bytes(r.block))["Container"]["WARC-Block-Digest"] == sha(http) for r in bare if r.warc_type == "metadata")
+
+
 def test_hostile_markup():
     for page in ("<a " * 60_000, "<title>" * 30_000, "<script>" * 30_000, "<!--" * 50_000, "<" * 100_000, "<a href='" * 30_000):
         list(warc.derive({"record_id": "<a>", "target_uri": None, "warc_date": None, "block": page.encode()}))
