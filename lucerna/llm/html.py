@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from functools import cache
+from itertools import takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -32,12 +33,16 @@ from .common import short_batches, sliced
 
 #: Elements by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option".split())
+RAW = frozenset("script style noscript template textarea title svg iframe object select option annotation annotation-xml".split())
 ASIDE = frozenset("nav footer aside form button dialog menu".split()) | RAW
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul caption".split()
 )
 SINGLE = frozenset("p li ul ol tr td th tbody thead tfoot table h1 h2 h3 h4 h5 h6 blockquote pre caption dt dd dl".split())
+#: Elements of formulas, whose tags tell nothing about the region.
+MATH = frozenset("math semantics mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot munder mover munderover mmultiscripts mtable mtr mtd mstyle mfenced mpadded mphantom menclose merror".split())
+#: Blocks that an article's own ids name, as the elements within a line do: no roles there.
+ANCHORS = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote dt dd tr td th caption figcaption summary section li".split())
 #: Elements that the start of another one ends.
 ENDS = {"p": frozenset("p".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 #: Elements that such an end doesn't reach beyond.
@@ -52,8 +57,11 @@ MARKS = frozenset(
 #: Beginnings of such words; and words beside which a header belongs to the article.
 BEGIN = ("comment", "advert", "sidebar", "cookie", "breadcrumb", "newsletter", "sponsor")
 NOT_BEGIN = frozenset(["commentary"])
-#: First words of class names that tell what an element has around or in it, not what it is.
+#: Words of class names after which they tell what an element has around or in it, not what it is.
 HAVING = frozenset("has have with without no".split())
+SIDE_BY_SIDE = re.compile(r"side[\W_]*by[\W_]*side")
+#: Ids of sections and list items in an article that hold comments, whatever else ids name.
+COMMENTS = re.compile(r"(?:comments?|respond|disqus)(?:[\W_]*(?:list|area|section|form|thread|\d+))*", re.I)
 OWN = frozenset("article post entry content story".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*+)>", re.S)
 CUT_OFF = re.compile(r"</?[a-zA-Z]")
@@ -79,14 +87,20 @@ class Page(NamedTuple):
 
 
 def marked(attributes: str, in_content: bool = False, element: str = "div") -> bool:
-    """Whether a tag's attributes hide its element or name a role that no article has. An article's own words outweigh others."""
+    """Whether a tag's attributes hide its element or name a role that no article has. An article's own words outweigh others.
+    in_content: inside an article or main, where ids of headings, paragraphs, sections and elements within a line are anchors."""
+    anchor = in_content and (element in ANCHORS or element not in BLOCK)
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
             return True
+        if name == "id" and anchor:
+            if element in ("section", "li") and COMMENTS.fullmatch(value.strip()):
+                return True
+            continue
         if name in ("class", "id", "role"):
-            each = [re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower() for x in value.split()]
-            words = [w for x in each if (part := re.findall(r"[a-z]+", x)) and part[0] not in HAVING for w in part]
+            each = [SIDE_BY_SIDE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower()) for x in value.split()]
+            words = [w for x in each for w in takewhile(lambda w: w not in HAVING, re.findall(r"[a-z]+", x))]
             own = not OWN.isdisjoint(words)
             if element == "article" and own:
                 return False
@@ -228,7 +242,7 @@ def best_region(seq: list[Token], weights: dict[str, float]) -> tuple[int, int]:
         if t.kind == "word":
             n = len(t.text.split())
             total += n * (weights.get(f"in {t.aside}", weights["aside"]) if t.aside else weights["word"])
-        else:
+        elif t.text not in MATH:
             total += weights.get(t.text, weights["tag"])
         if total <= 0:
             total, start = 0.0, i + 1

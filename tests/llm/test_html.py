@@ -103,6 +103,19 @@ def test_layouts(page):
         assert html.extract(f"<html><body>{page}</body></html>") == want
 
 
+@pytest.mark.parametrize("part", [
+    "<section id='discussion'><p>{}</p></section>", "<h2 id='related-work'>{}</h2>", "<h2 id='legal-notice'>{}</h2>", "<p id='alert'>{}</p>", "<p><span id='search'>{}</span></p>", "<div class='side-by-side'>{}</div>", "<div class='sideBySide'>{}</div>",
+    "<div class='content-with-sidebar'>{}</div>", "<p>{}</p>", "<section id='commentary'><p>{}</p></section>",
+])
+@pytest.mark.parametrize("wrap", ["article", "main"])
+def test_article_keeps_its_parts(part, wrap):
+    """Ids of headings, sections and the like are an article's anchors; formulas are text."""
+    say = "so <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x=1</annotation></semantics></math> holds"
+    out = "<section id='comments'><p>me too</p></section><ol><li id='comment-12'>and me</li></ol><div id='related'>more to read</div><div class='sidebar-with-ads'>buy</div>"
+    got = html.extract(f"<html><body><nav>{MENU}</nav><{wrap}>{TEXT}{part.format(say)}{out}</{wrap}><footer>end</footer></body></html>")
+    assert got == "first some words of the story here\nthen a few more of them\nso x=1 holds"
+
+
 def test_pages_without_an_article():
     for page in (f"<nav>{MENU}</nav><div class='ad'><p>buy it now</p></div>", f"<div class='ad'><p>buy it now</p></div><article></article><footer>end</footer>", f"<article></article><div class='comments'><article>me too</article></div>"):
         assert html.extract(page) == ""
