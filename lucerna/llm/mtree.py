@@ -15,9 +15,9 @@ score is still opened unless all its ids are larger.
 Queries are a stated set: they are taken in blocks of `BLOCK` vectors (fewer if they are long), each broadcast against
 all trees.
 
-Defined results: vectors that are null, of another length than the first, or hold null or non-finite
-components take no part, nor do null ids; a query's own id is no candidate, also where rows repeat it; of several
-query rows with one id the one with the smallest vector asks; repeated candidate rows each count; fewer than k
+Defined results: vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids; a
+query's candidates are the vectors of its length, and a tree holds vectors of one length; a query's own id is no
+candidate, also where rows repeat it; of several query rows with one id the smallest of the longest vectors asks; repeated candidate rows each count; fewer than k
 candidates give all of them; an empty table gives no rows; other columns are ignored.
 """
 
@@ -27,6 +27,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,9 +39,9 @@ TREE_ROWS, PAGE, BLOCK, BLOCK_VALUES = 16_384, 64, 16_384, 4_000_000
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): components floor(scale * x) as longs; only whole, finite vectors with an id."""
+    """(vec_id, v): components floor(scale * x) as longs; only whole, finite vectors with an id and a component at least."""
     x = F.col(vec_col)
-    fine = F.col(id_col).isNotNull() & x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    fine = F.col(id_col).isNotNull() & (F.size(x) > 0) & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
     return df.where(F.coalesce(fine, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(F.lit(float(scale)) * c.cast("double")).cast("long")).alias("v"))
 
 
@@ -158,28 +159,31 @@ def search(tree: dict, query: np.ndarray, own: int, top: float, best: list, k: i
         count.append(computed)
 
 
-def index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, int, float]:
-    """The table of trees (one pickled tree a row) over rows of `quantised`, the dimension and the squared
-    largest norm. Written to the shared folder."""
+def index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, dict[int, float]]:
+    """The table of trees (one pickled tree a row) over rows of `quantised`, and the squared largest norm of each
+    length. Written to the shared folder."""
     import pickle
 
     norm = F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
-    first = vectors.agg(F.min_by(F.size("v"), "vec_id"), F.count("*")).first()
-    dim, rows = first[0] or 0, first[1]
-    whole = vectors.where(F.size("v") == dim)
-    top = whole.agg(F.max(norm)).first()[0] or 0.0
-    top *= 1 + 1e-12
+    lengths = vectors.groupBy(F.size("v")).agg(F.max(norm), F.count("*")).collect()
+    tops, rows = {dim: top * (1 + 1e-12) for dim, top, _ in lengths}, sum(n for *_, n in lengths)
 
     def run(batches):
         ids, parts, held = [], [], 0
 
         def tree():
+            top = tops[parts[0].shape[1]]
             return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build(np.concatenate(ids), np.concatenate(parts), top), 5)], pa.binary())], ["tree"])
 
         for b in batches:
             at = 0
+            dims = pc.list_value_length(b.column(1)).to_numpy()
             while at < b.num_rows:
-                part = b.slice(at, tree_rows - held)
+                if held and dims[at] != parts[0].shape[1]:
+                    yield tree()
+                    ids, parts, held = [], [], 0
+                alike = int(np.searchsorted(dims, dims[at], "right")) - at
+                part = b.slice(at, min(alike, tree_rows - held))
                 ids.append(part.column(0).to_numpy())
                 parts.append(matrix(part.column(1)))
                 held, at = held + part.num_rows, at + part.num_rows
@@ -191,8 +195,8 @@ def index(vectors: DataFrame, tree_rows: int = TREE_ROWS) -> tuple[DataFrame, in
 
     # dealt by a hash of the id so that chunks are alike on every attempt and none is nearly empty
     tasks = max(1, -(-rows // (tree_rows // 2)))
-    dealt = whole.repartition(tasks, F.xxhash64("vec_id", "v")).sortWithinPartitions("vec_id", "v")
-    return spool(dealt.mapInArrow(run, "tree binary"), "trees"), dim, top
+    dealt = vectors.repartition(tasks, F.xxhash64("vec_id", "v")).sortWithinPartitions(F.size("v"), "vec_id", "v")
+    return spool(dealt.mapInArrow(run, "tree binary"), "trees"), tops
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, block: int = BLOCK, tree_rows: int = TREE_ROWS) -> DataFrame:
@@ -200,35 +204,39 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, block: int = BLOCK
     import pickle
 
     spark = vectors.sparkSession
-    trees, dim, top = index(vectors, tree_rows)
-    block = max(1, min(block, BLOCK_VALUES // max(1, dim)))
-    asked = queries.where(F.size("v") == dim).groupBy("vec_id").agg(F.min("v").alias("v"))
+    trees, tops = index(vectors, tree_rows)
+    asked = queries.groupBy("vec_id").agg(F.min(F.struct(-F.size("v"), "v")).getField("v").alias("v"))
     asked = spool(asked.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "vec_id").sortWithinPartitions("vec_id"), "queries")
 
     def one(batch: list) -> DataFrame:
-        ids = np.array([r[0] for r in batch], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([r[1] for r in batch], np.int64)))
+        alike: dict[int, list] = {}
+        for r in batch:
+            alike.setdefault(len(r[1]), []).append(r)
+        shared = spark.sparkContext.broadcast({dim: (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)) for dim, rows in alike.items()})
 
         def run(batches):
-            ids, asked = shared.value
-            best: list[list] = [[] for _ in ids]
+            best: dict[int, list[list]] = {dim: [[] for _ in ids] for dim, (ids, _) in shared.value.items()}
             for b in batches:
                 for held in b.column(0):
                     tree = pickle.loads(held.as_py())
-                    for own, query, heap in zip(ids.tolist(), asked, best):
-                        search(tree, query, own, top, heap, k)
-            rows = [(i, -v, s) for i, heap in zip(ids.tolist(), best) for s, v in heap]
+                    dim = tree["vectors"].shape[1]
+                    if dim in best:
+                        ids, asked = shared.value[dim]
+                        for own, query, heap in zip(ids.tolist(), asked, best[dim]):
+                            search(tree, query, own, tops[dim], heap, k)
+            rows = [(i, -v, s) for dim, (ids, _) in shared.value.items() for i, heap in zip(ids.tolist(), best[dim]) for s, v in heap]
             for at in range(0, len(rows), 10_000):
                 part = rows[at : at + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part], pa.int64()) for c in range(3)], ["query_id", "vec_id", "score"])
 
         return trees.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
-    found, held = None, []
+    found, held, values = None, [], 0
     for row in asked.toLocalIterator():  # a block at a time
+        if held and (len(held) == block or values + len(row[1]) > BLOCK_VALUES):
+            found, held, values = one(held) if found is None else found.union(one(held)), [], 0
         held.append(row)
-        if len(held) == block:
-            found, held = one(held) if found is None else found.union(one(held)), []
+        values += len(row[1])
     if held or found is None:
         found = one(held) if found is None else found.union(one(held))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -49,6 +49,15 @@ def test_odd_rows(spark):
     assert found(spark, [(0, [1.0, 2.0]), (7, [1.0])]) == set()  # another length takes no part
 
 
+def test_lengths(spark):
+    """Vectors are compared within each length, over several trees and query blocks; empty ones take no part."""
+    some, others = vectors(700, 4, 3), [(i + 1000, x) for i, x in vectors(300, 7, 4)]
+    want = brute(some) | brute(others)
+    odd = [(-2, []), (-1, [0.5]), (0, []), (0, [9.0]), (300, [])]
+    assert len(want) == 100 and found(spark, [*odd, *others, *some], tree_rows=64, block=3) == want
+    assert found(spark, [(0, []), (1, [])]) == set()
+
+
 def test_pruning_skips_distances():
     """On clustered vectors most distances aren't computed."""
     rng = np.random.default_rng(2)
