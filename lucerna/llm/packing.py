@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -168,12 +169,40 @@ def fillings(hist: np.ndarray, first: int, width: int) -> list[tuple[int, ...]]:
     return sorted(found, key=lambda x: (found[x], len(x), tuple(-w for w in x)))[:width]
 
 
+def completions(hist: np.ndarray, first: int) -> Iterator[tuple[int, ...]]:
+    """All completions of a bin that holds `first` to which no piece can be added, longest pieces first."""
+    left = hist.copy()
+    left[first] -= 1
+    space = w = len(hist) - 1 - first
+    content: list[int] = []
+    sizes = np.arange(len(hist))
+    while True:
+        while w > 0 and (w > space or not left[w]):
+            w -= 1
+        if w > 0:
+            content.append(w)
+            left[w] -= 1
+            space -= w
+            continue
+        if not left[1 : space + 1].any():
+            yield (first, *content)
+        if not content:
+            return
+        w = content.pop()
+        left[w] += 1
+        space += w
+        # without it, all shorter pieces together must leave too little room for it
+        w = w - 1 if space - left[:w] @ sizes[:w] < w else 0
+
+
 def solve(hist: np.ndarray, nodes: int = NODES, width: int = 3) -> list[tuple[tuple[int, ...], int]]:
     """Bins for a histogram of lengths, as few as `nodes` search nodes find: [(lengths, how many such bins)].
 
     The search completes the bin of the longest remaining piece, as often as the histogram allows, trying
     undominated fillings in order of their waste; a branch ends where its bins and the lower bound of what
     remains don't beat the incumbent. Every node's remainder packed by best fit is a candidate incumbent.
+    The dives take `width` fillings at their top and one below, each as often as it fits. If they end before the nodes do,
+    a second search goes through all completions, each any number of times, with the nodes that are left.
     """
     hist = hist.astype(np.int64).copy()
     hist[0] = 0
@@ -209,6 +238,34 @@ def solve(hist: np.ndarray, nodes: int = NODES, width: int = 3) -> list[tuple[tu
             rest, used, done = after[0]
         stack += others
         stack.append((rest, used, done))
+
+    def options(rest: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray, int]]:
+        for filling in completions(rest, int(np.flatnonzero(rest)[-1])) if rest.any() else ():
+            need = np.bincount(filling, minlength=len(rest))
+            for times in range(int(np.min(rest[need > 0] // need[need > 0])), 0, -1):
+                yield filling, need, times
+
+    seen = {hist.tobytes(): 0}
+    path = [(hist, 0, (), options(hist), goal)]
+    while path and spent < nodes and least > goal:
+        rest, used, done, more, low = path[-1]
+        if low >= least or (option := next(more, None)) is None:
+            path.pop()
+            continue
+        spent += 1
+        filling, need, times = option
+        rest, used, done = rest - need * times, used + times, ((filling, times), done)
+        if (low := used + bound(rest)) >= least or seen.get(key := rest.tobytes(), used + 1) <= used:
+            continue
+        seen[key] = used
+        tail = best_fit(rest)
+        if (total := used + sum(n for _, n in tail)) < least:
+            bins, chain = [], done
+            while chain:
+                bins.append(chain[0])
+                chain = chain[1]
+            best, least = bins + tail, total
+        path.append((rest, used, done, options(rest), low))
     return best
 
 

@@ -105,6 +105,29 @@ def test_branching_beats_best_fit():
     assert better
 
 
+@pytest.mark.parametrize("capacity, lengths", [(39, [7, 11, 13, 13, 14, 15, 17, 19, 21, 22]), (41, [9, 11, 11, 13, 16, 19, 19, 19, 20, 23]), (44, [11, 11, 14, 14, 17, 17, 18, 21, 22, 23]), (55, [11, 14, 16, 20, 22, 23, 23, 23, 28, 31])])
+def test_all_completions(capacity, lengths):
+    """Pieces that need a filling beyond those of the dives; the completions of a bin are those to which nothing can be added."""
+    hist = np.bincount(lengths, minlength=capacity + 1)
+    bins = packing.solve(hist)
+    assert sum(n for _, n in bins) == 4 and sorted(w for content, n in bins for w in content * n) == lengths
+    first, others = lengths[-1], lengths[:-1]
+    want = set()
+    for mask in range(1 << len(others)):
+        part = [w for k, w in enumerate(others) if mask >> k & 1]
+        room = capacity - first - sum(part)
+        if room >= 0 and all(w > room for k, w in enumerate(others) if not mask >> k & 1):
+            want.add((first, *sorted(part, reverse=True)))
+    got = list(packing.completions(hist, first))
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_many_short_pieces_end():
+    hist = np.bincount([*range(1, 40), 1024, 700, 400], minlength=1025)
+    assert len(list(packing.completions(np.bincount([*range(1, 40), 200], minlength=1025), 200))) == 1
+    assert sum(n for _, n in packing.solve(hist)) == packing.bound(hist)
+
+
 def test_hot_length(spark):
     """A length that nearly all rows share still gets distinct places."""
     rows = spark.range(20_000).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "IF(id % 10 = 0, 700L, 300L) AS length", "id AS ids_crc32")
