@@ -26,7 +26,7 @@ def stated_letter(text: Column, labels: Column) -> Column:
         rf"(?Ud)\A{S}*\(?([A-Fa-f])\)?{S}*\z",
         rf"(?Uid)\A{S}*\(?([A-F])\)?[).:\s\x1c-\x1f]+[^\s\x1c-\x1f]",
         rf"(?Uid)(?:answer|option|choice){S}+(?:is{S}+)?[(\[]?([A-F])[)\]]?\b",
-        rf"(?Ud)\b([A-Fa-f]){S}*\.?{S}*\z",
+        rf"(?Ud)\b([A-Fa-f]){S}*+\.?{S}*+\z",
     )
     letters = F.array(*[F.upper(F.regexp_extract(text, p, 1)) for p in patterns])  # '' where a pattern misses
     valid = F.transform(labels, lambda x: F.upper(x))
@@ -76,7 +76,7 @@ def open_answer(answer: Column) -> Column:
 
 def vote_text(raw: Column) -> Column:
     """An open answer as it is counted: lower case, no punctuation at the end, single spaces; null if nothing is left."""
-    return blank_to_null(F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), r"(?d)[.!?,;:]+$", ""), rf"(?U){S}+", " "))
+    return blank_to_null(F.regexp_replace(F.rtrim(F.lower(strip(raw)), F.lit(".!?,;:")), rf"(?U){S}+", " "))
 
 
 def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzzy: bool = True, voting: bool = False) -> DataFrame:
@@ -103,8 +103,11 @@ def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzz
 
 
 def citations(text: Column, last: int = V.LAST_PASSAGE) -> Column:
-    """Sorted distinct passage numbers from 1 to `last`."""
-    found = [F.regexp_extract_all(text, F.lit(f"(?Ud){p}"), F.lit(1)) for p in V.CITATIONS]
-    found[0] = F.flatten(F.transform(found[0], lambda x: F.split(x, ",")))
-    numbers = F.transform(F.concat(*found), lambda x: strip(x).try_cast("int"))
+    """Sorted distinct passage numbers from 1 to `last`: numbers in brackets (lists of them too) and parentheses, and after
+    the words of V.CITED. A bracket counts only if it is a list of numbers from end to end."""
+    every = lambda p: F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?Ud){p}"), F.lit(1)))
+    lists = F.transform(every(rf"\[(\d(?:[\d\s\x1c-\x1f,]*+(?<=\d))?)\]"), lambda x: F.transform(F.array_distinct(F.split(x, ",")), strip))
+    listed = F.flatten(F.filter(lists, lambda x: F.forall(x, lambda y: y.rlike(r"(?U)\A\d++\z"))))
+    found = F.concat(listed, every(r"\((\d++)\)"), *[every(rf"{word}{S}++(\d++)") for word in V.CITED])
+    numbers = F.transform(F.array_distinct(found), lambda x: x.try_cast("int"))
     return F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x.between(1, last))))

@@ -27,9 +27,10 @@ def refuses(text: Column) -> Column:
 
 
 def without_preamble(text: Column) -> Column:
-    """The text from the first label that starts a line on; all of it where there is none."""
-    found = extract(text, rf"(?Uids)((?:\A|\n){S}*\*{{0,3}}(?:{EVERY})\*{{0,3}}{S}*:.*)\z")
-    return F.coalesce(F.regexp_replace(found, r"\A\n+", ""), text)
+    """The text from the first label that starts a line on; all of it where there is none. White space before the label
+    counts from the first line end in its run, which is found by going through each run once."""
+    found = extract(text, rf"(?Uids)(?:\A|(?<!{S})[{S}&&[^\n]]*+(?=\n))({S}*+\*{{0,3}}(?:{EVERY})\*{{0,3}}{S}*+:.*+)\z")
+    return F.coalesce(F.ltrim(found, F.lit("\n")), text)
 
 
 def without_markup(text: Column) -> Column:
@@ -42,9 +43,10 @@ def without_markup(text: Column) -> Column:
 def labelled(text: Column, labels: list[str]) -> Column:
     """array<struct<k, v>> of label and value, in text order; a value ends at the next of these labels."""
     one = any_of(labels)
-    keys = F.regexp_extract_all(text, F.lit(rf"(?Uid)({one}){S}*:"), F.lit(1))
-    values = F.split(text, rf"(?Uid)(?:{one}){S}*:{S}*", -1)  # the first part comes before any label
-    return F.transform(keys, lambda k, i: F.struct(F.upper(k).alias("k"), strip(F.get(values, i + 1)).alias("v")))
+    keys = F.regexp_extract_all(text, F.lit(rf"(?Uid)({one}){S}*+:"), F.lit(1))
+    values = F.split(text, rf"(?Uid)(?:{one}){S}*+:{S}*+", -1)  # the first part comes before any label
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), keys), values, lambda k, v: F.struct(F.upper(k).alias("k"), strip(v).alias("v")))
+    return F.slice(pairs, 2, 2**31 - 1)
 
 
 def last_value(pairs: Column, label: str) -> Column:
@@ -71,8 +73,8 @@ def chinese_value(text: Column, label: str) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    """The first line that isn't blank, stripped, or null."""
-    return F.get(F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda x: x != ""), F.lit(0))
+    """The first line that isn't blank, stripped, or null. A stripped text begins with it."""
+    return blank_to_null(strip(F.substring_index(strip(text), "\n", 1)))
 
 
 def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy", kind: str = "type", choices: str = "choices", mode: str = "closed_book", fuzzy: bool = True) -> DataFrame:

@@ -20,7 +20,7 @@ REFUSALS = [
     r"I\s+cannot", r"I'm\s+unable", r"I\s+don't\s+have\s+(?:enough|sufficient)", r"as an AI", r"I\s+apologize",
     r"I\s+can't\s+(?:answer|provide)", r"I\s+am\s+not\s+able", r"I\s+do\s+not\s+have",
 ]
-CITATIONS = [r"\[(\d+(?:\s*,\s*\d+)*)\]", r"\((\d+)\)", r"[Pp]assage\s+(\d+)", r"[Ss]ource\s+(\d+)"]
+CITED = ["[Pp]assage", "[Ss]ource"]
 LAST_PASSAGE = 10
 CHINESE_ANSWER, CHINESE_REASON, CHINESE_CONFIDENCE = ["答案", "回答"], ["理由", "解释", "说明", "推理"], ["置信度", "信心"]
 CHINESE_OTHER = ["不确定"]

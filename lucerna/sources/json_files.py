@@ -79,9 +79,21 @@ def append_lines(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "stra
     df.write.mode("append").option("ignoreNullFields", "false").partitionBy(*by).json(path)
 
 
+#: A key that no line holds: after a whole value it is read, after anything else it isn't.
+_MARK = "lucerna-end-of-line"
+
+
 def valid_lines(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Rows whose line is JSON as Python's parser has it; blank and corrupt lines go. Spark's own readers take trailing junk
-    and single quotes, so the check runs in Python, over Arrow batches."""
+    """Rows whose line is JSON as Python's parser has it; blank and corrupt lines go.
+
+    Spark's parser takes trailing junk, so a line is put into an object before a marked key, which is only read if the line is
+    one whole value. What doesn't pass so (corrupt lines, but also NaN or very deep values) is tried by Python; lines that
+    pass reach Python as nulls.
+    """
+    line = F.col(column)
+    framed = F.try_parse_json(F.concat(F.lit('{"v":'), line, F.lit(f',"{_MARK}":0}}')))
+    whole = F.coalesce(~F.contains(line, F.lit(_MARK)) & F.try_variant_get(framed, f"$['{_MARK}']", "int").isNotNull(), F.lit(False))
+
     @F.pandas_udf(T.BooleanType())
     def good(values: pd.Series) -> pd.Series:
         import json
@@ -89,13 +101,14 @@ def valid_lines(lines: DataFrame, column: str = "value") -> DataFrame:
         def one(x):
             try:
                 json.loads(x)
-            except (TypeError, ValueError):
+            except (TypeError, ValueError, RecursionError):
                 return False
             return True
 
         return values.map(one)
 
-    return lines.where(good(F.col(column)))
+    checked = lines.withColumn("_whole", whole)
+    return checked.where(F.col("_whole") | good(F.when(~F.col("_whole"), line))).drop("_whole")
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -7,15 +7,14 @@ from pathlib import Path
 from ..functions.vocabulary import STRATEGIES
 
 REQUIRED = ("data", "models", "strategies", "inference", "output")
-ROLE = "You are a careful scientific expert."
-FORMAT = "Reply in EXACTLY this form:\n"
+ASK = "{question}\n{options_block}\n\n"
 #: Our wording; the slots {question}, {options_block}, {passages_block} and the labels are fixed.
 TEMPLATES = {
-    "da": f"{ROLE} Give a direct answer and a short reason.\n\n{{question}}\n{{options_block}}\n\n{FORMAT}ANSWER: <your answer>\nJUSTIFICATION: <one or two sentences>",
-    "ras": f"{ROLE} Answer, then judge your own reasoning.\n\n{{question}}\n{{options_block}}\n\n{FORMAT}ANSWER: <your answer>\nKEY REASONING: <the main steps>\nUNCERTAINTY: <what remains unsure>\nCONFIDENCE: <low/medium/high>",
-    "ctl": f"{ROLE} Reason step by step in silence and report only the outcome.\n\n{{question}}\n{{options_block}}\n\n{FORMAT}ANSWER: <your answer>\nRATIONALE: <a short account of the reasoning>",
+    "da": ASK + "Write two lines, each after its label.\nANSWER: the choice's letter, or a few words\nJUSTIFICATION: why, in brief",
+    "ras": ASK + "Fill in this sheet, a line for each label, and write nothing around it.\nANSWER: the choice's letter, or a few words\nKEY REASONING: what decided it\nUNCERTAINTY: what could overturn it\nCONFIDENCE: low, medium or high",
+    "ctl": ASK + "Work it out on your own paper first; hand in two lines only.\nANSWER: the choice's letter, or a few words\nRATIONALE: the argument in brief",
 }
-PASSAGES = "These passages may help. Cite the ones you use by number, such as [1] or [3].\n\n{passages_block}"
+PASSAGES = "Excerpts, numbered; put a number in brackets wherever one is used:\n{passages_block}"
 
 
 def load(path: str, required: tuple[str, ...] = REQUIRED) -> dict:

@@ -152,3 +152,44 @@ def test_random_noise(spark, seed):
     for got, row in zip(parsed(spark, rows), rows):
         want = plain(*row)
         assert {k: got[k] for k in want} == want, row
+
+
+# ---- hostile texts ----
+
+N = 1_000_000
+HOSTILE = {
+    "list": "[" + "1," * (N // 2) + "1]", "lists": "[1]" * (N // 3), "open list": "[" + "1, " * (N // 3), "brackets": "[" * N, "parens": "(1" * (N // 2), "digits": "(" + "1" * N, "passages": "passage " * (N // 8),
+    "lines": "x" + "\n" * N + "x", "spaces": "x" + " " * N + "x", "both": " \n" * (N // 2) + "x", "stars": "x" + "*" * N + "x", "ticks": "`" * N, "hashes": "\n#" * (N // 2), "ends": "x" + "!" * N + "x",
+    "labels": "ANSWER" * (N // 6), "fields": "\nANSWER:" * (N // 8), "label run": "ANSWER" + " " * N, "letters": "a " * (N // 2) + "x", "letter run": "a" + " " * N + "x", "answers": "answer " * (N // 7), "thoughts": "<think>" * (N // 7),
+    "chinese": "答案" * (N // 2), "reasons": "理由:" * (N // 3), "chinese run": "答案:" + "\n" * N, "refusal run": "I" + " " * N + "x",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_take_linear_time(spark, name):
+    """All text functions together on a megabyte; quadratic ones would take hours, repeated groups end the JVM."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from lucerna.functions import text
+
+    df, t = spark.createDataFrame([(HOSTILE[name],)], "t string"), F.col("t")
+    every = [
+        text.strip(t), parsing.without_thinking(t), parsing.without_preamble(t), parsing.without_markup(t), parsing.labelled(t, V.LABELS), parsing.refuses(t), parsing.chinese(t), parsing.chinese_value(t, "ANSWER"),
+        parsing.chinese_value(t, "JUSTIFICATION"), parsing.first_line(t), normalise.citations(t), normalise.truth(t), normalise.open_answer(t), normalise.vote_text(t), normalise.stated_letter(t, F.lit(["A", "B"])), normalise.sole_letter(t, F.lit(["A", "B"])),
+    ]
+    began = time.time()
+    df.select(*[F.xxhash64(c) for c in every]).collect()
+    assert time.time() - began < 20
+
+
+def test_citations_by_plain_patterns(spark):
+    rng = random.Random(9)
+    parts = ["[", "]", "(", ")", ",", " ", "1", "2", "10", "11", "\n", "\x1c", "passage ", "Passage", "source  ", "SOURCE 3", "x", "\t7", "[3, 4]", "(5)", "[6 ]", "[ 8]", "[9,]"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r.k: r.c for r in df.select("k", normalise.citations(df.t).alias("c")).collect()}
+    for k, t in enumerate(texts):
+        numbers = [y.strip() for x in re.findall(r"\[(\d+(?:\s*,\s*\d+)*)\]", t) for y in x.split(",")] + re.findall(r"\((\d+)\)", t) + re.findall(r"(?:[Pp]assage|[Ss]ource)\s+(\d+)", t)
+        assert got[k] == sorted({int(n) for n in numbers if 1 <= int(n) <= 10}), t
