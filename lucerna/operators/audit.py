@@ -163,3 +163,24 @@ def drift(full: DataFrame, part: DataFrame, column: str, limit: float = 2.0) ->
     b = value_shares(part, column).select(column, F.col("pct").alias("part_pct"))
     out = a.join(b, column, "left").na.fill(0.0, ["part_pct"]).withColumn("diff", F.abs(F.col("full_pct") - F.col("part_pct")))
     return out.withColumn("ok", F.col("diff") <= limit)
+
+
+def drift_gate(found: DataFrame) -> DataFrame:
+    """(max_diff, passed) over the rows of `drift`."""
+    return found.agg(F.max("diff").alias("max_diff"), F.coalesce(F.bool_and("ok"), F.lit(True)).alias("passed"))
+
+
+def fields(df: DataFrame) -> DataFrame:
+    """(path, dtype) of every field at every depth: elements of arrays as [], values of maps as {}."""
+    from pyspark.sql import types as T
+
+    def walk(kind, path):
+        if isinstance(kind, T.StructType):
+            return [x for f in kind.fields for x in walk(f.dataType, f"{path}.{f.name}" if path else f.name)]
+        if isinstance(kind, T.ArrayType):
+            return [(path, "array"), *walk(kind.elementType, f"{path}[]")]
+        if isinstance(kind, T.MapType):
+            return [(path, "map"), *walk(kind.valueType, path + "{}")]
+        return [(path, kind.simpleString())]
+
+    return df.sparkSession.createDataFrame(walk(df.schema, ""), "path string, dtype string")

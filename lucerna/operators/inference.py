@@ -56,10 +56,43 @@ class Backend(Protocol):
     def generate(self, prompts: list[str], settings: dict) -> list[tuple[int, list[tuple[str, int]]]]:
         """Per prompt: its tokens, and per sample the text and its tokens."""
 
+    def close(self) -> None:
+        """Gives back what the backend holds; called before a worker makes another one. May be left out."""
+
+
+class Scripted:
+    """A backend that needs no model: a prompt's reply is taken by its length; a token is a character."""
+
+    def __init__(self, replies: tuple[str, ...]):
+        self.replies = replies
+
+    @staticmethod
+    def of(replies: list[str]) -> Callable[[], Scripted]:
+        from functools import partial
+
+        return partial(Scripted, tuple(replies))
+
+    def generate(self, prompts: list[str], settings: dict) -> list[tuple[int, list[tuple[str, int]]]]:
+        said = [self.replies[len(p) % len(self.replies)] for p in prompts]
+        return [(len(p), [(t, len(t))] * settings["n"]) for p, t in zip(prompts, said)]
+
 
 _held: dict = {}
 
 
+def held(factory: Callable[[], Backend]) -> Backend:
+    """The worker's backend of a factory; it stays for later tasks, and another factory's one is released first."""
+    import pickle
+
+    key = pickle.dumps(factory)
+    if key not in _held:
+        for other in _held.values():
+            getattr(other, "close", lambda: None)()
+        _held.clear()
+        _held[key] = factory()
+    return _held[key]
+
+
 def generated(df: DataFrame, factory: Callable[[], Backend], settings: dict) -> DataFrame:
     """Adds `prompt_tokens` and `samples` (array<struct<text, tokens>>) by a backend, batch by batch."""
     names = df.columns
@@ -70,10 +103,7 @@ def generated(df: DataFrame, factory: Callable[[], Backend], settings: dict) ->
 
         kind = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int64())]))
         for b in batches:
-            if factory not in _held:  # stays for the worker's later tasks
-                _held.clear()
-                _held[factory] = factory()
-            out = _held[factory].generate(b.column(at).to_pylist(), settings)
+            out = held(factory).generate(b.column(at).to_pylist(), settings)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for n, _ in out], pa.int64()), pa.array([[{"text": t, "tokens": n} for t, n in s] for _, s in out], kind)], [*names, "prompt_tokens", "samples"])
 
     from pyspark.sql import types as T

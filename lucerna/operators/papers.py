@@ -46,3 +46,8 @@ def questions(papers: DataFrame) -> DataFrame:
 def mixed_share(q: DataFrame) -> DataFrame:
     """(n, mixed, pct)."""
     return q.agg(F.count("*").alias("n"), F.count_if("mixed").alias("mixed")).withColumn("pct", F.when(F.col("n") > 0, 100 * F.col("mixed") / F.col("n")).otherwise(0.0))
+
+
+def totals(papers: DataFrame) -> DataFrame:
+    """(split, papers, questions) of every split, all questions counted."""
+    return papers.groupBy("split").agg(F.count("*").alias("papers"), F.coalesce(F.sum(F.coalesce(F.size("paper.qas"), F.lit(0))), F.lit(0)).alias("questions"))

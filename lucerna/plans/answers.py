@@ -7,22 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import normalise, parsing
 from ..functions import vocabulary as V
 from ..operators import prompts, voting
+from . import parse_sql
 from .derived import RESPONSES, framed, framed_sql, pick, pick_sql, questions, responses
+from .parse_sql import CLEAN, CUT, OPEN, REFUSAL, TRIM
 from .registry import query, table
 
-W = r"[\s\x1c-\x1f\x0b\x85\xA0]"
-TRIM = lambda x: f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
-OPEN = f"o AS (SELECT *, {TRIM(chr(39).join(['regexp_replace(raw_response, ', r'<\|?think\|?>.*?<\|?/?think\|?>', ', ', '', ', ', 'gs', ')']))} AS open FROM r)"
-LABELS = "ANSWER|JUSTIFICATION|KEY REASONING|UNCERTAINTY|CONFIDENCE|RATIONALE"
-REFUSAL = "(?i)" + "|".join(V.REFUSALS).replace("'", "''")
-START = rf"(?is)(?:^|\n)\s*\*{{0,3}}(?:{LABELS})\*{{0,3}}\s*:.*$"
-CUT = f"c AS (SELECT *, CASE WHEN regexp_matches(open, '{START}') THEN ltrim(regexp_extract(open, '{START}', 0), chr(10)) ELSE open END AS cut FROM o)"
-CLEAN = (
-    "m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(cut, '```\\w*\\n?|```', '', 'g'), "
-    f"'\\*{{1,3}}({LABELS})\\*{{1,3}}', '\\1', 'gi'), '`({LABELS})`', '\\1', 'gi'), '(?m)^#{{1,4}}\\s*', '', 'g') AS clean FROM c)"
-)
-
-
 @query(f"WITH {RESPONSES}, {OPEN} SELECT question_id, open, regexp_matches(raw_response, '(?s)<\\|?think\\|?>.*?<\\|?/?think\\|?>') AS removed FROM o")
 def strip_think(spark, sf_dir):
     raw = F.col("raw_response")
@@ -75,11 +64,8 @@ def first_line(spark, sf_dir):
 CHOICE_ANSWERS = [" (b) ", "C. because {}", "so the Answer is [d] then", "it must be A.", "neither xyz", "zzz b zzz", "a thing of note", "The best option: {} D "]
 
 
-@query(f"""WITH {RESPONSES}, a AS (SELECT question_id, {TRIM(framed_sql('task', f'(doc_id % {len(CHOICE_ANSWERS)})', CHOICE_ANSWERS))} AS x, CASE WHEN len(choice_label) > 0 THEN choice_label ELSE ['A', 'B', 'C', 'D'] END AS valid FROM r WHERE type LIKE 'mcq%'),
-s AS (SELECT *, upper(regexp_extract(x, '^\\s*\\(?([A-Fa-f])\\)?\\s*$', 1)) AS s1, upper(regexp_extract(x, '(?i)^\\s*\\(?([A-F])\\)?[).:\\s]+\\S', 1)) AS s2,
-  upper(regexp_extract(x, '(?i)(?:answer|option|choice)\\s+(?:is\\s+)?[(\\[]?([A-F])[)\\]]?\\b', 1)) AS s3, upper(regexp_extract(x, '\\b([A-Fa-f])\\s*\\.?\\s*$', 1)) AS s4,
-  list_distinct(list_filter(list_transform(string_split(x, ''), lambda c: upper(c)), lambda c: list_contains(valid, c))) AS letters FROM a)
-SELECT question_id, CASE WHEN list_contains(valid, s1) THEN s1 WHEN list_contains(valid, s2) THEN s2 WHEN list_contains(valid, s3) THEN s3 WHEN list_contains(valid, s4) THEN s4 WHEN len(letters) = 1 THEN letters[1] END AS letter FROM s""")
+@query(f"""WITH {RESPONSES}, a AS (SELECT question_id, choice_label, {TRIM(framed_sql('task', f'(doc_id % {len(CHOICE_ANSWERS)})', CHOICE_ANSWERS))} AS x FROM r WHERE type LIKE 'mcq%')
+SELECT question_id, {parse_sql.choice('x', 'choice_label')} AS letter FROM a""")
 def mc_native(spark, sf_dir):
     rows = questions(spark, sf_dir).where(F.col("type").isin(V.CHOICE_TYPES))
     answer = framed(F.col("details.task"), F.pmod("doc_id", F.lit(len(CHOICE_ANSWERS))), CHOICE_ANSWERS)
@@ -97,53 +83,59 @@ def mc_fuzzy(spark, sf_dir):
 TRUTHS = ["Yes", " TRUE ", "Nothing of it", "I think this is wrong", "yesterday", "incorrect.", "maybe", "", "the right one, not false"]
 
 
-@query(f"""WITH {RESPONSES}, a AS (SELECT question_id, lower({TRIM(pick_sql(TRUTHS, f'(doc_id % {len(TRUTHS)})'))}) AS x FROM r), w AS (SELECT *, regexp_extract(x, '\\b(yes|no|true|false|correct|incorrect|right|wrong)\\b', 1) AS w FROM a)
-SELECT question_id, CASE WHEN x IN ('yes', 'true', 'correct', 'right') THEN 'Yes' WHEN x IN ('no', 'false', 'incorrect', 'wrong') THEN 'No' WHEN x LIKE 'yes%' THEN 'Yes' WHEN x LIKE 'no%' THEN 'No'
-  WHEN w IN ('yes', 'true', 'correct', 'right') THEN 'Yes' WHEN w <> '' THEN 'No' END AS verdict FROM w""")
+@query(f"WITH {RESPONSES}, a AS (SELECT question_id, {TRIM(pick_sql(TRUTHS, f'(doc_id % {len(TRUTHS)})'))} AS x FROM r) SELECT question_id, {parse_sql.truth('x')} AS verdict FROM a")
 def tf(spark, sf_dir):
     return questions(spark, sf_dir).select("question_id", normalise.truth(pick(TRUTHS, F.pmod("doc_id", F.lit(len(TRUTHS))))).alias("verdict"))
 
 
-@query(f"WITH {RESPONSES}, a AS (SELECT question_id, {TRIM('raw_response')} AS x FROM r) SELECT question_id, CASE WHEN x LIKE '%END' THEN {TRIM('left(x, length(x) - 3)')} ELSE x END AS answer FROM a")
+@query(f"WITH {RESPONSES}, a AS (SELECT question_id, {TRIM('raw_response')} AS x FROM r) SELECT question_id, {parse_sql.open_answer('x')} AS answer FROM a")
 def open_norm(spark, sf_dir):
     return responses(spark, sf_dir).select("question_id", normalise.open_answer(F.col("raw_response")).alias("answer"))
 
 
-@query(f"""WITH {RESPONSES}, n AS (SELECT question_id, list_concat(list_concat(flatten(list_transform(regexp_extract_all(raw_response, '\\[(\\d+(?:\\s*,\\s*\\d+)*)\\]', 1), lambda x: string_split(x, ','))), regexp_extract_all(raw_response, '\\((\\d+)\\)', 1)),
-  list_concat(regexp_extract_all(raw_response, '[Pp]assage\\s+(\\d+)', 1), regexp_extract_all(raw_response, '[Ss]ource\\s+(\\d+)', 1))) AS f FROM r)
-SELECT question_id, list_sort(list_distinct(list_filter(list_transform(f, lambda x: TRY_CAST(trim(x) AS INT)), lambda x: x BETWEEN 1 AND 10))) AS cited FROM n""")
+@query(f"WITH {RESPONSES} SELECT question_id, {parse_sql.citations('raw_response')} AS cited FROM r")
 def citations(spark, sf_dir):
     return responses(spark, sf_dir).select("question_id", normalise.citations(F.col("raw_response")).alias("cited"))
 
 
 OPEN_VOTES = ["  Alpha  beta. ", "alpha beta", "Gamma!", "gamma;", "!?"]
 TRUTH_VOTES = ["Yes", "true", "No, never", "wrong", "maybe"]
+CHOICE_VOTES = ["B", "(b)", "c) third", "the answer is B", "none of them"]
+VOTE_KINDS = {"filling": OPEN_VOTES, "true_or_false": TRUTH_VOTES, "mcq-4-choices": CHOICE_VOTES}
+ABCD = {"text": ["first", "second", "third", "fourth"], "label": ["A", "B", "C", "D"]}
 
 
 def sample_rows(spark, sf_dir):
-    """Five samples of every document's question."""
+    """Five samples of every document's question: open, truth and choice questions by its id."""
     i, s = F.col("doc_id"), F.col("sample_ix")
     rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.lit([0, 1, 2, 3, 4])).alias("sample_ix"))
-    at = F.pmod(i + s * (1 + F.pmod(i, F.lit(3))), F.lit(5))
-    open_kind = F.pmod(i, F.lit(2)) == 0
+    at = F.pmod(i + s * (1 + F.pmod(i, F.lit(4))), F.lit(5))
+    answers = [pick(x, at) for x in VOTE_KINDS.values()]
+    given = F.struct(*[F.lit(v).alias(k) for k, v in ABCD.items()])
     return rows.select(
-        "doc_id", "sample_ix", F.when(open_kind, "filling").otherwise("true_or_false").alias("type"), F.lit(None).cast("struct<text:array<string>,label:array<string>>").alias("choices"),
-        F.when(open_kind, pick(OPEN_VOTES, at)).otherwise(pick(TRUTH_VOTES, at)).alias("answer"), F.lit(None).cast("string").alias("answer_normalized"),
+        "doc_id", "sample_ix", pick(list(VOTE_KINDS), F.pmod(i, F.lit(3))).alias("type"), F.when(F.pmod(i, F.lit(3)) == 2, given).alias("choices"),
+        F.when(F.pmod(i, F.lit(3)) == 0, answers[0]).when(F.pmod(i, F.lit(3)) == 1, answers[1]).otherwise(answers[2]).alias("answer"), F.lit(None).cast("string").alias("answer_normalized"),
         (F.pmod(i + s, F.lit(11)) != 0).alias("parse_success"), (F.pmod(i * 3 + s, F.lit(4)) == 0).alias("refusal"),
     )
 
 
-@query(f"""WITH s AS (SELECT doc_id, k AS sample_ix, doc_id % 2 = 0 AS o, CASE WHEN doc_id % 2 = 0 THEN {pick_sql(OPEN_VOTES, '((doc_id + k * (1 + doc_id % 3)) % 5)')} ELSE {pick_sql(TRUTH_VOTES, '((doc_id + k * (1 + doc_id % 3)) % 5)')} END AS a,
+def outcome(votes):
+    """The columns of a vote that the queries return; vote counts as text, the most votes first."""
+    counts = F.array_join(F.transform("vote_counts", lambda x: F.concat_ws("=", x["answer"], x["n"].cast("string"))), " | ")
+    return votes.withColumn("vote_counts", counts).withColumn("agreement_ratio", F.round("agreement_ratio", 6))
+
+
+OUTCOME = ["final_answer", "vote_counts", "total_samples", "valid_samples", "votes", "sc_success", "agreement_ratio", "tie_broken"]
+_VOTE_AT = "((doc_id + k * (1 + doc_id % 4)) % 5)"
+
+
+@query(f"""WITH s AS (SELECT doc_id, k AS sample_ix, {pick_sql(list(VOTE_KINDS), '(doc_id % 3)')} AS type, ['A', 'B', 'C', 'D'] AS choice_label,
+  CASE doc_id % 3 WHEN 0 THEN {pick_sql(OPEN_VOTES, _VOTE_AT)} WHEN 1 THEN {pick_sql(TRUTH_VOTES, _VOTE_AT)} ELSE {pick_sql(CHOICE_VOTES, _VOTE_AT)} END AS a,
   (doc_id + k) % 11 <> 0 AND (doc_id * 3 + k) % 4 <> 0 AS valid FROM documents, (SELECT unnest([0, 1, 2, 3, 4]) AS k)),
-v AS (SELECT *, CASE WHEN NOT valid THEN NULL WHEN o THEN nullif(regexp_replace(regexp_replace(lower(trim(a)), '[.!?,;:]+$', ''), '\\s+', ' ', 'g'), '') WHEN a IN ('Yes', 'true') THEN 'Yes' WHEN a IN ('No, never', 'wrong') THEN 'No' END AS vote FROM s),
-c AS (SELECT doc_id, vote, count(*) AS n, min(sample_ix) AS f FROM v WHERE vote IS NOT NULL GROUP BY ALL),
-w AS (SELECT doc_id, arg_min(vote, -n * 10 + f) AS winner, max(n) AS top, sum(n)::BIGINT AS votes FROM c GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS tied FROM c JOIN w USING (doc_id) WHERE n = top GROUP BY doc_id)
-SELECT d.doc_id, coalesce(winner, '') AS final_answer, 5::BIGINT AS total_samples, valid_samples, coalesce(votes, 0) AS votes, coalesce(votes, 0) >= 3 AS sc_success, coalesce(round(top / votes, 6), 0.0) AS agreement_ratio, coalesce(votes, 0) >= 3 AND tied > 1 AS tie_broken
-FROM (SELECT doc_id, count(*) FILTER (valid) AS valid_samples FROM v GROUP BY doc_id) d LEFT JOIN w USING (doc_id) LEFT JOIN t USING (doc_id)""")
+t AS (SELECT *, {TRIM('a')} AS x FROM s), voted AS (SELECT doc_id, sample_ix, valid, CASE WHEN valid THEN {parse_sql.normal('x', parse_sql.vote_text('x'))} END AS vote FROM t),
+{parse_sql.votes('doc_id')} SELECT * FROM outcome""")
 def vote(spark, sf_dir):
-    out = voting.majority(voting.votes(sample_rows(spark, sf_dir), fuzzy=False), ["doc_id"])
-    return out.select("doc_id", "final_answer", "total_samples", "valid_samples", "votes", "sc_success", F.round("agreement_ratio", 6).alias("agreement_ratio"), "tie_broken")
+    return outcome(voting.majority(voting.votes(sample_rows(spark, sf_dir), fuzzy=False), ["doc_id"])).select("doc_id", *OUTCOME)
 
 
 @query()
@@ -151,3 +143,13 @@ def parse_full(spark, sf_dir):
     """Every step on noisy responses; the likeness step has no SQL form, and tests compare with plain Python."""
     rows = responses(spark, sf_dir).withColumn("choices", prompts.choices_or_null())
     return parsing.parse(rows, mode="rag").select("question_id", "type", "strategy", "parsed.*")
+
+
+PARSED_COLUMNS = ["answer", "answer_normalized", "justification", "rationale", "key_reasoning", "uncertainty", "confidence", "citations", "parse_success", "parse_errors", "refusal", "think_block_removed"]
+
+
+@query(f"WITH {RESPONSES}, {parse_sql.PARSED} SELECT question_id, type, strategy, {', '.join(PARSED_COLUMNS)} FROM parsed")
+def parse_full_native(spark, sf_dir):
+    """Every step but likeness on noisy responses, with passages."""
+    rows = responses(spark, sf_dir).withColumn("choices", prompts.choices_or_null())
+    return parsing.parse(rows, mode="rag", fuzzy=False).select("question_id", "type", "strategy", *[f"parsed.{c}" for c in PARSED_COLUMNS])

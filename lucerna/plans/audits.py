@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import shortened
 from ..operators import audit, papers, ranking
+from ..sources import json_files
 from .derived import QUESTIONS, questions
 from .registry import query, table
 
@@ -149,7 +150,10 @@ def split_exact(spark, sf_dir):
     return split_rows(spark, sf_dir)
 
 
-@query("SELECT unnest(['size_dev', 'size_holdout', 'size_main_test', 'disjoint_dev_holdout', 'disjoint_dev_main_test', 'disjoint_holdout_main_test', 'sum']) AS check_name, true AS ok")
+@query(f"""{SPLIT}, rest AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dev) AND doc_id NOT IN (SELECT doc_id FROM hold)),
+n AS (SELECT (SELECT count(*) FROM dev) AS dev, (SELECT count(*) FROM hold) AS holdout, (SELECT count(*) FROM rest) AS rest, (SELECT count(*) FROM documents) AS total)
+SELECT unnest(['size_dev', 'size_holdout', 'size_main_test', 'disjoint_dev_holdout', 'disjoint_dev_main_test', 'disjoint_holdout_main_test', 'sum']) AS check_name,
+  unnest([dev = 100, holdout = 50, rest = total - 150, (SELECT count(*) FROM dev JOIN hold USING (doc_id)) = 0, (SELECT count(*) FROM dev JOIN rest USING (doc_id)) = 0, (SELECT count(*) FROM hold JOIN rest USING (doc_id)) = 0, dev + holdout + rest = total]) AS ok FROM n""")
 def split_checks(spark, sf_dir):
     parts = split_rows(spark, sf_dir)
     total = docs(spark, sf_dir).count()
@@ -165,6 +169,13 @@ def sample_drift(spark, sf_dir):
     return out.select("lang", *[F.round(c, 6).alias(c) for c in ("full_pct", "part_pct", "diff")], "ok")
 
 
+@query(f"""WITH {_pass('dev', 'documents', 100)}, d AS (SELECT lang, 100.0 * count(*) / (SELECT count(*) FROM documents) AS f, 100.0 * count(*) FILTER (doc_id IN (SELECT doc_id FROM dev)) / 100 AS p FROM documents GROUP BY lang)
+SELECT round(max(abs(f - p)), 6) AS max_diff, max(abs(f - p)) <= 2 AS passed FROM d""")
+def drift_gate(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", "lang")
+    return audit.drift_gate(audit.drift(rows, ranking.sample(rows, "doc_id", "lang", 100, 42), "lang")).withColumn("max_diff", F.round("max_diff", 6))
+
+
 @query(f"""{STRATA}, f AS (SELECT (SELECT stratum FROM s ORDER BY n, stratum LIMIT 1) AS rarest, (SELECT min(n) FROM s) AS rarest_n, (SELECT sum(n) FROM s)::BIGINT AS total),
 o AS (SELECT * FROM (VALUES (1, 0.1::DOUBLE, 0.05::DOUBLE), (2, 0.08, 0.04), (3, 0.12, 0.06)) t(option_no, dev_pct, holdout_pct)),
 r AS (SELECT *, CAST(round_even(total * dev_pct, 0) AS BIGINT) AS dev, CAST(round_even(total * holdout_pct, 0) AS BIGINT) AS holdout, CAST(round_even(rarest_n * dev_pct, 0) AS BIGINT) AS rarest_dev, CAST(round_even(rarest_n * holdout_pct, 0) AS BIGINT) AS rarest_holdout FROM o, f)
@@ -229,3 +240,25 @@ def answer_type(spark, sf_dir):
 @query(f"WITH {PAPER} SELECT count(*) AS n, count(*) FILTER (m = 2 AND t1 <> t2) AS mixed, round(100.0 * count(*) FILTER (m = 2 AND t1 <> t2) / count(*), 6) AS pct FROM p")
 def mixed_types(spark, sf_dir):
     return papers.mixed_share(papers.questions(paper_rows(spark, sf_dir))).withColumn("pct", F.round("pct", 6))
+
+
+@query("SELECT 'train' AS split, count(*) AS papers, count(*) AS questions FROM documents")
+def paper_totals(spark, sf_dir):
+    return papers.totals(paper_rows(spark, sf_dir))
+
+
+@query("""SELECT unnest(['split', 'paper_id', 'paper.title', 'paper.qas', 'paper.qas[].question', 'paper.qas[].question_id', 'paper.qas[].answers', 'paper.qas[].answers[].answer.unanswerable', 'paper.qas[].answers[].answer.extractive_spans',
+  'paper.qas[].answers[].answer.extractive_spans[]', 'paper.qas[].answers[].answer.free_form_answer', 'paper.qas[].answers[].answer.yes_no', 'paper.qas[].answers[].answer.evidence', 'paper.qas[].answers[].answer.evidence[]']) AS path,
+  unnest(['string', 'string', 'string', 'array', 'string', 'string', 'array', 'boolean', 'array', 'string', 'string', 'boolean', 'array', 'string']) AS dtype""")
+def nested_fields(spark, sf_dir):
+    """The nested structure of a paper: a description of the schema, which no data decides."""
+    return audit.fields(paper_rows(spark, sf_dir))
+
+
+@query("SELECT lang, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
+def table_sink(spark, sf_dir):
+    """A table written as Parquet, written over, and read back."""
+    path = json_files.work_folder(spark, "table")
+    for rows in (docs(spark, sf_dir).limit(1), docs(spark, sf_dir)):
+        json_files.write_table(rows, path)
+    return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import parsing
 from ..operators import inference, prompts
 from ..operators import runs as ops
 from ..sources import json_files
-from .derived import QUESTIONS, pick, questions
+from . import parse_sql
+from .answers import OUTCOME, outcome
+from .derived import FRAMES, QUESTIONS, RESPONSES, framed, framed_sql, pick, pick_sql, questions, responses
+from .parse_sql import TRIM
+from .prompting import mock_sql, prompt_sql
 from .registry import query, table
 
 MODELS, STRATEGIES = ["model-a", "model-b", "model-c"], ["da", "ras", "ctl", "sc"]
@@ -67,34 +72,122 @@ def jsonl_count(spark, sf_dir):
     return json_files.valid_lines(table(spark, sf_dir, "documents").select(line.alias("value"))).agg(F.count("*").alias("n"))
 
 
+def done_samples(spark, sf_dir):
+    """Records of repeated samples, judged by their vote."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select("doc_id", F.lit("model-a").alias("model"), F.when(F.pmod("doc_id", F.lit(2)) == 0, "sc").otherwise("ras").alias("strategy"), (F.pmod("doc_id", F.lit(3)) == 0).alias("parse_success"), (F.pmod("doc_id", F.lit(5)) != 0).alias("sc_success"))
+
+
+@query("SELECT 'model-a' AS model, CASE WHEN doc_id % 2 = 0 THEN 'sc' ELSE 'ras' END AS strategy, count(*) AS n, round(100 * avg(CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 5 <> 0 AS INT) ELSE CAST(doc_id % 3 = 0 AS INT) END), 6) AS parse_rate FROM documents GROUP BY ALL")
+def cell_vote_rate(spark, sf_dir):
+    """Cells of repeated samples count by the vote's success, others by the parse's."""
+    return ops.parse_rates(done_samples(spark, sf_dir)).withColumn("parse_rate", F.round("parse_rate", 6))
+
+
+NOW = "2024-01-01T00:00:00+00:00"
+
+
 def answered(spark, sf_dir, strategy: str):
     asked = questions(spark, sf_dir).withColumn("prompt", prompts.prompt(F.col("question"), strategy, prompts.choices_or_null()))
     done = inference.mocked(asked, strategy, inference.sampling(strategy, {}))
-    return inference.records(done, "mock", strategy, fuzzy=False, now="2024-01-01T00:00:00+00:00")
+    return inference.records(done, "mock", strategy, fuzzy=False, now=NOW)
 
 
-@query(f"WITH {QUESTIONS} SELECT type, count(*) AS n, 100.0::DOUBLE AS parse_rate FROM q GROUP BY type")
+@query(f"WITH {RESPONSES}, {parse_sql.PARSED} SELECT type, count(*) AS n, round(100 * avg(CAST(parse_success AS INT)), 6) AS parse_rate, count(*) FILTER (refusal) AS refusals, count(*) FILTER (len(parse_errors) > 0) AS errors FROM parsed GROUP BY type")
 def parse_rate(spark, sf_dir):
-    """Prompt, mock response, parse and parse rate by question type."""
-    done = answered(spark, sf_dir, "da")
-    return done.groupBy(F.col("question_type").alias("type")).agg(F.count("*").alias("n"), (100 * F.avg(F.col("parsed.parse_success").cast("double"))).alias("parse_rate"))
+    """Parse rate, refusals and errors by question type over noisy responses."""
+    done = parsing.parse(responses(spark, sf_dir).withColumn("choices", prompts.choices_or_null()), fuzzy=False)
+    rate = 100 * F.avg(F.col("parsed.parse_success").cast("double"))
+    return done.groupBy("type").agg(F.count("*").alias("n"), F.round(rate, 6).alias("parse_rate"), F.count_if("parsed.refusal").alias("refusals"), F.count_if(F.size("parsed.parse_errors") > 0).alias("errors"))
+
 
+def _mocked(strategy: str) -> str:
+    return f"{QUESTIONS}, r AS (SELECT *, '{strategy}' AS strategy, {mock_sql(strategy)} AS raw_response FROM q)"
 
-@query(f"WITH {QUESTIONS} SELECT question_id, CASE WHEN type LIKE 'mcq%' THEN answerKey ELSE answer END AS gold_answer, CASE WHEN type LIKE 'mcq%' THEN answerKey WHEN type = 'true_or_false' THEN 'No' ELSE 'The method needs careful preparation.' END AS answer_normalized, 50::BIGINT AS prompt_tokens FROM q")
+
+@query(f"""WITH {_mocked('ctl')}, {parse_sql.PARSED}, pr AS (SELECT question_id, md5(prompt) AS prompt_md5 FROM ({prompt_sql('ctl')}))
+SELECT question_id, md5(question) AS question_md5, type AS question_type, domain, level, CASE WHEN type LIKE 'mcq%' THEN answerKey ELSE given END AS gold_answer, array_to_string(choice_text, '|') AS choice_text, 'mock' AS model, strategy, prompt_md5, raw_response,
+  answer, answer_normalized, rationale, parse_success, refusal, 50::BIGINT AS prompt_tokens, len(string_split_regex(raw_response, '\\s+')) AS completion_tokens, '{NOW}' AS timestamp FROM parsed JOIN pr USING (question_id)""")
 def output_records(spark, sf_dir):
-    return answered(spark, sf_dir, "ctl").select("question_id", "gold_answer", "parsed.answer_normalized", "prompt_tokens")
+    """Records of a greedy cell."""
+    done = answered(spark, sf_dir, "ctl")
+    return done.select(
+        "question_id", F.md5("question").alias("question_md5"), "question_type", "domain", "details.level", "gold_answer", F.coalesce(F.array_join("choices.text", "|"), F.lit("")).alias("choice_text"), "model", "strategy", F.md5("prompt").alias("prompt_md5"), "raw_response",
+        *[f"parsed.{c}" for c in ("answer", "answer_normalized", "rationale", "parse_success", "refusal")], "prompt_tokens", "completion_tokens", "timestamp",
+    )
+
 
+_AT = "((doc_id * 2 + k * (doc_id % 4 + 1)) % 9)"
 
-@query(f"WITH {QUESTIONS} SELECT question_id, CASE WHEN type LIKE 'mcq%' THEN answerKey WHEN type = 'true_or_false' THEN 'No' ELSE 'the standard procedure' END AS final_answer, true AS sc_success, 5::BIGINT AS valid_samples FROM q")
+
+@query(f"""WITH {QUESTIONS}, r AS (SELECT *, k AS sample_ix, 'sc' AS strategy, {framed_sql('task', _AT, FRAMES)} AS raw_response FROM q, (SELECT unnest([0, 1, 2, 3, 4]) AS k)), {parse_sql.PARSED},
+x AS (SELECT *, parse_success AND NOT refusal AS valid, {TRIM("coalesce(nullif(answer_normalized, ''), answer)")} AS y FROM parsed),
+voted AS (SELECT question_id, sample_ix, valid, CASE WHEN valid THEN {parse_sql.normal('y', parse_sql.vote_text('y'))} END AS vote FROM x), {parse_sql.votes('question_id')},
+per AS (SELECT question_id, list(coalesce(answer_normalized, '?') ORDER BY sample_ix) AS each, sum(length(raw_response))::BIGINT AS completion_tokens FROM x GROUP BY question_id) SELECT * FROM outcome JOIN per USING (question_id)""")
 def sampled_records(spark, sf_dir):
-    return answered(spark, sf_dir, "sc").select("question_id", "sc_result.final_answer", "sc_result.sc_success", "sc_result.valid_samples")
+    """Records of repeated samples over noisy responses, with their votes, each sample's parse and all tokens."""
+    i = F.col("doc_id")
+    texts = [framed(F.col("details.task"), F.pmod(i * 2 + k * (F.pmod(i, F.lit(4)) + 1), F.lit(9)), FRAMES) for k in range(5)]
+    samples = F.array(*[F.struct(t.alias("text"), F.length(t).cast("long").alias("tokens")) for t in texts])
+    asked = questions(spark, sf_dir).withColumn("prompt", F.lit("")).withColumn("prompt_tokens", F.lit(0).cast("long")).withColumn("samples", samples)
+    done = inference.records(asked, "noisy", "sc", fuzzy=False, now=NOW)
+    each = F.transform("sc_result.per_sample", lambda p: F.coalesce(p["answer_normalized"], F.lit("?"))).alias("each")
+    return outcome(done.select("question_id", "sc_result.*", each, "completion_tokens")).select("question_id", *OUTCOME, "each", "completion_tokens")
 
 
-@query("SELECT count(*) AS good_total, count(*) AS good_parsed, 2::BIGINT AS bad_total, 2::BIGINT AS bad_failed, 100.0::DOUBLE AS parse_rate, 0.0::DOUBLE AS false_positive_rate FROM documents")
+@query(f"""WITH {RESPONSES}, {parse_sql.PARSED}, v AS (SELECT doc_id % 9 NOT IN (3, 7) AS good, parse_success AS ok, NOT parse_success OR refusal AS caught FROM parsed),
+t AS (SELECT count(*) FILTER (good) AS good_total, count(*) FILTER (good AND ok) AS good_parsed, count(*) FILTER (NOT good) AS bad_total, count(*) FILTER (NOT good AND caught) AS bad_failed FROM v)
+SELECT *, round(100.0 * good_parsed / good_total, 6) AS parse_rate, round(100.0 * (bad_total - bad_failed) / bad_total, 6) AS false_positive_rate FROM t""")
 def validation(spark, sf_dir):
-    from ..functions import parsing
-
-    good = answered(spark, sf_dir, "da").select("parsed.parse_success", "parsed.refusal", F.lit(True).alias("good"))
-    bad = spark.createDataFrame([("I cannot help with that.", "da", "true_or_false"), ("   ", "da", "true_or_false")], "raw_response string, strategy string, type string")
-    bad = parsing.parse(bad.withColumn("choices", F.lit(None).cast("struct<text:array<string>,label:array<string>>")), fuzzy=False).select("parsed.parse_success", "parsed.refusal", F.lit(False).alias("good"))
-    return ops.validation(good.union(bad).select(F.struct("parse_success", "refusal").alias("parsed"), "good"))
+    """Tallies over noisy responses; refusals and blank ones are the bad ones."""
+    done = parsing.parse(responses(spark, sf_dir).withColumn("choices", prompts.choices_or_null()), fuzzy=False)
+    out = ops.validation(done.withColumn("good", ~F.pmod("doc_id", F.lit(len(FRAMES))).isin(3, 7)))
+    return out.withColumn("parse_rate", F.round("parse_rate", 6)).withColumn("false_positive_rate", F.round("false_positive_rate", 6))
+
+
+REPLIES = ["ANSWER: B\nJUSTIFICATION: {} by length", "no label", "ANSWER: Yes"]
+
+
+@query(f"""WITH {QUESTIONS}, w AS (SELECT question_id, length(prompt) AS n FROM ({prompt_sql('da')}))
+SELECT question_id, n::BIGINT AS prompt_tokens, {pick_sql(REPLIES, '(n % 3)')} AS raw, length({pick_sql(REPLIES, '(n % 3)')})::BIGINT AS completion_tokens FROM w""")
+def generated_records(spark, sf_dir):
+    """Every prompt answered by a backend in the workers, batch by batch."""
+    asked = questions(spark, sf_dir).withColumn("prompt", prompts.prompt(F.col("question"), "da", prompts.choices_or_null()))
+    done = inference.generated(asked, inference.Scripted.of(REPLIES), inference.sampling("da", {}))
+    first = F.get("samples", F.lit(0))
+    return done.select("question_id", "prompt_tokens", first["text"].alias("raw"), first["tokens"].alias("completion_tokens"))
+
+
+@query("""WITH t AS (SELECT count(*) AS n FROM documents), l AS (SELECT unnest([0, 50, 80, NULL]) AS lim, unnest([1, 2, 3, 4]) AS run_no),
+w AS (SELECT run_no, least(coalesce(lim, n), n) AS total FROM l, t), x AS (SELECT *, total - coalesce(lag(total) OVER (ORDER BY run_no), 0) AS processed, total - (total - coalesce(lag(total) OVER (ORDER BY run_no), 0)) AS skipped FROM w)
+SELECT run_no::INT AS run_no, total, processed, skipped, CASE WHEN total > 0 AND processed = 0 THEN 'skipped' ELSE 'complete' END AS status, total AS records FROM x""")
+def run_resume(spark, sf_dir):
+    """A mocked cell run with growing limits into one folder: each run adds what is missing, and the folder holds each question once."""
+    q = questions(spark, sf_dir).select("doc_id", "question_id", "question", "type", "domain", "details", "answerKey", "choices", "answer")
+    out = json_files.work_folder(spark, "runs")
+    rows = []
+    for k, limit in enumerate([0, 50, 80, None], 1):
+        s = ops.run_cell(q, {"models": {"m": {}}, "strategies": ["da"]}, "m", "da", out, limit)
+        rows.append((k, s["total"], s["processed"], s["skipped"], s["status"], json_files.count_lines(spark, out)))
+    return spark.createDataFrame(rows, "run_no int, total long, processed long, skipped long, status string, records long")
+
+
+@query("SELECT 'ske-docs-' || printf('%05d', row_number() OVER (ORDER BY doc_id) - 1) AS question_id, coalesce(text, '') AS question, source AS task FROM documents")
+def question_array(spark, sf_dir):
+    """Questions written as one JSON array and read back with ids by place."""
+    path = f"{json_files.work_folder(spark, 'arrays')}/docs.json"
+    json_files.write_array(questions(spark, sf_dir).orderBy("doc_id").select("question", "answer", "type", "domain", "details", "answerKey", "choices"), path)
+    return json_files.read_questions(spark, path).select("question_id", "question", "details.task")
+
+
+@query("SELECT md5(string_agg('doc ' || doc_id || chr(10), '' ORDER BY doc_id)) AS md5, 0::BIGINT AS mismatches, 1::BIGINT AS missing FROM documents")
+def manifest(spark, sf_dir):
+    """The checksum of a file of lines, and what a manifest of it and of a file that isn't there finds."""
+    folder = json_files.work_folder(spark, "sums")
+    lines = table(spark, sf_dir, "documents").select("doc_id").orderBy("doc_id").coalesce(1).select(F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("value"))
+    lines.write.text(f"{folder}/data")
+    sums = json_files.checksums(spark, f"{folder}/data/part-*")
+    listed = sums.select(F.concat_ws("  ", "md5", "file").alias("value")).union(spark.createDataFrame([("0" * 32 + "  absent.txt",)], "value string"))
+    listed.write.text(f"{folder}/manifest")
+    bad = json_files.mismatches(spark, f"{folder}/data/part-*", f"{folder}/manifest").agg(F.count_if(F.col("md5").isNotNull()).alias("mismatches"), F.count_if(F.col("md5").isNull()).alias("missing"))
+    return sums.select("md5").crossJoin(F.broadcast(bad))  # one row by one row

@@ -24,6 +24,24 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that spark.checkpoint.dir names, which executors share; it goes when the driver's JVM ends.
+    A folder of this machine serves only where the session names none and runs in one process; else ValueError."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="lucerna-")
+    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def numbered(df: DataFrame, split: str, order: list[str]) -> DataFrame:
     """question_id from the position in the given order. Positions run through the whole file, so this is done once,
     when questions are taken in, and the id kept."""
@@ -64,14 +82,26 @@ def stage_archive(archive: str, folder: str, word: str) -> list[str]:
 
 
 def write_array(df: DataFrame, path: str) -> None:
-    """One JSON array; an export for small results, made by the driver from rows as they come."""
+    """One JSON array, indented; an export for small results, made by the driver from rows as they come, in any store that Spark
+    writes to."""
     import json
 
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
-        for k, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-            f.write(("," if k else "") + "\n" + json.dumps(json.loads(row.j), ensure_ascii=False, indent=2))
-        f.write("\n]\n")
+    sc = df.sparkSession.sparkContext
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
+    held = ["["]
+    for k, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
+        held.append(("," if k else "") + "\n" + json.dumps(json.loads(row.j), ensure_ascii=False, indent=2))
+        if len(held) == 1000:
+            out.write(bytearray("".join(held).encode()))
+            held = []
+    out.write(bytearray(("".join(held) + "\n]\n").encode()))
+    out.close()
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """Parquet, replacing what is there."""
+    df.write.mode("overwrite").parquet(path)
 
 
 def append_lines(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "strategy")) -> None:
