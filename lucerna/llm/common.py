@@ -49,27 +49,57 @@ def columns(df: DataFrame, but: tuple[str, ...] = ()) -> list[Column]:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the session names none."""
+    """The folder named by spark.checkpoint.dir. Where the session names none, a temporary one serves a session that is one
+    process (local master); on a cluster that raises ValueError, since executors wouldn't see each other's files."""
     sc = spark.sparkContext
     if not (folder := sc.getCheckpointDir()):
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lucerna-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="lucerna-")
         sc.setCheckpointDir(folder)
         folder = sc.getCheckpointDir()
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
 
-    The files go when the driver's JVM ends.
+    The files go by `drop`, or when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _file_system(spark, path)
+    files.deleteOnExit(target)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._spooled = path
+    return back
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes the files of spooled frames that nothing reads any more."""
+    for df in frames:
+        if path := getattr(df, "_spooled", None):
+            files, target = _file_system(df.sparkSession, path)
+            files.delete(target, True)
+            files.cancelDeleteOnExit(target)
+
+
+#: Rows of a frame that is broadcast, at most.
+BROADCAST_ROWS = 200_000
+
+
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame marked for broadcast if it is counted to have at most `limit` rows; else as it is, for a shuffled join. For frames
+    of a few short columns that were written before."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
 def sliced(batches: Iterable[pa.RecordBatch], column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -111,13 +141,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     mark = None
     while True:
+        was = now
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = spool(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        hub = spool(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = both.where("b > a").join(hub, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = spool(large.where("a <> b").distinct(), "large")
         least = spool(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = spool(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        drop(was, hub, large, least)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (seen := tuple(seen)) == mark:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -8,8 +8,14 @@ more groups; their number follows the count of fingerprints, so that groups stay
 millions; and so on). Every such number finds every link. Inside a group an index finds the links: fingerprints in order of Gray rank are cut into leaves, a node
 keeps the mask and the values of the bits that all its fingerprints share, and a query adds up differences
 from node to node (only bits that the parent didn't cover yet), dropping a whole node once they exceed the
-distance. Groups of more than `CHUNK` are dealt out as pairs of chunks, so no task holds more than two
-chunks, and a group gives a forest of its links, not all its pairs. Components then join the forests.
+distance. A group of more than `CHUNK` is cut again by longer keys: the bits outside its key are cut into distance + 1 parts, and
+two fingerprints within the distance agree on one of them, so a member goes to that many smaller groups, up to `LEVELS` times.
+Only what is still too large then is dealt out as pairs of chunks, so no task holds more than two
+chunks, and a group gives a forest of its links, the nearest ones, not all its pairs. Components then join the forests.
+
+`distinct_texts` is the filter on texts: it takes candidates within `WIDE` bits (and `WIDE_BOTH` of a second, independent
+fingerprint beside the first) from sampled keys instead of blocks, in the same index, and links those whose sets of five-word
+shingles have a Jaccard similarity of 0.8 or more. Of pairs at 8, 10 and 12 bits, keys meet about 99.7, 99 and 95 in a hundred.
 
 Defined results: a null, empty or wordless text has fingerprint zero and links like any other; null ids
 take part, and a component is named by its smallest id that is not null (null if it has none); repeated rows each
@@ -18,38 +24,51 @@ get a row; an empty table gives no rows; other columns are ignored, whatever the
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, raw, short_batches, sliced, spool
+from .common import columns, connected_components, drop, few, raw, short_batches, sliced, spool, unused
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
-#: Fingerprints in a chunk of a group, in a leaf, and children of a node.
-CHUNK, LEAF = 512, 8
+#: Fingerprints in a chunk of a group, in a leaf, and children of a node; and how often a large group is cut by longer keys.
+CHUNK, LEAF, LEVELS = 512, 8, 3
+#: The filter on texts: words of a shingle, least similarity; bits between candidates, of one and of both fingerprints.
+SIMILAR_WORDS, SIMILAR, WIDE, WIDE_BOTH = 5, 0.8, 14, 27
 #: Shingles hashed before their bits are counted.
 COUNT_AT_ONCE = 1 << 15
 
 
 def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    return fingerprint_pair(text, size, seed)[0]
+
+
+def fingerprint_pair(text: bytes, size: int = SHINGLE, seed: int = SEED, second: bool = False) -> tuple[int, int]:
+    """The fingerprint and, where asked for, a second one from hashes mixed anew (zero otherwise)."""
     parts = text.lower().split()
     if not parts:
-        return 0
+        return 0, 0
     flat = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     n = max(1, len(parts) - size + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[min(size, len(parts)) - 1 :].tolist()
-    total = np.zeros(BITS, np.int64)
+    total, other = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
     hashed = xxhash.xxh64_intdigest
+    count = lambda h: np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     for at in range(0, n, COUNT_AT_ONCE):
         h = np.array([hashed(flat[a:b], seed) for a, b in zip(starts[at : at + COUNT_AT_ONCE], stops[at : at + COUNT_AT_ONCE])], np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+        total += count(h)
+        if second:
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            other += count(h ^ (h >> np.uint64(29)))
+    return tuple(int(np.packbits(x * 2 > n, bitorder="little").view(np.uint64)[0]) for x in (total, other))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -131,22 +150,68 @@ def forest(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarra
             return root
 
 
-def group_links(values: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (a, b) of the links of one group. side: of which chunk each is, where two chunks meet."""
+def nearest_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the links of a spanning forest of least weight over n values: in each round every tree takes its nearest link."""
+    order = np.argsort(weight, kind="stable")
+    a, b = left[order], right[order]
+    root, taken, m = np.arange(n), [], len(order)
+    while True:
+        live = np.flatnonzero(root[a] != root[b])
+        if not len(live):
+            return order[np.concatenate(taken)] if taken else order[:0]
+        first = np.full(n, m)
+        np.minimum.at(first, root[a[live]], live)
+        np.minimum.at(first, root[b[live]], live)
+        chosen = np.unique(first[first < m])
+        taken.append(chosen)
+        root = root[forest(root, root[a[chosen]], root[b[chosen]])[root]]
+
+
+def group_links(values: np.ndarray, side: np.ndarray, distance: int, second: np.ndarray | None = None, both: int = 2 * BITS) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the links of one group, nearest ones first. side: of which chunk each is, where two chunks meet.
+    second: fingerprints that count too, with at most `both` bits in all."""
     two = side.any() and not side.all()
     asked = np.flatnonzero(side == 0) if two else np.arange(len(values))
     held = np.flatnonzero(side == 1) if two else asked
     q, at = GrayIndex(values[held]).within(values[asked], distance)
-    root = forest(values, asked[q], held[at])
-    child = np.flatnonzero(root != np.arange(len(values)))
-    return values[root[child]], values[child]
+    a, b = asked[q], held[at]
+    keep = a < b if not two else np.ones(len(a), bool)
+    a, b = a[keep], b[keep]
+    apart = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
+    if second is not None:
+        apart += np.bitwise_count(second[a] ^ second[b])
+        a, b, apart = a[apart <= both], b[apart <= both], apart[apart <= both]
+    chosen = nearest_forest(len(values), a, b, apart)
+    return values[a[chosen]], values[b[chosen]]
+
+
+def signed(mask: int) -> int:
+    return mask - (1 << BITS) * (mask >> BITS - 1)
+
+
+def parted(bits: list[int], parts: int) -> list[int]:
+    """Masks of the bits cut into parts."""
+    edges = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << x for x in bits[edges[k] : edges[k + 1]]) for k in range(parts)]
 
 
 def masks(distance: int, blocks: int) -> list[int]:
-    """Bit masks of every choice of blocks - distance of the blocks, as signed longs."""
-    edges = [BITS * k // blocks for k in range(blocks + 1)]
-    block = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
-    return [m - (1 << BITS) * (m >> BITS - 1) for m in (sum(x) for x in combinations(block, blocks - distance))]
+    """Bit masks of every choice of blocks - distance of the blocks."""
+    return [sum(x) for x in combinations(parted(list(range(BITS)), blocks), blocks - distance)]
+
+
+def longer(mask: int, distance: int) -> list[int]:
+    """Masks beyond `mask` of which two fingerprints that agree on it and are within the distance agree on one at least."""
+    rest = [k for k in range(BITS) if not mask >> k & 1]
+    return [mask | x for x in parted(rest, distance + 1)] if len(rest) > distance else []
+
+
+def sampled(bits: int, mask: int = 0, seed: int = SEED) -> list[int]:
+    """Masks of `bits` sampled bits beyond `mask`, so many that two fingerprints with an eighth of their bits apart miss all of
+    them once in a few hundred times."""
+    rest = [k for k in range(BITS) if not mask >> k & 1]
+    rng = random.Random(f"{seed} {mask} {bits}")
+    return [mask | sum(1 << k for k in rng.sample(rest, min(bits, len(rest)))) for _ in range(ceil(6 / 0.87**bits))] if rest else []
 
 
 def blocks_for(count: int, distance: int, chunk: int) -> int:
@@ -157,17 +222,50 @@ def blocks_for(count: int, distance: int, chunk: int) -> int:
     return blocks
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
+def grouped(rows: DataFrame, first: list[int], further, chunk: int, levels: int) -> DataFrame:
+    """rows (fp, ...) in their groups: block, key, i, j and side beside the rows' columns.
+
+    first: the masks of the first keys; further(mask): longer masks for a group that is too large. Groups that are too large after
+    `levels` cuts are dealt out as pairs of chunks.
+    """
+    names, done, top = rows.columns, None, 0
+    keyed = lambda df, options: df.select(*names, F.explode(options).alias("k")).select(*names, "k.block", "k.key")
+    keys = lambda ids, values: F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for i, m in zip(ids, values)])
+    now, known = keyed(rows, keys(range(len(first)), first)), dict(enumerate(first))
+    for level in range(levels + 1):
+        large = spool(now.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "groups")
+        dealt = now.join(large, ["block", "key"], "left")
+        hot = [r.block for r in large.select("block").distinct().collect()]  # at most a row for each mask
+        options = {b: further(known[b]) for b in hot}
+        if not hot or level == levels or not all(options.values()):
+            m = F.coalesce(F.ceil(F.col("n") / (chunk // 2)), F.lit(1)).cast("int")
+            dealt = dealt.withColumn("m", m).withColumn("s", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
+            pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("s"), j).alias("i"), F.greatest(F.col("s"), j).alias("j"), (F.col("s") > j).cast("int").alias("side")))
+            part = dealt.select("block", "key", *names, F.explode(pairs).alias("p")).select("block", "key", "p.i", "p.j", "p.side", *names)
+            return done.unionByName(part) if done is not None else part
+        small = dealt.where("n is null").select("block", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *names)
+        done = small if done is None else done.unionByName(small)
+        top, choice, known = max(known) + 1, None, {}
+        for b in hot:
+            ids = range(top, top := top + len(options[b]))
+            known |= zip(ids, options[b])
+            choice = F.when(F.col("block") == b, keys(ids, options[b])) if choice is None else choice.when(F.col("block") == b, keys(ids, options[b]))
+        now = keyed(dealt.where("n is not null"), choice)
+
+
+def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, blocks: int | None = None, levels: int = LEVELS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose closure has every link within `distance`."""
     blocks = blocks or blocks_for(distinct.count(), distance, chunk)
-    keys = F.array(*[F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks(distance, blocks))])
-    rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.key")
-    large = spool(rows.groupBy("block", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), "groups")
-    chunks = large.select("block", "key", F.ceil(F.col("n") / (chunk // 2)).cast("int").alias("m"))
-    dealt = rows.join(chunks, ["block", "key"], "left").withColumn("m", F.coalesce("m", F.lit(1)))
-    dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("m")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least(F.col("s"), j).alias("i"), F.greatest(F.col("s"), j).alias("j"), (F.col("s") > j).cast("int").alias("side")))
-    dealt = dealt.select("block", "key", "fp", F.explode(pairs).alias("p")).select("block", "key", "p.i", "p.j", "p.side", "fp")
+    return _linked(grouped(distinct.select("fp"), masks(distance, blocks), lambda m: longer(m, distance), chunk, levels), distance)
+
+
+def wide_links(distinct: DataFrame, distance: int = WIDE, both: int = WIDE_BOTH, chunk: int = CHUNK, levels: int = 2) -> DataFrame:
+    """Edges (a, b) of forests over the pairs of (fp, second) within both distances that meet in a group of sampled keys."""
+    bits = min(40, max(8, round(log2(max(2, distinct.count()))) - 8))
+    return _linked(grouped(distinct.select("fp", "second"), sampled(bits), lambda m: sampled(8, m), chunk, levels), distance, both)
+
+
+def _linked(dealt: DataFrame, distance: int, both: int = 2 * BITS) -> DataFrame:
     dealt = dealt.repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j")
 
     def run(batches):
@@ -180,9 +278,10 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, blo
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             a, b = [], []
             values, side = cols[5].view(np.uint64), cols[4]
+            second = cols[6].view(np.uint64) if len(cols) > 6 else None
             for lo, hi in zip([0, *new], [*new, len(values)]):
                 if hi - lo > 1:
-                    x, y = group_links(values[lo:hi], side[lo:hi], distance)
+                    x, y = group_links(values[lo:hi], side[lo:hi], distance, None if second is None else second[lo:hi], both)
                     a.append(x)
                     b.append(y)
             flat = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)]
@@ -213,4 +312,72 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     named = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = spool(named.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
     names = spool(named.select("fp", "root").join(roots, "root").select("fp", "component_id"), "names")
+    drop(distinct, stars, roots)
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---- texts ----
+
+
+def shingles(text: bytes, size: int = SIMILAR_WORDS) -> set[tuple[bytes, ...]]:
+    parts = text.lower().split()
+    return set(zip(*(parts[k:] for k in range(min(size, len(parts))))))
+
+
+def similar(left: bytes, right: bytes) -> float:
+    """Jaccard similarity of the sets of five-word shingles (fewer words: of the whole sequence); of wordless texts 1."""
+    a, b = shingles(left), shingles(right)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def text_key(text: Column) -> Column:
+    """With the id, what tells rows apart; texts that differ have different keys, but for chance of one in 2^64 a pair."""
+    return F.xxhash64(text)
+
+
+def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
+    """One row, all its columns, of each group of near copies: the one with the smallest id (a row without an id only where there
+    is no other), of rows with one id the one with the smallest `text_key`, of wholly equal ids and texts any one.
+
+    Texts with equal fingerprints are one; others link if their similarity is `least` or more. Every row is judged by its own
+    text, so rows that share an id and differ in their texts both stay. Null, empty and wordless texts are one group.
+    """
+    short_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def scan(batches):
+        for b in sliced(batches, 1):
+            both = np.array([fingerprint_pair(t, second=True) for t in raw(b.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "key", "fp", "second"])
+
+    def judge(batches):
+        for b in sliced(batches, 2):
+            same = [similar(x, y) >= least for x, y in zip(raw(b.column(2)), raw(b.column(3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    prints = spool(source.mapInArrow(scan, f"id {kind}, key bigint, fp bigint, second bigint"), "prints")
+    place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
+    distinct = spool(prints.groupBy("fp").agg(F.min("second").alias("second"), F.min(place).alias("of")), "distinct")
+    pairs = spool(wide_links(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    # the texts of candidates: one row for each fingerprint
+    asked = spool(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("of.id").alias("of_id"), F.col("of.key").alias("of_key")), "asked")
+    found = source.join(few(asked), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).select("fp", "text")
+    texts = spool(found.groupBy("fp").agg(F.min("text").alias("text")), "texts")
+    left, right = texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), texts.select(F.col("fp").alias("b"), F.col("text").alias("y"))
+    linked = spool(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"), "links")
+    stars = spool(connected_components(linked), "stars")
+    drop(pairs, asked, texts, linked)
+    named = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = spool(named.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("of_id"), F.col("of.key").alias("of_key")), "first")
+    drop(distinct, stars)
+    one, key = unused(docs, "of_id"), unused(docs, "of_key")
+    mine = F.col(id_col).eqNullSafe(F.col(one)) & (text_key(F.col(text_col)) == F.col(key))
+    renamed = first.toDF(one, key)
+    kept = docs.join(renamed, mine, "left_semi")
+    again = prints.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key").toDF(one, key)
+    again = spool(again.join(renamed.withColumnRenamed(one, "_i").withColumnRenamed(key, "_k"), F.col(one).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k")), "left_semi"), "again")
+    if again.isEmpty():
+        return kept
+    several = kept.join(again, mine, "left_semi").groupBy(F.col(id_col).alias(one), text_key(F.col(text_col)).alias(key)).agg(F.any_value(F.struct(*columns(docs))).alias("row")).select("row.*")
+    return kept.join(again, mine, "left_anti").unionByName(several.toDF(*docs.columns))

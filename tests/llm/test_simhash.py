@@ -65,8 +65,8 @@ def test_gray_rank():
     assert (simhash.gray_rank(x ^ (x >> np.uint64(1))) == x).all()
 
 
-@pytest.mark.parametrize("chunk,blocks", [(512, 5), (8, 5), (512, 7), (8, 6)])
-def test_components(spark, chunk, blocks, monkeypatch):
+@pytest.mark.parametrize("chunk,blocks,levels", [(512, 5, 3), (8, 5, 2), (512, 7, 3), (8, 6, 0), (30, 5, 1)])
+def test_components(spark, chunk, blocks, levels, monkeypatch):
     """Chains of near prints, copies, prints that share a block with many, null ids; also with groups cut into tiny chunks, and
     with more blocks, as for many fingerprints."""
     rng = random.Random(chunk)
@@ -79,7 +79,7 @@ def test_components(spark, chunk, blocks, monkeypatch):
     prints += [(260, 0), (261, 15), (262, 31), (None, 0), (263, 0), (0, prints[0][1]), (None, rng.getrandbits(64))]
     signed = [(i, p - 2**64 if p >= 2**63 else p) for i, p in prints]
     original = simhash.links
-    monkeypatch.setattr(simhash, "links", lambda d, distance: original(d, distance, chunk, blocks))
+    monkeypatch.setattr(simhash, "links", lambda d, distance: original(d, distance, chunk, blocks, levels))
     got = simhash.components(spark.createDataFrame(signed, "doc_id long, fp long")).collect()
     key = lambda x: (str(x[0]), x[1], str(x[2]))
     assert sorted((tuple(r) for r in got), key=key) == sorted(((i, s, c) for (i, s), c in zip(signed, brute_components(prints))), key=key)
@@ -106,3 +106,91 @@ def test_star_components(spark):
 
 def test_empty(spark, empty):
     assert simhash.components(simhash.fingerprints(empty)).count() == 0
+
+
+def test_longer_keys_miss_no_link():
+    """Two values that agree on a mask and differ in up to four bits agree on one of the longer masks."""
+    rng = random.Random(4)
+    for first in simhash.masks(4, 5):
+        for mask in simhash.longer(first, 4):
+            more = simhash.longer(mask, 4)
+            assert all(m & mask == mask for m in more)
+            rest = [k for k in range(64) if not mask >> k & 1]
+            for _ in range(50):
+                bits = sum(1 << b for b in rng.sample(rest, 4))
+                assert any(not m & bits for m in more)
+
+
+def test_hot_groups_stay_linear(spark):
+    """Members of a large group go to longer keys, not to pairs of chunks: rows grow with the members."""
+    rng = random.Random(6)
+    rows = [(rng.getrandbits(51) << 13) % 2**63 for _ in range(20_000)]  # share a block
+    df = spark.createDataFrame([(x,) for x in set(rows)], "fp long")
+    dealt = simhash.grouped(df, simhash.masks(4, 5), lambda m: simhash.longer(m, 4), 256, 3)
+    assert dealt.count() < 12 * len(set(rows)) and dealt.groupBy("block", "key", "i", "j").count().where("count > 256").count() == 0
+
+
+def test_nearest_forest():
+    rng = np.random.default_rng(3)
+    left, right, weight = rng.integers(0, 40, 300), rng.integers(0, 40, 300), rng.integers(0, 9, 300)
+    got = simhash.nearest_forest(40, left, right, weight)
+    order, root, total = np.argsort(weight, kind="stable"), list(range(40)), 0
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for k in order:
+        if find(left[k]) != find(right[k]):
+            root[find(left[k])] = find(right[k])
+            total += weight[k]
+    assert weight[got].sum() == total and len(got) == 39
+
+
+def near_copies(seed, n=150):
+    """Texts with exact copies, near ones of several degrees, and others that share a passage with them."""
+    rng = random.Random(seed)
+    say = lambda k: [f"w{rng.randint(0, 3000)}" for _ in range(k)]
+    passage, out = say(60), []
+    for _ in range(n):
+        base = say(rng.choice([3, 8, 30, 120, 400]))
+        out.append(" ".join(base))
+        for _ in range(rng.choice([0, 0, 1, 3, 8])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 60)):
+                copy[rng.randrange(len(copy))] = say(1)[0]
+            out.append(rng.choice([" ", "\n"]).join(copy))
+        if rng.random() < 0.3:
+            out.append(" ".join(say(50) + passage + say(50)))
+    return [*out, "", None, " ", "One two", "one two"]
+
+
+def test_distinct_texts(spark):
+    """Against the similarity of all pairs: what goes is linked to what stays, and nearly every link is found."""
+    texts = near_copies(1)
+    df = spark.createDataFrame([(k % 700, t, {"k": k}, "x") for k, t in enumerate(texts)], "doc_id long, text string, fp map<string,int>, of_id string")
+    kept = {r.fp["k"] for r in simhash.distinct_texts(df).collect()}
+    data, root = [(t or "").encode() for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets, pairs = [simhash.shingles(t) for t in data], 0
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] & sets[b] or not (sets[a] or sets[b]):
+                if simhash.similar(data[a], data[b]) >= 0.8:
+                    pairs += 1
+                    root[find(a)] = find(b)
+    groups = {find(k) for k in range(len(texts))}
+    assert {find(k) for k in kept} == groups  # no group is lost: clean texts stay
+    assert pairs > 200 and len(kept) - len(groups) <= 0.05 * (len(texts) - len(groups))
+
+
+def test_distinct_rows(spark, hard, empty):
+    """Rows that share an id and differ in their texts both stay; equal rows are one; a row without an id goes before others."""
+    rows = [(1, "some words here and there", "a"), (1, "quite different words are in this row", "b"), (2, "some words here and there", "c"), (None, None, None), (None, "x", None), (3, "", "d"), (5, "again", "e"), (5, "again", "f"), (None, "y", "g"), (None, "y", "h")]
+    got = [tuple(r) for r in simhash.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")).collect()]
+    assert sorted(map(str, {r[:2] for r in got})) == sorted(map(str, {(1, "some words here and there"), (1, "quite different words are in this row"), (None, "x"), (3, ""), (5, "again"), (None, "y")})) and len(got) == 6
+    assert simhash.distinct_texts(empty).count() == 0 and simhash.distinct_texts(hard).columns == hard.columns
