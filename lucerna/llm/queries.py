@@ -122,5 +122,27 @@ SELECT query_id, CAST(r AS INT) AS rank, vec_id, score FROM k WHERE r <= 10
 """
 
 
+_KEY = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY]"
+#: By kind in order: the pattern, the group that must have a least length, and that length.
+OP10_KINDS = [
+    ("assign", rf"(?:{_KEY})[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 1, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=:,. \t\r\n\\]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1), ("github", "gh[pousr]_([A-Za-z0-9]+)", 1, 36),
+    ("slack", "xox[abprs]-[0-9]{6,}-([A-Za-z0-9-]+)", 1, 10), ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+]
+
+
+def _op10() -> str:
+    """A match starts after all parts between matches and all matches before it."""
+    parts = [
+        f"""SELECT r, {k} AS k, '{kind}' AS kind, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS a, length(m[i]) AS n
+FROM (SELECT r, m, p, unnest(range(1, len(m) + 1)) AS i FROM (SELECT r, regexp_extract_all(t, '{rx}', 0) AS m, string_split_regex(t, '{rx}') AS p FROM d)) WHERE length(regexp_extract(m[i], '{rx}', {group})) >= {least}"""
+        for k, (kind, rx, group, least) in enumerate(OP10_KINDS)
+    ]
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), s AS ({' UNION ALL '.join(parts)}),
+l AS (SELECT r, k, a, kind || ':' || a || ':' || (a + n) AS x FROM (SELECT r, k, kind, CAST(a AS BIGINT) AS a, n FROM s)),
+g AS (SELECT r, {', '.join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind, *_) in enumerate(OP10_KINDS[:3]))}, string_agg(x, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(x, ',' ORDER BY a, k) AS spans FROM l GROUP BY r)
+SELECT doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind, *_ in OP10_KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toolcalls": OP2, "op4_decontaminate": OP4, "op5_topk": OP5}
+    return {"op2_toolcalls": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op10_secrets": _op10()}

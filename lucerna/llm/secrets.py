@@ -1,13 +1,16 @@
 """Secret scans with one deterministic automaton for all rules.
 
-Rules are byte regexes. A small compiler turns each into a nondeterministic automaton, joins them behind
-one unanchored start, makes that deterministic by subset construction over byte classes, and minimises it by
-partition refinement into one transition array. A text is scanned once, byte by byte, for all rules together:
-the scan runs in lanes side by side, each lane guessing that it begins in the start state, and lanes that
-guessed wrong are run again from the true state until both agree, so the states are those of one pass.
-
-A state that accepts tells which rule has a candidate. Candidates only then have their exact spans settled,
-leftmost and non-overlapping per kind, by the rule's own pattern and least length.
+Rules are byte regexes. A small compiler turns each into a nondeterministic automaton, joins the shortest forms of all rules (the
+run that a rule ends with cut to its least, an optional end left out) behind one unanchored start, makes that deterministic
+by subset construction over byte classes, and minimises it by partition refinement into one transition array. A text is scanned
+once, byte by byte, for all rules together: the scan runs in lanes side by side, each lane guessing that it begins in the start
+state, and lanes that guessed wrong are run again from the true state until both agree, so the states are those of one pass.
+
+An accepting state is a mark: a match of those rules exists whose shortest end is here. From a mark, the rule's reversed automaton
+goes back to where the match starts, the first such place after the rule's last match, and the rule's own automaton from there
+on to its longest end; both stop as soon as they are dead. So matches are leftmost, longest and non-overlapping per kind, and
+one whose last run is too short is dropped but still uses up its place. A rule's match that starts earlier must have its shortest end no later,
+and rules must be free of choices in which the longest match isn't the first one tried; the rules here are.
 
 Defined results: null and empty texts have no spans; repeated rows each get a row; spans are in code points,
 end exclusive, ordered by start and then as kinds are listed; an empty table gives no rows; other columns are ignored.
@@ -15,7 +18,6 @@ end exclusive, ordered by start and then as kinds are listed; an empty table giv
 
 from __future__ import annotations
 
-import re
 from functools import cache
 from typing import NamedTuple
 
@@ -31,28 +33,27 @@ EDGE = 0xFF  # between texts; never part of UTF-8, and in no rule
 
 
 class Rule(NamedTuple):
-    """kind; the automaton's regex, of which every span of the rule holds a match; the exact
-    pattern; the group and the least length that a match must have to count."""
+    """kind; the regex; the least length of the run that the regex ends with (from the end of its shortest form, the byte there
+    included), shorter matches being dropped."""
 
     kind: str
-    probe: str
-    exact: bytes
-    group: int
-    least: int
+    pattern: str
+    least: int = 1
 
 
 #: The base kinds, in order.
 BASE = (
-    Rule("assign", "(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}", rb"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
-    Rule("access", "AKIA[A-Z0-9]{14}", rb"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", "[0-9a-f]{16}", rb"[0-9a-f]+", 0, 16),
+    Rule("assign", "(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]+", 12),
+    Rule("access", "AKIA[A-Z0-9]+", 14),
+    Rule("hex", "[0-9a-f]{16,}"),
 )
-#: Kinds beyond the base: well-known token forms with little room for chance.
+#: Kinds beyond the base: well-known token forms with little room for chance, and private keys, with headers and line ends written
+#: out in their bodies. A key that doesn't end is its first line.
 MORE = (
-    Rule("pem", "-----BEGIN [A-Z]", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?", 0, 1),
-    Rule("github", "gh[pousr]_", rb"gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
-    Rule("slack", "xox[abprs]-[0-9]", rb"xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]{10,}", 0, 1),
-    Rule("jwt", "[.]eyJ", rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(([A-Za-z0-9+/=:,. \t\r\n\\]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?"),
+    Rule("github", "gh[pousr]_[A-Za-z0-9]+", 36),
+    Rule("slack", "xox[abprs]-[0-9]{6,}-[A-Za-z0-9-]+", 10),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+"),
 )
 RULES = BASE + MORE
 
@@ -74,11 +75,14 @@ class Nfa:
         self.empty.append([])
         return len(self.edges) - 1
 
-    def add(self, pattern: str, rule: int) -> int:
+    def read(self, pattern: str) -> tuple:
         self.p, self.i, self.fold = pattern, 0, False
         tree = self._either()
         if self.i != len(pattern):
             raise ValueError(f"cannot read {pattern!r} at {self.i}")
+        return tree
+
+    def add(self, tree: tuple, rule: int) -> int:
         start, end = self._build(tree)
         self.accept[end] = rule
         return start
@@ -105,9 +109,9 @@ class Nfa:
                 c = self._next()
                 if c == "{":
                     end = self.p.index("}", self.i)
-                    low, _, high = self.p[self.i : end].partition(",")
+                    low, comma, high = self.p[self.i : end].partition(",")
                     self.i = end + 1
-                    item = ("times", item, int(low), int(high or low))
+                    item = ("times", item, int(low), int(high) if high else None if comma else int(low))
                 else:
                     item = ("times", item, {"?": 0, "*": 0, "+": 1}[c], 1 if c == "?" else None)
             items.append(item)
@@ -188,17 +192,38 @@ class Nfa:
         return first, last
 
 
+def shortest(tree: tuple) -> tuple:
+    """The expression of a tree's shortest matches: the run or option that it ends with cut to its least."""
+    kind = tree[0]
+    if kind == "seq" and tree[1]:
+        last = shortest(tree[1][-1])
+        return ("seq", [*tree[1][:-1], last])
+    if kind == "or":
+        return ("or", [shortest(x) for x in tree[1]])
+    if kind == "times":
+        return ("times", tree[1], tree[2], tree[2])
+    return tree
+
+
+def reverse(tree: tuple) -> tuple:
+    kind = tree[0]
+    if kind in ("seq", "or"):
+        parts = [reverse(x) for x in tree[1]]
+        return (kind, parts[::-1] if kind == "seq" else parts)
+    return ("times", reverse(tree[1]), *tree[2:]) if kind == "times" else tree
+
+
 class Dfa(NamedTuple):
     step: np.ndarray  # [state * 256 + byte] -> state * 256
     accept: np.ndarray  # [state] -> bits of rules
     states: int
 
 
-@cache
-def compiled(probes: tuple[str, ...]) -> Dfa:
-    """The minimal automaton that, at every byte, knows which probes have a match ending there."""
+def automaton(trees: list[tuple], anchored: bool = False) -> Dfa:
+    """The minimal automaton that, at every byte, knows which trees have a match ending there: one from the start if anchored,
+    else one from anywhere. An anchored automaton that can't accept any more is in a state that no byte leaves."""
     nfa = Nfa()
-    starts = [nfa.add(p, k) for k, p in enumerate(probes)]
+    starts = [nfa.add(t, k) for k, t in enumerate(trees)]
     # bytes that no edge tells apart are one class
     sets = {s for out in nfa.edges for s, _ in out}
     classes: dict[tuple, list[int]] = {}
@@ -217,12 +242,13 @@ def compiled(probes: tuple[str, ...]) -> Dfa:
         return frozenset(x for x in seen if nfa.edges[x] or x in nfa.accept)
 
     start = frozenset().union(*(closure(s) for s in starts))
+    again = frozenset() if anchored else start
     after = [[frozenset().union(*(closure(to) for s, to in out if g[0] in s)) for g in groups] for out in nfa.edges]
     number, order, table = {start: 0}, [start], []
     for now in order:  # grows as sets are found
         row = []
         for k in range(len(groups)):
-            to = start.union(*(after[x][k] for x in now))
+            to = again.union(*(after[x][k] for x in now))
             if to not in number:
                 number[to] = len(order)
                 order.append(to)
@@ -251,6 +277,35 @@ def compiled(probes: tuple[str, ...]) -> Dfa:
     return Dfa(full.ravel(), accept[first], len(first))
 
 
+class Walk(NamedTuple):
+    """An anchored automaton of one rule, as lists."""
+
+    step: list[int]
+    accept: list[bool]
+    dead: int
+
+    @staticmethod
+    def of(tree: tuple) -> Walk:
+        dfa = automaton([tree], anchored=True)
+        still = [k for k in range(dfa.states) if not dfa.accept[k] and (dfa.step[k * 256 : k * 256 + 256] == k * 256).all()]
+        return Walk(dfa.step.tolist(), (dfa.accept > 0).tolist(), still[0] * 256 if still else -1)
+
+
+class Scanner(NamedTuple):
+    """All rules compiled: the automaton of all shortest forms, and each rule's ways back and ahead."""
+
+    rules: tuple[Rule, ...]
+    marks: Dfa
+    back: list[Walk]
+    ahead: list[Walk]
+
+
+@cache
+def compiled(rules: tuple[Rule, ...]) -> Scanner:
+    trees = [Nfa().read(r.pattern) for r in rules]
+    return Scanner(rules, automaton([shortest(t) for t in trees]), [Walk.of(reverse(shortest(t))) for t in trees], [Walk.of(t) for t in trees])
+
+
 def states(dfa: Dfa, data: np.ndarray, lane: int = LANE) -> np.ndarray:
     """The state after each byte, as one pass from the start would have it."""
     n = -(-len(data) // lane)
@@ -279,43 +334,80 @@ def states(dfa: Dfa, data: np.ndarray, lane: int = LANE) -> np.ndarray:
     return seen.T.ravel()[: len(data)]
 
 
-def flagged(dfa: Dfa, texts: list[bytes]) -> dict[int, int]:
-    """Bits of the rules that have a candidate, by text."""
-    data = np.frombuffer(bytes([EDGE]).join(texts) + bytes([EDGE]), np.uint8)
-    hits = dfa.accept[states(dfa, data) >> 8]
-    at = np.flatnonzero(hits)
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    found: dict[int, int] = {}
-    for k, bits in zip(np.searchsorted(ends, at, "right").tolist(), hits[at].tolist()):
-        found[k] = found.get(k, 0) | bits
+def starts_at(walk: Walk, text: bytes, mark: int, low: int) -> int:
+    """The first place from `low` on where a shortest match that ends with the byte at `mark` starts, or -1."""
+    state, found = 0, -1
+    for i in range(mark, low - 1, -1):
+        state = walk.step[state + text[i]]
+        if state == walk.dead:
+            break
+        if walk.accept[state >> 8]:
+            found = i
     return found
 
 
-def spans(text: bytes, bits: int, rules: tuple[Rule, ...] = RULES) -> list[tuple[int, int, int]]:
-    """(start, rule, end) in code points of the rules in `bits`."""
+def ends_at(walk: Walk, text: bytes, start: int) -> int:
+    """The end of the longest match from `start`."""
+    state, end, step, accept, dead = 0, start, walk.step, walk.accept, walk.dead
+    for i in range(start, len(text)):
+        state = step[state + text[i]]
+        if state == dead:
+            break
+        if accept[state >> 8]:
+            end = i + 1
+    return end
+
+
+def spans(scanner: Scanner, text: bytes, marks: np.ndarray, bits: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, rule, end) in code points, from a text's marks: places and the rules that accept there."""
     out = []
-    for k, rule in enumerate(rules):
-        if bits >> k & 1:
-            out += [(m.start(), k, m.end()) for m in re.finditer(rule.exact, text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+    for k in range(len(scanner.rules)):
+        mine = marks[bits >> k & 1 > 0]
+        at, low = 0, 0
+        while at < len(mine):
+            mark = int(mine[at])
+            start = starts_at(scanner.back[k], text, mark, low)
+            if start < 0:
+                at += 1
+                continue
+            end = low = ends_at(scanner.ahead[k], text, start)
+            if end - mark >= scanner.rules[k].least:
+                out.append((start, k, end))
+            at = int(np.searchsorted(mine, low))
     if out and not text.isascii():
         lead = np.append(0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80))
         out = [(int(lead[a]), k, int(lead[b])) for a, k, b in out]
     return sorted(out)
 
 
+def found_in(scanner: Scanner, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
+    """The spans of the texts that have any, in one pass over all of them."""
+    data = np.frombuffer(bytes([EDGE]).join(texts) + bytes([EDGE]), np.uint8)
+    hits = scanner.marks.accept[states(scanner.marks, data) >> 8]
+    at = np.flatnonzero(hits)
+    sizes = np.array([len(t) + 1 for t in texts])
+    ends = np.cumsum(sizes)
+    which = np.searchsorted(ends, at, "right")
+    edges = np.flatnonzero(np.diff(which, prepend=-1, append=len(texts)))
+    out = {}
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        k = int(which[lo])
+        if found := spans(scanner, texts[k], at[lo:hi] - (ends[k] - sizes[k]), hits[at[lo:hi]]):
+            out[k] = found
+    return out
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(doc_id, spans): spans as array<struct<kind, start, end>>."""
     spark = df.sparkSession
     short_batches(spark)
-    shared = spark.sparkContext.broadcast(compiled(tuple(r.probe for r in rules)))
+    shared = spark.sparkContext.broadcast(compiled(tuple(rules)))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        dfa = shared.value
         for b in sliced(batches, 1):
-            texts = raw(b.column(1))
-            found = flagged(dfa, texts)
-            out = [[{"kind": rules[k].kind, "start": a, "end": z} for a, k, z in spans(t, found[i], rules)] if i in found else [] for i, t in enumerate(texts)]
+            found = found_in(shared.value, raw(b.column(1)))
+            out = [[{"kind": rules[k].kind, "start": a, "end": z} for a, k, z in found.get(i, ())] for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], ["doc_id", "spans"])
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {df.schema[id_col].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint>>")
@@ -326,18 +418,15 @@ def redacted(df: DataFrame, text_col: str = "text", length_col: str | None = "n_
     one) and the length column, where there is one, counted anew for changed texts. Null texts stay null."""
     spark = df.sparkSession
     short_batches(spark)
-    shared = spark.sparkContext.broadcast(compiled(tuple(r.probe for r in rules)))
+    shared = spark.sparkContext.broadcast(compiled(tuple(rules)))
     names = df.columns
     at, length_at = names.index(text_col), names.index(length_col) if length_col in names else None
 
     def run(batches):
-        dfa = shared.value
         for b in sliced(batches, at):
             texts = raw(b.column(at))
             changed = {}
-            for i, bits in flagged(dfa, texts).items():
-                if not (found := spans(texts[i], bits, rules)):
-                    continue
+            for i, found in found_in(shared.value, texts).items():
                 text, out, done = texts[i].decode(), [], 0
                 for a, _, z in found:
                     if a >= done:

@@ -43,16 +43,49 @@ def test_base_spans(spark, hard):
         assert [int(x.split(":")[1]) for x in spans] == sorted(int(x.split(":")[1]) for x in spans)
 
 
-def test_more_kinds():
-    text = "x -----BEGIN EC PRIVATE KEY----- AB12 -----END EC PRIVATE KEY----- ghp_" + "a1B2" * 9 + " xoxb-123456789-abcdefghijkl eyJabcdefghi.eyJabcdefghi.sig-1"
-    bits = secrets.flagged(secrets.compiled(tuple(r.probe for r in secrets.RULES)), [text.encode()])[0]
-    kinds = {secrets.RULES[k].kind for _, k, _ in secrets.spans(text.encode(), bits)}
-    assert {"pem", "github", "slack", "jwt"} <= kinds
+MORE = {
+    "pem": (re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[A-Za-z0-9+/=:,. \t\r\n\\]|-[A-Za-z0-9])*-----END [A-Z ]*PRIVATE KEY-----)?"), 0, 1),
+    "github": (re.compile(rb"gh[pousr]_([A-Za-z0-9]+)"), 1, 36), "slack": (re.compile(rb"xox[abprs]-[0-9]{6,}-([A-Za-z0-9-]+)"), 1, 10),
+    "jwt": (re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"), 0, 1),
+}
+BITS = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "-----END ", "\n", "\\n", "Proc-Type: 4,ENCRYPTED", "ab+/=", "--", "ghp_", "gho_", "a1B2c3D4" * 4, "xoxb-", "123456", "-", "eyJ", ".", "abcdefgh", "é", " ", "token", "=", ": ", "secret", "AKIA", "0123456789abcdef"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_all_kinds_lose_no_span(seed):
+    """Random texts against each rule's own regex."""
+    rng = random.Random(seed)
+    scanner = secrets.compiled(secrets.RULES)
+    every = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    every += ["x -----BEGIN EC PRIVATE KEY----- AB12 -----END EC PRIVATE KEY----- ghp_" + "a1B2" * 9 + " xoxb-123456789-abcdefghijkl eyJabcdefghi.eyJabcdefghi.sig-1", "token=secret: xtoken=abcdefghijkl", "-----BEGIN  PRIVATE KEY-----"]
+    every.append("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0AF1\n\nabc+/=\n-----END RSA PRIVATE KEY-----")
+    every.append('"-----BEGIN PRIVATE KEY-----\\nMIIab\\n-----END PRIVATE KEY-----\\n"')
+    found, seen = secrets.found_in(scanner, [t.encode() for t in every]), set()
+    for k, text in enumerate(every):
+        data = text.encode()
+        want = {tuple(x.split(":")) for x in brute(text)}
+        for kind, (rx, group, least) in MORE.items():
+            want |= {(kind, str(len(data[: m.start()].decode())), str(len(data[: m.end()].decode()))) for m in rx.finditer(data) if len(m[group]) >= least}
+        assert {(secrets.RULES[r].kind, str(a), str(z)) for a, r, z in found.get(k, [])} == want, text
+        seen |= {x[0] for x in want}
+    assert seen == {r.kind for r in secrets.RULES}
+    for text in every[-2:]:
+        assert any(secrets.RULES[r].kind == "pem" and z - a > 50 for a, r, z in found[every.index(text)])
+
+
+def test_hostile_texts_take_linear_time():
+    import time
+
+    scanner = secrets.compiled(secrets.RULES)
+    for text in ("token=" * 150_000, "token" + " " * 1_000_000, "a" * 1_000_000 + "token=x", "-----BEGIN PRIVATE KEY-----a" * 30_000, "AKIA" * 250_000, "eyJabcdefgh." * 80_000, "0" * 1_000_000, "token: " * 140_000, "ghp_" * 250_000):
+        began = time.time()
+        secrets.found_in(scanner, [text.encode()])
+        assert time.time() - began < 5, text[:30]
 
 
 @pytest.mark.parametrize("lane", [1, 3, 64, 5000])
 def test_lanes_are_one_pass(lane):
-    dfa = secrets.compiled(tuple(r.probe for r in secrets.RULES))
+    dfa = secrets.compiled(secrets.RULES).marks
     data = np.frombuffer(bytes([secrets.EDGE]).join(t.encode() for t in texts(2, 60)), np.uint8)
     now, want = 0, []
     for b in data:
@@ -63,7 +96,7 @@ def test_lanes_are_one_pass(lane):
 
 def test_automaton_is_minimal():
     """No two states agree on everything they can still accept."""
-    dfa = secrets.compiled(("ab{2}c", "(?i:x|y)z?"))
+    dfa = secrets.automaton([secrets.Nfa().read(p) for p in ("ab{2}c", "(?i:x|y)z?")])
     step = dfa.step.reshape(-1, 256) // 256
     part = np.unique(dfa.accept, return_inverse=True)[1]
     for _ in range(dfa.states):
