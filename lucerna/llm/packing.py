@@ -7,8 +7,7 @@ a few times `capacity` entries however many rows there are; rows find their plac
 of their length.
 
 Defined results: a null text is empty (one piece, the end token alone); repeated rows are packed each on its own;
-equal lengths are placed by (id, piece, checksum), so ties only swap equal pieces; an empty table gives no
-rows; other columns are ignored, whatever their names.
+pieces of one length are placed in any order; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,15 +31,19 @@ NODES = 160
 BUCKETS, BUCKET_ROWS = 256, 50_000
 
 
+#: Strings of the vocabulary that are one token wherever a text holds them.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 @cache
 def encoder(path: str):
-    """The byte-level BPE of a ranks file; special tokens' strings are ordinary text."""
+    """The byte-level BPE of a ranks file."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
 def pieces(df: DataFrame, id_col: str, text_col: str, ranks_path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -49,11 +52,11 @@ def pieces(df: DataFrame, id_col: str, text_col: str, ranks_path: str, capacity:
     short_batches(df.sparkSession)
 
     def run(batches):
-        encode = encoder(ranks_path).encode_ordinary
+        encode = encoder(ranks_path).encode
         for b in sliced(batches, 1):
             docs, number, start, length, crc, flat = [], [], [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                ids = np.array([*encode(text or ""), end], dtype="<u4")
+                ids = np.array([*encode(text or "", allowed_special="all"), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k in range(len(edges) - 1):
@@ -272,21 +275,23 @@ def solve(hist: np.ndarray, nodes: int = NODES, width: int = 3) -> list[tuple[tu
 def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
     """Adds sequence_id and offset to rows of (doc_id, piece, start, length, ids_crc32, ...) from `pieces`.
 
-    Ranks within a length are taken in groups by a hash, and the groups' starts by a running sum over group
-    counts, so that a length that most rows share is not one task's work.
+    Rows get a number that is written with them. Ranks within a length are taken in groups by a hash of it, and the groups'
+    starts by a running sum over group counts, so that neither a length that most rows share nor rows that are all alike are one
+    task's work.
     """
-    parts = spool(parts, "pieces")
+    columns = parts.columns
+    parts = spool(parts.withColumn("_n", F.monotonically_increasing_id()), "pieces")
     groups = max(BUCKETS, -(-parts.count() // BUCKET_ROWS))
-    keyed = parts.withColumn("_g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    counts = spool(keyed.groupBy("length", "_g").agg(F.count("*").alias("_n")), "counts")
+    keyed = parts.withColumn("_g", F.pmod(F.xxhash64("_n"), F.lit(groups)).cast("int"))
+    counts = spool(keyed.groupBy("length", "_g").agg(F.count("*").alias("_k")), "counts")
     hist = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("_n")).collect():  # at most `capacity` rows
+    for length, n in counts.groupBy("length").agg(F.sum("_k")).collect():  # at most `capacity` rows
         hist[length] = n
     before = Window.partitionBy("length").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
-    own = Window.partitionBy("length", "_g").orderBy("doc_id", "piece", "ids_crc32", "start")
+    starts = counts.select("length", "_g", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_from"))
+    own = Window.partitionBy("length", "_g").orderBy("_n")
     ranked = keyed.withColumn("_r", F.row_number().over(own)).join(starts, ["length", "_g"])
-    ranked = ranked.select(*parts.columns, (F.col("_from") + F.col("_r") - 1).alias("_rank"))
+    ranked = ranked.select(*columns, (F.col("_from") + F.col("_r") - 1).alias("_rank"))
 
     # by length: first rank, first sequence, pieces of that length in a sequence, offset of the first of them
     plan: dict[int, list[tuple[int, int, int, int]]] = {}
@@ -301,7 +306,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Data
         sequence += times
     arrays = {w: np.array(x, dtype=np.int64).T for w, x in plan.items()}
     place = parts.sparkSession.sparkContext.broadcast(arrays)
-    names = parts.columns
+    names = columns
     length_at, rank_at = names.index("length"), len(names)
 
     def run(batches):
@@ -316,7 +321,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> Data
                 seq[at], offset[at] = start[k] + j // each[k], base[k] + j % each[k] * w
             yield pa.RecordBatch.from_arrays([*b.columns[:rank_at], pa.array(seq), pa.array(offset)], [*names, "sequence_id", "offset"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name != "_n")
     return ranked.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 
 

@@ -1,4 +1,5 @@
 import heapq
+import pickle
 
 import numpy as np
 
@@ -36,9 +37,9 @@ def test_brute_force(spark):
 
 
 def test_blocks_and_ties(spark):
-    """Many equal vectors: ties go to smaller ids, also over several query blocks and trees."""
+    """Many equal vectors: ties go to smaller ids, also over several cells and trees."""
     rows = vectors(900, 4, 1, copies=500)
-    assert found(spark, rows, tree_rows=128, block=3) == brute(rows)
+    assert found(spark, rows, tree_rows=128, cells=5) == brute(rows)
 
 
 def test_odd_rows(spark):
@@ -50,11 +51,11 @@ def test_odd_rows(spark):
 
 
 def test_lengths(spark):
-    """Vectors are compared within each length, over several trees and query blocks; empty ones take no part."""
+    """Vectors are compared within each length, over several trees and cells; empty ones take no part."""
     some, others = vectors(700, 4, 3), [(i + 1000, x) for i, x in vectors(300, 7, 4)]
     want = brute(some) | brute(others)
     odd = [(-2, []), (-1, [0.5]), (0, []), (0, [9.0]), (300, [])]
-    assert len(want) == 100 and found(spark, [*odd, *others, *some], tree_rows=64, block=3) == want
+    assert len(want) == 100 and found(spark, [*odd, *others, *some], tree_rows=64, cells=7) == want
     assert found(spark, [(0, []), (1, [])]) == set()
 
 
@@ -72,3 +73,27 @@ def test_pruning_skips_distances():
         want = heapq.nsmallest(10, ((-int(s), i) for i, s in enumerate(score) if i != q))
         assert sorted((-s, -i) for s, i in best) == want
     assert np.mean(count) < 4000
+
+
+def test_large_components(spark):
+    """Scores that wouldn't fit raise instead of wrapping round."""
+    import pytest
+
+    with pytest.raises(ValueError):
+        found(spark, [(0, [3e38, 1.0]), (1, [3e38, 2.0])])
+    assert found(spark, [(0, [1e6, 1.0]), (1, [-1e6, 2.0])]) == brute([(0, [1e6, 1.0]), (1, [-1e6, 2.0])])
+
+
+def test_queries_go_to_few_trees(spark):
+    """On clustered vectors, of all query and tree pairs few are probed after the first."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(0, 2, (24, 5))
+    rows = [(i, [float(c) for c in centres[i % 24] + rng.normal(0, 0.01, 5)]) for i in range(6000)]
+    df = mtree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    trees, tops, roots = mtree.index(df, 512, 64)
+    root, q = roots[5], np.array([r.v for r in df.where("vec_id % 100 = 0").orderBy("vec_id").collect()])
+    x = np.array([r.v for r in df.collect()])
+    floor = np.sort(q @ x.T, axis=1)[:, -11]
+    assert len(root["id"]) > 8 and (mtree.bounds(q, root["centre"], root["radius"], tops[5]) >= floor[:, None]).mean() < 0.5
+    assert sum(len(pickle.loads(r.tree)["ids"]) for r in trees.collect()) == 6000
+    assert found(spark, rows[:3000], tree_rows=512, cells=64) == brute(rows[:3000])
