@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from lucerna.llm import quality
 
@@ -29,13 +30,25 @@ def test_held_out_accuracy(spark):
     assert len(held) > 100 and np.mean([a == b for a, b in held]) > 0.97
 
 
-def test_held_out_labels_are_not_learned(spark):
-    """Turning the held-out labels round changes no score; negative labels count only for the prior."""
+def test_what_labels_are_learned(spark):
+    """Turning the held-out labels round changes no score; nor does leaving out, doubling or keeping negative ones."""
     docs, labels = corpus(400)
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    turned = [(i, 1 - q if zlib.crc32(str(i).encode()) % 4 == 2 else q) for i, q in labels]
-    a, b = (quality.score(d, quality.train(d, spark.createDataFrame(x, "doc_id long, quality int"))).orderBy("doc_id").collect() for x in (labels, turned))
-    assert a == b
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    turned = [(i, 1 - q if held(i) else q) for i, q in labels]
+    none = [(i, q) for i, q in labels if q == 1]
+    more = labels + [(i, 0) for i, q in labels if q == 0] + [(10_000 + k, 0) for k in range(300)]
+    a, *others = (quality.score(d, quality.train(d, spark.createDataFrame(x, "doc_id long, quality int"))).orderBy("doc_id").collect() for x in (labels, turned, none, more))
+    assert all(a == b for b in others)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.87])
+def test_class_prior(share):
+    """The prior comes from positives and unlabelled rows alone."""
+    rng = np.random.default_rng(int(100 * share))
+    good, bad = lambda n: rng.normal(1, 1, (n, 6)), lambda n: rng.normal(-1.2, 1, (n, 6))
+    n = int(4000 * share)
+    assert abs(quality.class_prior(good(3000), np.concatenate([good(n), bad(4000 - n)])) - share) < 0.04
 
 
 def test_risk_is_not_negative():
