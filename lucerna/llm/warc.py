@@ -22,12 +22,14 @@ import json
 import re
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import short_batches, sliced
+from .html import ATTRIBUTE, CUT_OFF, TOKEN
 
 #: Fixed values of the format.
 VERSION, CRLF = b"WARC/1.0", b"\r\n"
@@ -41,11 +43,10 @@ KINDS = [{"content_length": pa.int64(), "headers": pa.list_(pa.list_(pa.string()
 OPTIONAL = {"warc_type": "WARC-Type", "refers_to": "WARC-Refers-To", "content_type": "Content-Type", "block_digest": None, "payload_digest": None, "headers": None}
 FOLDED = re.compile(r"\r\n[ \t]+")
 
-DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*(?:>|\Z)", re.I)
-TAG = re.compile(r"</?[a-zA-Z!?][^>]*(?:>|\Z)")
-HREF = re.compile(r"<(a|area|link|img|script|iframe)\b[^<>]*?\s(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-TITLE, TITLE_END = re.compile(r"<title[^<>]*>", re.I), re.compile(r"</title", re.I)
+#: Elements whose text isn't the page's; elements that end a line; elements that link, by the attribute that does.
+UNREAD = frozenset("script style noscript template".split())
+BREAK = frozenset("address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table td th title tr ul".split())
+LINK = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}
 CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 
@@ -62,17 +63,43 @@ def response_block(html: str | None) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body
 
 
-def plain_text(page: str) -> str:
-    """Text without markup; blocks a line each, white space runs one space."""
-    page = TAG.sub("", BREAK.sub("\n", DROP.sub(" ", page)))
-    return "\n".join(x for line in page.split("\n") if (x := " ".join(entities.unescape(line).split())))
-
-
-def title(page: str) -> str:
-    """The text of the first title element; '' without one, or where it doesn't end."""
-    if not (start := TITLE.search(page)) or not (end := TITLE_END.search(page, start.end())):
-        return ""
-    return " ".join(entities.unescape(page[start.end() : end.start()]).split())
+class Page(NamedTuple):
+    """A page's text, blocks a line each and white space runs one space; the text of its first title; and its links."""
+
+    text: str
+    title: str
+    links: list[dict[str, str]]
+
+
+def read_page(page: str) -> Page:
+    """Markup read tag by tag, with quoted attributes whole, in time linear in the page."""
+    if cut := CUT_OFF.search(page, page.rfind(">") + 1):  # a last tag that never ends is none
+        page = page[: cut.start()]
+    out: list[str] = []
+    links, at, title, begun = [], 0, None, -1
+    clean = lambda x: " ".join(entities.unescape(x).split())
+    while m := TOKEN.search(page, at):
+        out.append(page[at : m.start()])
+        at = m.end()
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        if name == "title" and title is None:
+            if not m[1] and begun < 0:
+                begun = len(out)
+            elif m[1] and begun >= 0:
+                title = clean("".join(out[begun:]))
+        if not m[1] and (attribute := LINK.get(name)):
+            found = next((v for k, *v in ATTRIBUTE.findall(m[3]) if k.lower() == attribute), None)
+            if found is not None:
+                links.append({"path": name, "url": entities.unescape("".join(found))})
+        if name in UNREAD and not m[1]:
+            at = re.compile(rf"</{name}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at).end()
+            out.append(" ")
+        elif name in BREAK:
+            out.append("\n")
+    out.append(page[at:])
+    return Page("\n".join(x for line in "".join(out).split("\n") if (x := clean(line))), title or "", links)
 
 
 def http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
@@ -99,7 +126,7 @@ def derive(response: dict) -> Iterator[dict]:
     status, headers, payload = http(block)
     text = decoded(headers, payload)
     payload_digest = response.get("payload_digest") or digest(payload)
-    links = [{"path": f"{m[1].lower()}", "url": entities.unescape(m[2] or m[3] or m[4] or "")} for m in HREF.finditer(text)]
+    page = read_page(text)
     envelope = {"WARC-Record-ID": response["record_id"], "WARC-Target-URI": response["target_uri"], "WARC-Date": response["warc_date"], "Content-Length": len(block)}
     envelope |= {"WARC-Block-Digest": response.get("block_digest") or digest(block), "Headers": [list(x) for x in response.get("headers") or ()]}
     envelope |= {name: response[c] for c, name in OPTIONAL.items() if name and response.get(c) is not None}
@@ -107,11 +134,11 @@ def derive(response: dict) -> Iterator[dict]:
         "Container": envelope,
         "Payload": {"Length": len(payload), "Digest": payload_digest},
         "HTTP": {"Status": status, "Headers": [list(x) for x in headers]},
-        "HTML": {"Title": title(text), "Links": links},
+        "HTML": {"Title": page.title, "Links": page.links},
     }
     for kind, content_type, data in (
         ("metadata", "application/json", json.dumps(meta, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()),
-        ("conversion", "text/plain", plain_text(text).encode("utf-8", "replace")),
+        ("conversion", "text/plain", page.text.encode("utf-8", "replace")),
     ):
         yield {
             "warc_type": kind, "record_id": record_id(f"{response['record_id'] or ''}#{kind}"), "refers_to": response["record_id"], "target_uri": response["target_uri"], "warc_date": response["warc_date"],

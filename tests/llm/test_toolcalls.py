@@ -53,3 +53,28 @@ def test_plan_has_no_python(spark):
 
     plan = queries.op2_toolcalls(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+def test_numbers_have_one_form(spark):
+    from pyspark.sql import functions as F
+
+    same = [["100", "1e2", "100.0", "1E+2", "10000e-2"], ["1e-7", "0.0000001", "1.0E-7"], ["0", "-0", "-0.0", "0e5"], ["1.5", "15e-1", "1.50"], ["1e300", "1.0E300"], ["-2.25", "-225e-2"], ["12345678901234567890"], ["true"], ['"1e2"'], ['"a 1.0 \\"2e5\\" b"']]
+    rows = [(k, f'{{"b": [1, {x}], "a": {x}}}') for k, xs in enumerate(same) for x in xs]
+    got = {}
+    for r in spark.createDataFrame(rows, "k int, j string").select("k", "j", toolcalls.canonical_json(F.col("j")).alias("c")).collect():
+        got.setdefault(r.k, set()).add(r.c)
+        assert json.loads(r.c) == json.loads(r.j)
+    assert all(len(x) == 1 for x in got.values())
+    assert got[0] == {'{"a":100,"b":[1,100]}'} and got[1] == {'{"a":1e-7,"b":[1,1e-7]}'}
+    for bad in ('{"x": 1e400}', "[-1E999]"):
+        assert linked(spark, [(1, 0, "a", None, "f", bad)], [])["a"].errors == "not_json"
+    assert linked(spark, [(1, 0, "a", None, "f", '{"x": 1, "s": "1e400"}')], [])["a"].errors == "s:max_length"
+
+
+def test_fuller_schemas(spark):
+    from pyspark.sql import functions as F
+
+    schemas = {"g": {"*": False, "e": {"type": "string", "enum": ["x", "y"]}, "p": {"type": "string", "pattern": "^[a-z]+$"}, "l": {"type": "array", "items": "integer"}, "o": {"type": "object", "fields": {"*": False, "k": {"type": "integer", "required": True, "minimum": 2}, "a b": {"type": "string"}}}}}
+    cases = {'{"e":"x","p":"abc","l":[1,2],"o":{"k":2,"a b":"c"}}': "", '{"e":"z"}': "e:enum", '{"p":"a1"}': "p:pattern", '{"l":[1,"2"]}': "l:items", '{"l":[null]}': "l:items", '{"o":{}}': "o.k:missing", '{"o":{"k":1}}': "o.k:minimum", '{"o":{"k":3,"q":1}}': "o.*:unknown", '{"q":1}': "*:unknown", "{}": ""}
+    df = spark.createDataFrame([(j,) for j in cases], "j string")
+    assert {r.j: r.e for r in df.select("j", toolcalls.argument_errors(F.col("j"), F.lit("g"), schemas).alias("e")).collect()} == cases

@@ -1,10 +1,11 @@
 import base64
 import hashlib
 import json
+from html.parser import HTMLParser
 
 import pytest
 
-from lucerna.llm import warc
+from lucerna.llm import queries, warc
 
 
 def sha(data):
@@ -91,3 +92,71 @@ def test_hostile_markup():
 
 def test_empty(spark, pages):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+class Reader(HTMLParser):
+    """An independent reading of a page, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.title, self.skip, self.inside = [], [], None, None, False
+
+    def handle_starttag(self, tag, attrs):
+        if self.skip:
+            return
+        wanted = {"a": "href", "area": "href", "link": "href", "img": "src", "script": "src", "iframe": "src"}.get(tag)
+        for k, v in attrs:
+            if k == wanted:
+                self.links.append({"path": tag, "url": v or ""})
+                break
+        if tag in ("script", "style", "noscript", "template"):
+            self.skip = tag
+            self.out.append(" ")
+        self.inside = self.inside or tag == "title"
+        if tag in warc.BREAK:
+            self.out.append("\n")
+
+    def handle_endtag(self, tag):
+        if self.skip:
+            self.skip = None if tag == self.skip else self.skip
+            return
+        if tag == "title":
+            self.inside, self.title = False, self.title or ""
+        if tag in warc.BREAK:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.out.append(data)
+            if self.inside and self.title is None:
+                self.words = getattr(self, "words", "") + data
+
+
+def test_pages_read_independently(spark):
+    """Every record of every page against another parser: text, title, links, digests, references and header fields."""
+    pages = {r.page_id: r for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()}
+    got = queries.op3_warc(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == 2 * len(pages)
+    for r in got:
+        source = pages[r.page_id]
+        body = (source.html or "").encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(body) + body
+        assert r.payload_digest == sha(body) and r.block_digest == sha(r.block.encode()) and r.content_length == len(r.block.encode()) and r.target_uri == source.url
+        reader = Reader()
+        reader.feed(source.html or "")
+        reader.close()
+        if r.warc_type == "conversion":
+            lines = (" ".join(x.split()) for x in "".join(reader.out).split("\n"))
+            assert r.block == "\n".join(x for x in lines if x)
+            continue
+        meta = json.loads(r.block)
+        assert r.block == json.dumps(meta, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        assert meta["HTML"] == {"Title": " ".join(getattr(reader, "words", "").split()), "Links": reader.links}
+        assert meta["Container"]["WARC-Record-ID"] == r.refers_to and meta["Container"]["WARC-Block-Digest"] == sha(block) and meta["Container"]["Content-Length"] == len(block)
+        assert meta["Payload"] == {"Digest": sha(body), "Length": len(body)} and meta["HTTP"]["Headers"][1] == ["Content-Length", str(len(body))]
+
+
+def test_quoted_attributes():
+    """A '>' in a quoted attribute ends no tag; comments and scripts hold no links."""
+    page = warc.read_page("<p title=\"a > b\">x<a href='/q?a=1>2'>y</a><!-- <a href=z> --><script src=s.js>'<a href=w>'</script><img alt='>' src=i.png>")
+    assert page.text == "xy" and [x["url"] for x in page.links] == ["/q?a=1>2", "s.js", "i.png"]
