@@ -7,7 +7,9 @@ taken. A hit of the prefix must leave room for the rest of the window (length an
 the window's shingles are compared in place, which is exact: shingles are numbered by their words, not hashed.
 
 The scan keeps, per document, only positions of benchmark shingles. The benchmark is looked up in blocks of at
-most `BLOCK_WORDS` words, each broadcast in turn, so a benchmark of any size works.
+most `BLOCK_WORDS` words, each broadcast in turn. Where it has more than one block, a first scan keeps the texts that hold a window, by the
+64-bit hashes of all windows (`HASHES` of them broadcast at a time), and the blocks are looked up in those texts alone; so the corpus is
+read once for every `HASHES` windows, not for every block.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no windows;
 repeated document rows each get a row; an item without an id goes by the name None; repeated windows, and items repeated under other ids, all count; an
@@ -21,6 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from .common import list_column, raw, short_batches, sliced, spool, unused
 WINDOW, SHINGLE = 13, 5
 #: Words of benchmark text in one broadcast block.
 BLOCK_WORDS = 250_000
+#: Hashes of windows in one broadcast.
+HASHES = 8_000_000
 #: Bytes that are not digits, a-z or part of a non-ASCII character separate words.
 SEPARATE = bytes(x if x >= 0x80 or 0x30 <= x <= 0x39 or 0x61 <= x <= 0x7A else 0x20 for x in range(256))
 EDGE = b"\xff"  # never part of UTF-8
@@ -109,12 +114,78 @@ def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, limit: int):
         yield block
 
 
+def window_hashes(texts: list[bytes], lengths: list[int]) -> tuple[np.ndarray, dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    """The words of each text, hashes by length of the runs of words that begin at each place, each place's text and its words left."""
+    known: dict[bytes, int] = {}
+    flat, sizes = [], np.zeros(len(texts), np.int64)
+    for k, t in enumerate(texts):
+        w = words(t)
+        sizes[k] = len(w)
+        for x in w:
+            if x not in known:
+                known[x] = xxhash.xxh64_intdigest(x)
+        flat += [known[x] for x in w]
+    h = np.array(flat, np.uint64)
+    of = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(h))
+    out, run = {}, np.zeros(len(h), np.uint64)
+    for d in range(max(lengths, default=0)):
+        run = run * np.uint64(0x9E3779B97F4A7C15)
+        run[: len(h) - d] += h[d:]
+        if d + 1 in lengths:
+            out[d + 1] = run.copy()
+    return sizes, out, of, left
+
+
+def holding(source: DataFrame, benchmark: DataFrame, item_col: str, window: int, kind: str, hashes: int) -> DataFrame:
+    """(doc_id, text, row, n_words) of every document; text only where a window occurs (or, by chance, one's hash)."""
+    spark = source.sparkSession
+
+    def cut(batches):
+        for b in sliced(batches, 0):
+            texts = raw(b.column(0))
+            sizes, found, of, left = window_hashes(texts, list(range(1, window + 1)))
+            n, h = [], []
+            for d, values in found.items():
+                at = (left >= d) & (np.minimum(sizes[of], window) == d)
+                n.append(np.full(int(at.sum()), d))
+                h.append(values[at].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(n), pa.int32()), pa.array(np.concatenate(h), pa.int64())], ["n", "h"])
+
+    every = spool(benchmark.select(F.col(item_col)).mapInArrow(cut, "n int, h bigint").distinct(), "windows")
+    slices = max(1, -(-every.count() // hashes))
+    marked = None
+    for k in range(slices):
+        part = every.where(F.pmod(F.xxhash64("h"), F.lit(slices)) == k).toArrow()  # at most about `hashes` rows
+        n, h = part.column("n").to_numpy(), part.column("h").to_numpy().view(np.uint64)
+        shared = spark.sparkContext.broadcast({int(d): np.sort(h[n == d]) for d in np.unique(n)})
+
+        def look(batches, shared=shared):
+            for b in sliced(batches, 1):
+                texts = raw(b.column(1))
+                sizes, found, of, left = window_hashes(texts, list(shared.value))
+                hit = np.zeros(len(texts), bool)
+                for d, values in found.items():
+                    held = shared.value[d]
+                    at = np.minimum(np.searchsorted(held, values), len(held) - 1)
+                    hit[of[(held[at] == values) & (left >= d)]] = True
+                text = pc.if_else(pa.array(hit), b.column(1), pa.scalar(None, b.column(1).type))
+                yield pa.RecordBatch.from_arrays([b.column(0), text, b.column(2), pa.array(sizes, pa.int64())], ["doc_id", "text", "row", "n_words"])
+
+        found = source.mapInArrow(look, f"doc_id {kind}, text string, row bigint, n_words bigint")
+        marked = found if marked is None else marked.union(found)
+    if slices > 1:  # a document's scans meet; repeated rows stay as many
+        marked = marked.groupBy("doc_id", "row", "n_words").agg(F.max("text").alias("text"), F.count("*").alias("n"))
+        marked = marked.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("n") / slices).cast("int"))))
+    return spool(marked.select("doc_id", "text", "row", "n_words"), "holding")
+
+
 def text_key(text: Column) -> Column:
     """With the id, what tells rows of one id apart: rows with the same key have the same text and so the same result."""
     return F.xxhash64(text)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, size: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, size: int = SHINGLE, block_words: int = BLOCK_WORDS, hashes: int = HASHES) -> DataFrame:
     """Per document row: doc_id, row (`text_key` of its text), n_words, spans (word ranges inside an occurring window, merged, as
     array<struct<start,end>>), n_hit and items (ids of items with occurring windows, as sorted strings)."""
     spark = docs.sparkSession
@@ -122,9 +193,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, row bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>"
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("row"))
-    parts = [_block(source, block, window, size, schema, kind) for block in blocks_of(benchmark, item_col, item_text_col, block_words)]
-    if not parts:
-        parts = [_block(source, [], window, size, schema, kind)]
+    blocks = blocks_of(benchmark, item_col, item_text_col, block_words)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    clean = None
+    if second is not None:
+        marked = holding(source, benchmark, item_text_col, window, kind, hashes)
+        none = [F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>"))]
+        clean = marked.where("text is null").select("doc_id", "row", "n_words", *none)
+        source = marked.where("text is not null").select("doc_id", "text", "row")
+    parts = [_block(source, block, window, size, schema, kind) for block in (first, *([second] if second is not None else []), *blocks)]
     merged = parts[0]
     if len(parts) > 1:  # several blocks: a document's hits meet by its id and its text's hash; repeated rows stay as many
         for p in parts[1:]:
@@ -133,6 +211,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         merged = merged.withColumn("spans_", F.arrays_zip("starts", "ends")).groupBy("doc_id", "row", "n_words").agg(*lists, F.count("*").alias("n"))
         merged = merged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int"))))
         merged = merged.select("doc_id", "row", "n_words", F.col("spans_.starts").alias("starts"), F.col("spans_.ends").alias("ends"), "items")
+    if clean is not None:
+        merged = merged.unionByName(clean)
     return merged.mapInArrow(_merge, f"doc_id {kind}, row bigint, n_words bigint, spans array<struct<start:int,end:int>>, n_hit bigint, items array<string>")
 
 

@@ -65,6 +65,7 @@ def test_blocks_of_benchmark(spark):
     """A benchmark in many broadcast blocks gives the same rows."""
     docs, items = corpus(2, 40)
     check(spark, docs, items, block_words=40)
+    check(spark, docs, items, block_words=150, hashes=60)
 
 
 def test_hard_texts(spark, hard, empty):
