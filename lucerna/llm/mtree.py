@@ -324,7 +324,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = K, tree_rows: int = T
 
     def met(frame: DataFrame, first: bool) -> DataFrame:
         sent = frame.mapInArrow(send(first), "group int, vec_id bigint, v array<bigint>, floor bigint, done int")
-        both = stored.unionByName(sent, allowMissingColumns=True).repartition(groups, "group").sortWithinPartitions("group", F.col("tree").isNull(), "tree_id", "part", "vec_id")
+        both = stored.unionByName(sent, allowMissingColumns=True).repartitionById(groups, F.col("group")).sortWithinPartitions("group", F.col("tree").isNull(), "tree_id", "part", "vec_id")
         return both.mapInArrow(probe(first), "query_id bigint, vec_id bigint, score bigint, done int")
 
     near = spool(met(asked.select("vec_id", "v", "floor", "done"), True), "near")
