@@ -38,7 +38,7 @@ from .common import drop, spool
 
 K, SCALE = 10, 1024
 #: Vectors in a tree, entries in a page; routing vectors and groups of trees, at most.
-TREE_ROWS, PAGE, CELLS, GROUPS = 16_384, 64, 1024, 4096
+TREE_ROWS, PAGE, CELLS, GROUPS = 16_384, 256, 1024, 4096
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
