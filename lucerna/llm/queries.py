@@ -15,7 +15,7 @@ SCHEMAS = {"ask": {"text": {"type": "string", "required": True, "min_length": 1,
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's pieces and their places in sequences of 1024 tokens."""
+    """Every document's pieces and their places in sequences of 1024 tokens. A null text is empty: one piece, the end token alone."""
     import public_tokenizers
 
     parts = packing.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(RANKS_FILE))
@@ -42,33 +42,44 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words in benchmark windows. Texts without words are clean; repeated rows each get a row; an item without an
+    id goes by the name None; an empty benchmark leaves all clean."""
     return decontaminate.report(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best partners of every hundredth vector, among the vectors of its length. Null, empty and non-finite vectors and null
+    ids take no part; scores beyond 64 bits raise."""
     vectors = mtree.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return mtree.top_k(vectors.where("vec_id % 100 = 0"), vectors)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score. Null texts score as empty ones; a null id counts as the text '' for the held-out rule; with fewer than two
+    positives or unlabelled rows all scores are 0.5."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id that it reaches. Wordless texts have fingerprint zero and are one
+    component; a component without an id has a null one; repeated rows each get a row."""
     found = simhash.components(simhash.fingerprints(table(spark, sf_dir, "documents")))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's slot and shard. Null ids share one slot; equal ids share theirs."""
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text. Null, empty and wordless pages have the empty text; repeated rows each get a row."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets. Null and empty texts have none; repeated rows each get a row."""
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
