@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from . import normalise
 from . import vocabulary as V
-from .text import S, any_of, blank_to_null, extract, strip
+from .text import SPACES, S, any_of, blank_to_null, extract, strip
 
 EVERY = any_of(V.LABELS)
 THINK = r"(?s)<\|?think\|?>.*?<\|?/?think\|?>"
 
 
 def without_thinking(raw: Column) -> Column:
-    """The response without its closed think blocks, stripped."""
-    return strip(F.regexp_replace(raw, THINK, ""))
+    """The response without its closed think blocks, stripped. Texts without the word are not searched."""
+    return strip(F.when(F.contains(raw, F.lit("think")), F.regexp_replace(raw, THINK, "")).otherwise(raw))
 
 
 def thinking_removed(raw: Column) -> Column:
-    return F.regexp_replace(raw, THINK, "") != raw
+    return F.contains(raw, F.lit("think")) & (F.regexp_replace(raw, THINK, "") != raw)
 
 
 def refuses(text: Column) -> Column:
@@ -34,10 +34,11 @@ def without_preamble(text: Column) -> Column:
 
 
 def without_markup(text: Column) -> Column:
-    """Code fences, emphasis and code marks around labels, and header marks removed, in this order."""
+    """Code fences, emphasis and code marks around labels, and header marks removed, in this order; texts without any such mark stay as they are."""
+    clean = text
     for pattern, by in ((r"(?Ud)```\w*\n?|```", ""), (rf"(?Uid)\*{{1,3}}({EVERY})\*{{1,3}}", "$1"), (rf"(?Uid)`({EVERY})`", "$1"), (rf"(?Umd)^#{{1,4}}{S}*", "")):
-        text = F.regexp_replace(text, pattern, by)
-    return text
+        clean = F.regexp_replace(clean, pattern, by)
+    return F.when(text.rlike("[`*#]"), clean).otherwise(text)
 
 
 def labelled(text: Column, labels: list[str]) -> Column:
@@ -56,8 +57,8 @@ def last_value(pairs: Column, label: str) -> Column:
 
 def chinese(raw: Column) -> Column:
     """Whether over three tenths of the characters that aren't white space are Chinese."""
-    dense = F.regexp_replace(raw, rf"(?U){S}+", "")
-    return F.length(F.regexp_replace(dense, "[^一-鿿]", "")) > V.CHINESE_SHARE * F.length(dense)
+    dense = F.translate(raw, SPACES, "")
+    return F.length(F.regexp_replace(raw, "[^一-鿿]++", "")) > V.CHINESE_SHARE * F.length(dense)
 
 
 def chinese_value(text: Column, label: str) -> Column:
@@ -85,7 +86,8 @@ def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy",
     """
     given = F.coalesce(F.col(raw), F.lit(""))
     df = df.withColumn("_there", strip(given) != "").withColumn("_open", F.when(F.col("_there"), without_thinking(given)))
-    df = df.withColumn("_refusal", F.coalesce(refuses(F.col("_open")), F.lit(False))).withColumn("_text", without_markup(without_preamble(F.col("_open"))))
+    df = df.withColumn("_refusal", F.coalesce(refuses(F.col("_open")), F.lit(False))).withColumn("_cut", without_preamble(F.col("_open")))
+    df = df.withColumn("_text", without_markup(F.col("_cut")))
     pairs = None
     for name in dict.fromkeys(V.STRATEGIES):
         here = labelled(F.col("_text"), V.STRATEGY_LABELS[name])
@@ -119,4 +121,4 @@ def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy",
         F.when(error.isNotNull(), F.array(error)).otherwise(F.array().cast("array<string>")).alias("parse_errors"),
         given.alias("raw_response"), refusal.alias("refusal"), F.coalesce(F.when(F.col("_there"), thinking_removed(given)), F.lit(False)).alias("think_block_removed"),
     )
-    return df.withColumn("parsed", parsed).drop(*[c for c in ("_there", "_open", "_refusal", "_text", "_pairs", "_zh", "_found", "_fallback", "_answer", "_normal", *(f"_f{k}" for k in range(len(V.LABELS))))])
+    return df.withColumn("parsed", parsed).drop(*[c for c in ("_there", "_open", "_refusal", "_cut", "_text", "_pairs", "_zh", "_found", "_fallback", "_answer", "_normal", *(f"_f{k}" for k in range(len(V.LABELS))))])
