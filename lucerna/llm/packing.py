@@ -12,9 +12,9 @@ pieces of one length are placed in any order; an empty table gives no rows; othe
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -31,32 +31,49 @@ NODES = 160
 BUCKETS, BUCKET_ROWS = 256, 50_000
 
 
-#: Strings of the vocabulary that are one token wherever a text holds them.
-SPECIAL = {"<|endoftext|>": 50256}
+def byte_signs() -> dict[str, int]:
+    """The byte for which each sign of a byte-level vocabulary stands: printable Latin-1 for itself, the rest from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 @cache
-def encoder(path: str):
-    """The byte-level BPE of a ranks file."""
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """The ids that `tokenizers` gives for the vocabulary file (byte-level BPE, JSON), no special tokens added. tiktoken finds them
+    with the file's ranks; where its pattern runs out of stack (white space of some hundred thousand signs), `tokenizers` itself does."""
     import public_tokenizers
     import tiktoken
+    from tokenizers import Tokenizer
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    special = {t["content"]: t["id"] for t in file["added_tokens"]}  # one token wherever a text holds them
+    signs = byte_signs()
+    ranks = {bytes(map(signs.__getitem__, word)): k for word, k in file["model"]["vocab"].items() if word not in special}
+    quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    whole = cache(lambda: Tokenizer.from_file(path))
 
+    def encode(text: str) -> list[int]:
+        try:
+            return quick.encode(text, allowed_special="all")
+        except ValueError:
+            return whole().encode(text, add_special_tokens=False).ids
 
-def pieces(df: DataFrame, id_col: str, text_col: str, ranks_path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+    return encode
+
+
+def pieces(df: DataFrame, id_col: str, text_col: str, vocabulary: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): each document's ids and the end id, cut from the back
     so that only the first piece is shorter than `capacity`."""
     short_batches(df.sparkSession)
 
     def run(batches):
-        encode = encoder(ranks_path).encode
+        encode = encoder(vocabulary)
         for b in sliced(batches, 1):
             docs, number, start, length, crc, flat = [], [], [], [], [], []
             for row, text in enumerate(b.column(1).to_pylist()):
-                ids = np.array([*encode(text or "", allowed_special="all"), end], dtype="<u4")
+                ids = np.array([*encode(text or ""), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k in range(len(edges) - 1):

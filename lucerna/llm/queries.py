@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, html, mtree, packing, quality, secrets, sharding, simhash, toolcalls, warc
 from .common import table
 
-RANKS_FILE = "byte_bpe_50k.tiktoken"
+RANKS_FILE = "byte_bpe_50k.json"
 SHARDS = [f"shard-{k:03d}" for k in range(96)]
 #: The tool that a user's turn calls, for the query on conversations.
 SCHEMAS = {"ask": {"text": {"type": "string", "required": True, "min_length": 1, "max_length": 1000}, "turn": {"type": "integer", "required": True, "minimum": 0}, "words": {"type": "integer", "minimum": 1, "maximum": 150}}}
