@@ -13,7 +13,7 @@ two fingerprints within the distance agree on one of them, so a member goes to t
 Only what is still too large then is dealt out as pairs of chunks, so no task holds more than two
 chunks, and a group gives a forest of its links, the nearest ones, not all its pairs. Components then join the forests.
 
-`distinct_texts` is the filter on texts: it takes candidates within `WIDE` bits (and `WIDE_BOTH` of a second, independent
+`distinct_texts` is the filter on texts: its fingerprints are those of the set of a text's five-word shingles; it takes candidates within `WIDE` bits (and `WIDE_BOTH` of a second, independent
 fingerprint beside the first) from sampled keys instead of blocks, in the same index, and links those whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more. Of pairs at 8, 10 and 12 bits, keys meet about 99.7, 99 and 95 in a hundred.
 
@@ -25,6 +25,7 @@ get a row; an empty table gives no rows; other columns are ignored, whatever the
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 from math import ceil, log2
 
@@ -45,30 +46,42 @@ SIMILAR_WORDS, SIMILAR, WIDE, WIDE_BOTH = 5, 0.8, 14, 27
 COUNT_AT_ONCE = 1 << 15
 
 
-def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
-    return fingerprint_pair(text, size, seed)[0]
-
-
-def fingerprint_pair(text: bytes, size: int = SHINGLE, seed: int = SEED, second: bool = False) -> tuple[int, int]:
-    """The fingerprint and, where asked for, a second one from hashes mixed anew (zero otherwise)."""
+def shingle_hashes(text: bytes, size: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of each shingle in order, repeats included, in bounded arrays; none for a wordless text."""
     parts = text.lower().split()
     if not parts:
-        return 0, 0
+        return
     flat = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     n = max(1, len(parts) - size + 1)
     starts = np.concatenate([[0], ends[: n - 1] + 1]).tolist()
     stops = ends[min(size, len(parts)) - 1 :].tolist()
-    total, other = np.zeros(BITS, np.int64), np.zeros(BITS, np.int64)
     hashed = xxhash.xxh64_intdigest
-    count = lambda h: np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     for at in range(0, n, COUNT_AT_ONCE):
-        h = np.array([hashed(flat[a:b], seed) for a, b in zip(starts[at : at + COUNT_AT_ONCE], stops[at : at + COUNT_AT_ONCE])], np.uint64)
-        total += count(h)
-        if second:
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-            other += count(h ^ (h >> np.uint64(29)))
-    return tuple(int(np.packbits(x * 2 > n, bitorder="little").view(np.uint64)[0]) for x in (total, other))
+        yield np.array([hashed(flat[a:b], seed) for a, b in zip(starts[at : at + COUNT_AT_ONCE], stops[at : at + COUNT_AT_ONCE])], np.uint64)
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of all hashes."""
+    total, n = np.zeros(BITS, np.int64), 0
+    for h in parts:
+        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += len(h)
+    return int(np.packbits(total * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
+    return majority(shingle_hashes(text, size, seed))
+
+
+def set_fingerprints(text: bytes, size: int = SIMILAR_WORDS, seed: int = SEED) -> tuple[int, int]:
+    """Two fingerprints, the second from hashes mixed anew, of the set of a text's shingles: each counts once, so that a line repeated
+    through a text doesn't decide them."""
+    found = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, size, seed))]))
+    mixed = (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(29)
+    cut = lambda h: (h[k : k + COUNT_AT_ONCE] for k in range(0, len(h), COUNT_AT_ONCE))
+    return majority(cut(found)), majority(cut(mixed))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -347,7 +360,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def scan(batches):
         for b in sliced(batches, 1):
-            both = np.array([fingerprint_pair(t, second=True) for t in raw(b.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
+            both = np.array([set_fingerprints(t) for t in raw(b.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "key", "fp", "second"])
 
     def judge(batches):

@@ -188,6 +188,17 @@ def test_distinct_texts(spark):
     assert pairs > 200 and len(kept) - len(groups) <= 0.05 * (len(texts) - len(groups))
 
 
+def test_repeated_lines_link_nothing(spark):
+    """Texts that share a line repeated through them, and little else, all stay; near copies of one of them go."""
+    rng = random.Random(9)
+    say = lambda k: [f"w{rng.randint(0, 3000)}" for _ in range(k)]
+    texts = [" ".join(["na"] * 200 + say(100)) for _ in range(40)] + [("accept all cookies now\n" * 80) + " ".join(say(60)) for _ in range(40)]
+    near = [texts[0] + " more", texts[40] + " more"]
+    got = {r.doc_id for r in simhash.distinct_texts(spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")).collect()}
+    assert got == set(range(80))
+    assert simhash.set_fingerprints(b"a b c d e") == simhash.set_fingerprints(b"A b  c d e") and simhash.set_fingerprints(b" ") == (0, 0)
+
+
 def test_distinct_rows(spark, hard, empty):
     """Rows that share an id and differ in their texts both stay; equal rows are one; a row without an id goes before others."""
     rows = [(1, "some words here and there", "a"), (1, "quite different words are in this row", "b"), (2, "some words here and there", "c"), (None, None, None), (None, "x", None), (3, "", "d"), (5, "again", "e"), (5, "again", "f"), (None, "y", "g"), (None, "y", "h")]
