@@ -140,7 +140,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
     mark = None
-    while True:
+    while not now.isEmpty():
         was = now
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hub = spool(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -152,5 +152,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drop(was, hub, large, least)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if (seen := tuple(seen)) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         mark = seen
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, mtree, packing, quality, secrets, sharding, simhash, toolcalls, warc
+from . import decontaminate, divergence, html, mtree, packing, quality, rpforest, secrets, sharding, simhash, toolcalls, warc
 from .common import table
 
 RANKS_FILE = "byte_bpe_50k.json"
@@ -83,8 +83,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source's divergence from the others of its language, and its most telling terms. Null texts, languages and sources are
+    empty ones; repeated rows count each; where a language keeps no term its pairs have the value 0."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links and component. Null, zero and non-finite vectors and those without a label are alone; vectors without an id
+    link and name no component; repeated rows each get a row."""
+    return rpforest.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack, op2_toolcalls, op3_warc, op4_decontaminate, op5_topk, op6_quality, op7_simhash, op8_shard, op9_main_text, op10_secrets)}
+    return {f.__name__: f for f in (op1_pack, op2_toolcalls, op3_warc, op4_decontaminate, op5_topk, op6_quality, op7_simhash, op8_shard, op9_main_text, op10_secrets, op11_divergence, op13_near_vectors)}
 
 
 OP2 = r"""
@@ -155,5 +167,32 @@ g AS (SELECT r, {', '.join(f"count(*) FILTER (k = {k}) AS n_{kind}" for k, (kind
 SELECT doc_id, {', '.join(f'coalesce(n_{kind}, 0) AS n_{kind}' for kind, *_ in OP10_KINDS[:3])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 
 
+OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY lang, source),
+p AS (SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (g.total + 2 * v) AS p, 1 + 1000000000::HUGEINT * (k.n + 2) // (v.total + 2 * v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+s AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM s)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INT) AS rank FROM o WHERE part = 'pair' OR r <= 10
+"""
+
+OP13 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a),
+c AS (SELECT a AS vec_id, min(b) AS b FROM r GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, b), vec_id) AS component_id, coalesce(vec_id <= b, true) AS kept FROM embeddings LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toolcalls": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op10_secrets": _op10()}
+    return {"op2_toolcalls": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op10_secrets": _op10(), "op11_divergence": OP11, "op13_near_vectors": OP13}
