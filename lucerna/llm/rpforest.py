@@ -188,10 +188,9 @@ def first_met(mine: np.ndarray, theirs: np.ndarray, leaf: int) -> np.ndarray:
     return ~earlier.any(axis=(1, 2))
 
 
-def leaf_links(x: np.ndarray, size: np.ndarray, side: np.ndarray, lists: np.ndarray, leaf: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def leaf_links(x: np.ndarray, size: np.ndarray, side: np.ndarray, two: bool, lists: np.ndarray, leaf: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For one leaf, or two chunks of it: how many vectors each row links with that are met here first, and a forest (a, b) of its
-    links. side: the chunk of each row; where there are two, only pairs across them count."""
-    two = side.any() and not side.all()
+    links. side: the chunk of each row; where two chunks meet, only pairs across them count."""
     left = np.flatnonzero(side == 0) if two else np.arange(len(x))
     right = np.flatnonzero(side == 1) if two else left
     counts = np.zeros(len(x), np.int64)
@@ -233,7 +232,7 @@ def links(at: DataFrame, kind: str, cosine: float = COSINE, chunk: int = LEAF) -
         lists = np.full((len(x), max(map(len, every))), WHOLE)
         for k, some in enumerate(every):
             lists[k, : len(some)] = some
-        counts, a, b = leaf_links(x, size, side, lists, leaf, cosine)
+        counts, a, b = leaf_links(x, size, side, table["i"][0].as_py() != table["j"][0].as_py(), lists, leaf, cosine)
         some = np.flatnonzero(counts)
         out = [pa.array(np.concatenate([node[a], node[some]])), pa.concat_arrays([pa.array(node[b]), pa.nulls(len(some), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(counts[some])])]
         return pa.RecordBatch.from_arrays(out, ["a", "b", "n"])
