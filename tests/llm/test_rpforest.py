@@ -38,7 +38,7 @@ def test_against_all_pairs(spark):
     """Small leaves and samples, so that trees are deep, fitted in several rounds, and tight leaves are dealt out in chunks."""
     x = clustered(1, 900)
     rows = [(k, v.tolist(), int(k % 5 == 0)) for k, v in enumerate(x)]
-    rows += [(900 + k, rows[k][1], rows[k][2]) for k in range(0, 300, 3)]  # copies
+    rows += [(900 + k, rows[3 * k][1], rows[3 * k][2]) for k in range(100)]  # copies
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in rpforest.near_vectors(df, leaf=40, sample=300).collect()}
     links, roots = brute(rows)
