@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, divergence, html, mtree, packing, quality, rpforest, secrets, sharding, simhash, toolcalls, warc
+from . import decontaminate, divergence, html, mtree, packing, quality, rpforest, secrets, sharding, simhash, toolcalls, trie, warc
 from .common import table
 
 RANKS_FILE = "byte_bpe_50k.json"
@@ -89,6 +89,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that those of a run of five ids share first turns. Turns of one number go by role
+    and MD5 of the text; rows without a conversation go; an empty table gives no node."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector's links and component. Null, zero and non-finite vectors and those without a label are alone; vectors without an id
     link and name no component; repeated rows each get a row."""
@@ -96,7 +102,7 @@ def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_pack, op2_toolcalls, op3_warc, op4_decontaminate, op5_topk, op6_quality, op7_simhash, op8_shard, op9_main_text, op10_secrets, op11_divergence, op13_near_vectors)}
+    return {f.__name__: f for f in (op1_pack, op2_toolcalls, op3_warc, op4_decontaminate, op5_topk, op6_quality, op7_simhash, op8_shard, op9_main_text, op10_secrets, op11_divergence, op12_prefix_trie, op13_near_vectors)}
 
 
 OP2 = r"""
@@ -183,6 +189,28 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INT) AS rank FROM o WHERE part = 'pair' OR r <= 10
 """
 
+#: CRC-32 of a text's bytes: a byte goes in by XOR, then eight shifts (marked -1).
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten([[CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] FOR c IN string_split(CAST(conv_id AS VARCHAR), '')])),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, n, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT conv_id, max(pos) AS n FROM t GROUP BY conv_id)),
+x AS (SELECT c.conv_id, pos, role, text FROM c JOIN t ON t.conv_id = c.base AND pos <= h
+  UNION ALL SELECT c.conv_id, pos - c.h + least(c.h, coalesce(b.n, 0)), role, text FROM c JOIN t USING (conv_id) LEFT JOIN c b ON b.conv_id = c.base WHERE pos > c.h),
+m AS (SELECT conv_id, pos AS depth, strlen(text) AS bytes, list((role, text)) OVER (PARTITION BY conv_id ORDER BY pos) AS k FROM x UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+n AS (SELECT depth, k, min(conv_id) AS node, count(*) AS n_convs, min(bytes) AS bytes FROM m GROUP BY depth, k),
+w AS (SELECT m.conv_id, depth, node, n_convs, n.bytes FROM m JOIN n USING (depth, k)),
+l AS (SELECT conv_id, max(depth) AS depth FROM w GROUP BY conv_id),
+e AS (SELECT node, depth, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM w JOIN l USING (conv_id, depth) GROUP BY node, depth),
+p AS (SELECT n.node, n.depth, n.n_convs, n.bytes, w.node AS parent FROM n LEFT JOIN w ON w.conv_id = n.node AND w.depth = n.depth - 1),
+k AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM p WHERE depth > 0 GROUP BY 1, 2),
+s AS (SELECT w.node, w.depth, sum((p.n_convs - 1) * p.bytes) AS saved, count(*) FILTER (k.node IS NULL) AS n_leaves FROM p LEFT JOIN k ON k.node = p.node AND k.depth = p.depth JOIN w ON w.conv_id = p.node AND w.depth <= p.depth GROUP BY w.node, w.depth)
+SELECT p.node AS conv_id, p.depth, parent AS parent_conv_id, p.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM p JOIN s USING (node, depth) LEFT JOIN k USING (node, depth) LEFT JOIN e USING (node, depth)
+"""
+
 OP13 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -195,4 +223,4 @@ SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(vec_id, b), vec_id) AS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_toolcalls": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op10_secrets": _op10(), "op11_divergence": OP11, "op13_near_vectors": OP13}
+    return {"op2_toolcalls": OP2, "op4_decontaminate": OP4, "op5_topk": OP5, "op10_secrets": _op10(), "op11_divergence": OP11, "op12_prefix_trie": OP12, "op13_near_vectors": OP13}
