@@ -13,9 +13,11 @@ two fingerprints within the distance agree on one of them, so a member goes to t
 Only what is still too large then is dealt out as pairs of chunks, so no task holds more than two
 chunks, and a group gives a forest of its links, the nearest ones, not all its pairs. Components then join the forests.
 
-`distinct_texts` is the filter on texts: its fingerprints are those of the set of a text's five-word shingles; it takes candidates within `WIDE` bits (and `WIDE_BOTH` of a second, independent
-fingerprint beside the first) from sampled keys instead of blocks, in the same index, and links those whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more. Of pairs at 8, 10 and 12 bits, keys meet about 99.7, 99 and 95 in a hundred.
+`distinct_texts` is the filter on texts: one of each group whose sets of five-word shingles are linked by a Jaccard similarity of 0.8 or
+more. Fingerprints of the sets within `distance` bits are candidates from the index. The links beyond come from a prefix-filtered join,
+which loses none: with all shingles in one order, two sets that similar share one of the first n - ceil(0.8 n) + 1 of each. The order
+puts the shingles that are frequent last. Candidates are judged by the length of their sets and by a bound on how many shingles only
+one of them has, taken from parities of hashed shingles, and then by their texts.
 
 Defined results: a null, empty or wordless text has fingerprint zero and links like any other; null ids
 take part, and a component is named by its smallest id that is not null (null if it has none); repeated rows each
@@ -24,10 +26,9 @@ get a row; an empty table gives no rows; other columns are ignored, whatever the
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterable, Iterator
 from itertools import combinations
-from math import ceil, log2
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, connected_components, drop, few, raw, short_batches, sliced, spool, unused
+from .common import columns, connected_components, drop, few, list_column, raw, short_batches, sliced, spool, unused
 
 SHINGLE, SEED, DISTANCE, BITS = 4, 42, 4, 64
 #: Fingerprints in a chunk of a group, in a leaf, and children of a node; and how often a large group is cut by longer keys.
 CHUNK, LEAF, LEVELS = 512, 8, 3
-#: The filter on texts: words of a shingle, least similarity; bits between candidates, of one and of both fingerprints.
-SIMILAR_WORDS, SIMILAR, WIDE, WIDE_BOTH = 5, 0.8, 14, 27
+#: The filter on texts: words of a shingle, least similarity.
+SIMILAR_WORDS, SIMILAR = 5, 0.8
+#: Shingles with a hash below `COUNTED` come first in the order and are counted; those in `FREQUENT` rows or more, up to the `LISTED` most
+#: frequent, go behind them. Bits of the parities.
+COUNTED, FREQUENT, LISTED, PARITIES = 3 << 61, 64, 500_000, 512
 #: Shingles hashed before their bits are counted.
 COUNT_AT_ONCE = 1 << 15
 
@@ -74,14 +78,34 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     return majority(shingle_hashes(text, size, seed))
 
 
-def set_fingerprints(text: bytes, size: int = SIMILAR_WORDS, seed: int = SEED) -> tuple[int, int]:
-    """Two fingerprints, the second from hashes mixed anew, of the set of a text's shingles: each counts once, so that a line repeated
-    through a text doesn't decide them."""
-    found = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, size, seed))]))
-    mixed = (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    cut = lambda h: (h[k : k + COUNT_AT_ONCE] for k in range(0, len(h), COUNT_AT_ONCE))
-    return majority(cut(found)), majority(cut(mixed))
+def shingle_set(text: bytes, size: int = SIMILAR_WORDS, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's distinct shingles, ascending: a line repeated through a text counts once."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *map(np.unique, shingle_hashes(text, size, seed))]))
+
+
+def set_fingerprint(found: np.ndarray) -> int:
+    return majority(found[k : k + COUNT_AT_ONCE] for k in range(0, len(found), COUNT_AT_ONCE))
+
+
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of hashes falls on each place, as longs. Two sets differ in at least as many hashes as parities."""
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def prefix(found: np.ndarray, frequent: np.ndarray, level: np.ndarray, least: float = SIMILAR) -> np.ndarray:
+    """The first n - ceil(least n) + 1 hashes of a set in the order: those below `COUNTED` that aren't frequent, frequent ones by level,
+    all others. frequent: ascending."""
+    n = len(found)
+    if not n:
+        return found
+    counted = found[: np.searchsorted(found, np.uint64(COUNTED))]
+    place = np.searchsorted(frequent, counted)
+    place[place == len(frequent)] = 0
+    often = frequent[place] == counted if len(frequent) else np.zeros(len(counted), bool)
+    late = counted[often]
+    late = late[np.lexsort([late, level[place[often]]])] if len(late) else late
+    return np.concatenate([counted[~often], late, found[len(counted) :]])[: n - ceil(least * n - 1e-9) + 1]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -180,9 +204,8 @@ def nearest_forest(n: int, left: np.ndarray, right: np.ndarray, weight: np.ndarr
         root = root[forest(root, root[a[chosen]], root[b[chosen]])[root]]
 
 
-def group_links(values: np.ndarray, side: np.ndarray, distance: int, second: np.ndarray | None = None, both: int = 2 * BITS) -> tuple[np.ndarray, np.ndarray]:
-    """A forest (a, b) of the links of one group, nearest ones first. side: of which chunk each is, where two chunks meet.
-    second: fingerprints that count too, with at most `both` bits in all."""
+def group_links(values: np.ndarray, side: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest (a, b) of the links of one group, nearest ones first. side: of which chunk each is, where two chunks meet."""
     two = side.any() and not side.all()
     asked = np.flatnonzero(side == 0) if two else np.arange(len(values))
     held = np.flatnonzero(side == 1) if two else asked
@@ -191,9 +214,6 @@ def group_links(values: np.ndarray, side: np.ndarray, distance: int, second: np.
     keep = a < b if not two else np.ones(len(a), bool)
     a, b = a[keep], b[keep]
     apart = np.bitwise_count(values[a] ^ values[b]).astype(np.int64)
-    if second is not None:
-        apart += np.bitwise_count(second[a] ^ second[b])
-        a, b, apart = a[apart <= both], b[apart <= both], apart[apart <= both]
     chosen = nearest_forest(len(values), a, b, apart)
     return values[a[chosen]], values[b[chosen]]
 
@@ -219,14 +239,6 @@ def longer(mask: int, distance: int) -> list[int]:
     return [mask | x for x in parted(rest, distance + 1)] if len(rest) > distance else []
 
 
-def sampled(bits: int, mask: int = 0, seed: int = SEED) -> list[int]:
-    """Masks of `bits` sampled bits beyond `mask`, so many that two fingerprints with an eighth of their bits apart miss all of
-    them once in a few hundred times."""
-    rest = [k for k in range(BITS) if not mask >> k & 1]
-    rng = random.Random(f"{seed} {mask} {bits}")
-    return [mask | sum(1 << k for k in rng.sample(rest, min(bits, len(rest)))) for _ in range(ceil(6 / 0.87**bits))] if rest else []
-
-
 def blocks_for(count: int, distance: int, chunk: int) -> int:
     """The least number of blocks whose keys are long enough to spread `count` fingerprints into groups below `chunk`."""
     blocks = distance + 1
@@ -272,13 +284,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, chunk: int = CHUNK, blo
     return _linked(grouped(distinct.select("fp"), masks(distance, blocks), lambda m: longer(m, distance), chunk, levels), distance)
 
 
-def wide_links(distinct: DataFrame, distance: int = WIDE, both: int = WIDE_BOTH, chunk: int = CHUNK, levels: int = 2) -> DataFrame:
-    """Edges (a, b) of forests over the pairs of (fp, second) within both distances that meet in a group of sampled keys."""
-    bits = min(40, max(8, round(log2(max(2, distinct.count()))) - 8))
-    return _linked(grouped(distinct.select("fp", "second"), sampled(bits), lambda m: sampled(8, m), chunk, levels), distance, both)
-
-
-def _linked(dealt: DataFrame, distance: int, both: int = 2 * BITS) -> DataFrame:
+def _linked(dealt: DataFrame, distance: int) -> DataFrame:
     dealt = dealt.repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j")
 
     def run(batches):
@@ -291,10 +297,9 @@ def _linked(dealt: DataFrame, distance: int, both: int = 2 * BITS) -> DataFrame:
             new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             a, b = [], []
             values, side = cols[5].view(np.uint64), cols[4]
-            second = cols[6].view(np.uint64) if len(cols) > 6 else None
             for lo, hi in zip([0, *new], [*new, len(values)]):
                 if hi - lo > 1:
-                    x, y = group_links(values[lo:hi], side[lo:hi], distance, None if second is None else second[lo:hi], both)
+                    x, y = group_links(values[lo:hi], side[lo:hi], distance)
                     a.append(x)
                     b.append(y)
             flat = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)]
@@ -348,48 +353,164 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def frequent_shingles(texts: DataFrame, least: int = FREQUENT, most: int = LISTED) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles below `COUNTED` that are in `least` rows or more, at most the `most` frequent of them, ascending, and the binary
+    logarithm of their rows. All rows are counted; the list bears on the order alone, never on the result."""
+
+    def run(batches):
+        for b in sliced(batches, 0):
+            found = [shingle_set(t) for t in raw(b.column(0))]
+            token, n = np.unique(np.concatenate([f[: np.searchsorted(f, np.uint64(COUNTED))] for f in found]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
+
+    counted = texts.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counted.orderBy(F.col("n").desc(), "token").limit(most).toPandas()
+    token = found.token.to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.log2(found.n.to_numpy(np.int64)[order]).astype(np.int64)
+
+
+def _judged(pairs: DataFrame, classes: DataFrame, source: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of classes whose texts have the similarity: first by bounds from sizes and parities, then by the texts."""
+
+    def judge(batches):
+        for b in sliced(batches, 2):
+            same = [similar(x, y) >= least for x, y in zip(raw(b.column(2)), raw(b.column(3)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    both = F.col("n_a") + F.col("n_b")
+    near = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6) & (differ <= both * ((1 - least) / (1 + least)) + 1e-6)
+    close = spool(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "close")
+    asked = spool(close.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", F.col("of.id").alias("of_id"), F.col("of.key").alias("of_key")), "asked")
+    found = source.join(few(asked), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).select("c", "text")
+    texts = spool(found.groupBy("c").agg(F.min("text").alias("text")), "texts")
+    left, right = texts.select(F.col("c").alias("a"), F.col("text").alias("x")), texts.select(F.col("c").alias("b"), F.col("text").alias("y"))
+    linked = spool(close.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"), "links")
+    drop(close, asked, texts)
+    return linked
+
+
+def _across(rows: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (a, b) of classes of different roots that share a token and pass the bounds. rows: (token, c, root, n, bits).
+
+    In each token's group the classes outside of its most frequent root meet all others, both dealt out in chunks.
+    """
+    sizes = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token")
+    sizes = sizes.agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("k_main"), F.count("*").alias("roots")).where("roots > 1")
+    parts = lambda k: F.ceil(k / (chunk // 2)).cast("int")
+    dealt = rows.join(spool(sizes, "sizes"), "token").withColumn("mi", parts(F.col("k") - F.col("k_main"))).withColumn("mj", parts(F.col("k")))
+    upto = lambda m: F.sequence(F.lit(0), m - 1)
+    place = lambda m: F.pmod(F.xxhash64("c"), m).cast("int")
+    names = ["token", "i", "j", "side", "c", "root", "n", "bits"]
+    held = dealt.withColumn("i", F.explode(upto(F.col("mi")))).withColumn("j", place(F.col("mj"))).withColumn("side", F.lit(1)).select(*names)
+    asking = dealt.where("root <> main").withColumn("j", F.explode(upto(F.col("mj")))).withColumn("i", place(F.col("mi"))).withColumn("side", F.lit(0)).select(*names)
+    key = ["token", "i", "j"]
+
+    def group(cols: list, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        side, c, root, n, bits = (x[lo:hi] for x in cols)
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = []
+        for at in range(0, len(a), 64):
+            x = a[at : at + 64]
+            total = n[x][:, None] + n[b][None, :]
+            differ = np.bitwise_count(bits[x][:, None, :] ^ bits[b][None, :, :]).sum(axis=2, dtype=np.int64)
+            near = (root[x][:, None] != root[b][None, :]) & (differ <= total * ((1 - least) / (1 + least)) + 1e-6)
+            near &= np.minimum(n[x][:, None], n[b][None, :]) >= least * np.maximum(n[x][:, None], n[b][None, :]) - 1e-6
+            i, j = np.nonzero(near)
+            out.append((c[x[i]], c[b[j]]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (c[:0], c[:0])
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table):
+            keys = [table[x].to_numpy() for x in key]
+            new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+            cols = [*(table[x].to_numpy() for x in ("side", "c", "root", "n")), table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)]
+            found = [group(cols, lo, hi) for lo, hi in zip([0, *new], [*new, table.num_rows])]
+            a, b = (np.concatenate(x) for x in zip(*found))
+            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:  # the rows of one group may go on in the next batch
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            new = np.flatnonzero(np.any([(k := batch.column(x).to_numpy())[1:] != k[:-1] for x in range(3)], axis=0))
+            if len(new):
+                last = int(new[-1]) + 1
+                yield done(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))
+                held = [batch.slice(last)]
+        if held:
+            yield done(pa.Table.from_batches(held))
+
+    together = held.unionByName(asking).repartition(*key).sortWithinPartitions(*key)
+    return together.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILAR) -> DataFrame:
     """One row, all its columns, of each group of near copies: the one with the smallest id (a row without an id only where there
     is no other), of rows with one id the one with the smallest `text_key`, of wholly equal ids and texts any one.
 
-    Texts with equal fingerprints are one; others link if their similarity is `least` or more. Every row is judged by its own
+    Texts with one set of shingles are a class; classes link if their similarity is `least` or more, and no link is lost. First each
+    class is held against those near by fingerprint and, for each token of its prefix, against the token's smallest and largest class; then, where
+    a token's classes aren't all connected yet, against those of other components. Every row is judged by its own
     text, so rows that share an id and differ in their texts both stay. Null, empty and wordless texts are one group.
     """
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
+    often = docs.sparkSession.sparkContext.broadcast(frequent_shingles(source.select("text")))
 
     def scan(batches):
         for b in sliced(batches, 1):
-            both = np.array([set_fingerprints(t) for t in raw(b.column(1))], np.uint64).reshape(-1, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])], ["id", "key", "fp", "second"])
-
-    def judge(batches):
-        for b in sliced(batches, 2):
-            same = [similar(x, y) >= least for x, y in zip(raw(b.column(2)), raw(b.column(3)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
-
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("key"))
-    prints = spool(source.mapInArrow(scan, f"id {kind}, key bigint, fp bigint, second bigint"), "prints")
+            found = [shingle_set(t) for t in raw(b.column(1))]
+            mixed = [int((f ^ (f >> np.uint64(31))).sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + len(f) for f in found]
+            c = np.array([x % (1 << BITS) for x in mixed], np.uint64).view(np.int64)
+            fp = np.array([set_fingerprint(f) for f in found], np.uint64).view(np.int64)
+            first = [prefix(f, *often.value, least).view(np.int64) for f in found]
+            sizes, ends = np.array([len(f) for f in found]), np.array([len(f) for f in first])
+            columns = [b.column(0), b.column(2), pa.array(c), pa.array(sizes), pa.array(fp), list_column(np.concatenate([parities(f) for f in found]), np.full(len(found), PARITIES // 64), pa.int64()), list_column(np.concatenate(first), ends, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "c", "n", "fp", "bits", "prefix"])
+
+    prints = spool(source.select("id", "text", "key").mapInArrow(scan, f"id {kind}, key bigint, c bigint, n bigint, fp bigint, bits array<bigint>, prefix array<bigint>"), "prints")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
-    distinct = spool(prints.groupBy("fp").agg(F.min("second").alias("second"), F.min(place).alias("of")), "distinct")
-    pairs = spool(wide_links(distinct).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    # the texts of candidates: one row for each fingerprint
-    asked = spool(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(distinct, "fp").select("fp", F.col("of.id").alias("of_id"), F.col("of.key").alias("of_key")), "asked")
-    found = source.join(few(asked), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).select("fp", "text")
-    texts = spool(found.groupBy("fp").agg(F.min("text").alias("text")), "texts")
-    left, right = texts.select(F.col("fp").alias("a"), F.col("text").alias("x")), texts.select(F.col("fp").alias("b"), F.col("text").alias("y"))
-    linked = spool(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"), "links")
+    classes = spool(prints.groupBy("c").agg(F.min(place).alias("of"), *[F.any_value(x).alias(x) for x in ("n", "fp", "bits", "prefix")]), "classes")
+
+    # candidates: near fingerprints, and of each token's classes the smallest and the largest
+    prints_of = spool(classes.groupBy("fp").agg(F.min("c").alias("lead")), "fps")
+    lead = lambda x: prints_of.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}"))
+    by_bits = links(prints_of.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
+    equal = classes.join(prints_of, "fp").select(F.col("c").alias("x"), F.col("lead").alias("y"))
+    tokens = classes.select(F.explode("prefix").alias("token"), "c")
+    span = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
+    tokens = spool(tokens.join(span, "token"), "tokens")
+    leads = tokens.select("c", F.explode(F.array("lo", "hi")).alias("y")).select(F.col("c").alias("x"), "y")
+    pairs = by_bits.unionByName(equal).unionByName(leads).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = spool(pairs, "pairs")
+    linked = _judged(pairs, classes, source, least)
     stars = spool(connected_components(linked), "stars")
-    drop(pairs, asked, texts, linked)
-    named = distinct.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    # what is left: classes of one token in different components
+    roots = tokens.select("token", "c").join(stars.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("root", "c").alias("root"))
+    open_ = roots.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    rows = spool(roots.join(open_, "token").join(classes.select("c", "n", "bits"), "c").select("token", "c", "root", "n", "bits"), "open")
+    more = _judged(_across(rows, least).join(pairs, ["a", "b"], "left_anti"), classes, source, least)
+    if not more.isEmpty():
+        again = spool(connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "stars")
+        drop(stars)
+        stars = again
+    named = classes.select("c", "of").join(stars.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     first = spool(named.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("of_id"), F.col("of.key").alias("of_key")), "first")
-    drop(distinct, stars)
     one, key = unused(docs, "of_id"), unused(docs, "of_key")
     mine = F.col(id_col).eqNullSafe(F.col(one)) & (text_key(F.col(text_col)) == F.col(key))
     renamed = first.toDF(one, key)
     kept = docs.join(renamed, mine, "left_semi")
     again = prints.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key").toDF(one, key)
     again = spool(again.join(renamed.withColumnRenamed(one, "_i").withColumnRenamed(key, "_k"), F.col(one).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k")), "left_semi"), "again")
+    drop(prints, classes, prints_of, tokens, pairs, linked, stars, rows, more)
     if again.isEmpty():
         return kept
     several = kept.join(again, mine, "left_semi").groupBy(F.col(id_col).alias(one), text_key(F.col(text_col)).alias(key)).agg(F.any_value(F.struct(*columns(docs))).alias("row")).select("row.*")

@@ -164,9 +164,24 @@ def near_copies(seed, n=150):
     return [*out, "", None, " ", "One two", "one two"]
 
 
+def borderline(seed, n=60):
+    """Chains of copies whose neighbours are just about similar enough, within texts made mostly of a common passage."""
+    rng = random.Random(seed)
+    say = lambda k: [f"v{rng.randint(0, 900)}" for _ in range(k)]
+    passage, out = say(80), []
+    for _ in range(n):
+        text = passage + say(rng.choice([10, 20, 25]))
+        for _ in range(rng.randint(1, 5)):
+            out.append(" ".join(text))
+            text = list(text)
+            for _ in range(rng.randint(1, 3)):
+                text[rng.randrange(len(text))] = say(1)[0]
+    return out
+
+
 def test_distinct_texts(spark):
-    """Against the similarity of all pairs: what goes is linked to what stays, and nearly every link is found."""
-    texts = near_copies(1)
+    """Against the similarity of all pairs: every link is found, and of each group one stays."""
+    texts = near_copies(1) + borderline(2)
     df = spark.createDataFrame([(k % 700, t, {"k": k}, "x") for k, t in enumerate(texts)], "doc_id long, text string, fp map<string,int>, of_id string")
     kept = {r.fp["k"] for r in simhash.distinct_texts(df).collect()}
     data, root = [(t or "").encode() for t in texts], list(range(len(texts)))
@@ -185,7 +200,36 @@ def test_distinct_texts(spark):
                     root[find(a)] = find(b)
     groups = {find(k) for k in range(len(texts))}
     assert {find(k) for k in kept} == groups  # no group is lost: clean texts stay
-    assert pairs > 200 and len(kept) - len(groups) <= 0.05 * (len(texts) - len(groups))
+    assert pairs > 200 and len(kept) == len(groups)
+
+
+@pytest.mark.parametrize("frequent", [2, 10**9])
+def test_distinct_texts_in_chunks(spark, monkeypatch, frequent):
+    """As above where groups of a token are dealt out in small chunks, whichever shingles count as frequent."""
+    monkeypatch.setattr(simhash, "CHUNK", 8)
+    monkeypatch.setattr(simhash._across, "__defaults__", (8,))
+    monkeypatch.setattr(simhash.frequent_shingles, "__defaults__", (frequent, 40))
+    texts = borderline(4, 25)
+    sets = [simhash.shingles(t.encode()) for t in texts]
+    left, right = zip(*[(a, b) for a in range(len(texts)) for b in range(a) if simhash.similar(texts[a].encode(), texts[b].encode()) >= 0.8])
+    root = simhash.forest(np.arange(len(texts)), np.array(left), np.array(right))
+    got = {r.doc_id for r in simhash.distinct_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == set(root.tolist()) and len(sets) > len(got) > 10
+
+
+def test_prefixes_of_similar_sets_meet():
+    """Whatever is frequent, sets of the similarity share a hash of their prefixes; parities bound how many hashes differ."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(1, 120))
+        x = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.1], rng.integers(0, 2**63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64)]))
+        often = np.unique(rng.choice(x, len(x) // 2)) if len(x) > 1 else x[:0]
+        level = rng.integers(6, 9, len(often))
+        same = len(np.intersect1d(x, y))
+        if same >= 0.8 * (len(x) + len(y) - same):
+            assert len(np.intersect1d(simhash.prefix(x, often, level), simhash.prefix(y, often, level)))
+        assert np.bitwise_count((simhash.parities(x) ^ simhash.parities(y)).view(np.uint64)).sum() <= len(x) + len(y) - 2 * same
 
 
 def test_repeated_lines_link_nothing(spark):
@@ -196,7 +240,8 @@ def test_repeated_lines_link_nothing(spark):
     near = [texts[0] + " more", texts[40] + " more"]
     got = {r.doc_id for r in simhash.distinct_texts(spark.createDataFrame(list(enumerate(texts + near)), "doc_id long, text string")).collect()}
     assert got == set(range(80))
-    assert simhash.set_fingerprints(b"a b c d e") == simhash.set_fingerprints(b"A b  c d e") and simhash.set_fingerprints(b" ") == (0, 0)
+    same = [simhash.set_fingerprint(simhash.shingle_set(t)) for t in (b"a b c d e", b"A b  c d e", b" ")]
+    assert same[0] == same[1] and same[2] == 0
 
 
 def test_distinct_rows(spark, hard, empty):
