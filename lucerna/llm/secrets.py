@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import map_rows, raw, short_batches, sliced
 
 LANE = 1024
+#: How often wrong lanes are corrected together, and below how many they aren't; bytes of a pass, whose last state the next one takes over.
+TOGETHER, FEW_LANES, PASS = 4, 32, 1 << 21
 EDGE = 0xFF  # between texts; never part of UTF-8, and in no rule
 
 
@@ -306,23 +308,28 @@ def compiled(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules, automaton([shortest(t) for t in trees]), [Walk.of(reverse(shortest(t))) for t in trees], [Walk.of(t) for t in trees])
 
 
-def states(dfa: Dfa, data: np.ndarray, lane: int = LANE) -> np.ndarray:
-    """The state after each byte, as one pass from the start would have it."""
+def states(dfa: Dfa, data: np.ndarray, lane: int = LANE, begin: int = 0) -> np.ndarray:
+    """The state after each byte, as one pass from the state `begin` would have it.
+
+    Lanes are corrected together for as long as many are wrong, `TOGETHER` times at most; what is wrong then is walked byte by byte,
+    from each lane's true state until it agrees, so that no byte is walked twice, however far a state carries.
+    """
     n = -(-len(data) // lane)
     rows = np.full(n * lane, EDGE, np.uint8)
     rows[: len(data)] = data
     rows = np.ascontiguousarray(rows.reshape(n, lane).T).astype(np.int32)
     seen = np.empty((lane, n), np.int32)
     now = np.zeros(n, np.int32)
+    now[:1] = begin
+    start = now.copy()
     for i in range(lane):
         now = dfa.step[now + rows[i]]
         seen[i] = now
-    wrong, start = np.arange(1, n), np.zeros(n, np.int32)
-    while len(wrong):
-        true = seen[-1, wrong - 1]
-        wrong, true = wrong[true != start[wrong]], true[true != start[wrong]]
-        start[wrong] = true
-        todo, now = wrong, true
+    for _ in range(TOGETHER):
+        todo = np.flatnonzero(seen[-1, :-1] != start[1:]) + 1
+        if len(todo) < FEW_LANES:
+            break
+        now = start[todo] = seen[-1, todo - 1]
         for i in range(lane):
             if not len(todo):
                 break
@@ -330,7 +337,24 @@ def states(dfa: Dfa, data: np.ndarray, lane: int = LANE) -> np.ndarray:
             off = now != seen[i, todo]
             todo, now = todo[off], now[off]
             seen[i, todo] = now
-        wrong = todo[todo + 1 < n] + 1  # those that never agreed end in another state
+    wrong = np.flatnonzero(seen[-1, :-1] != start[1:]) + 1
+    step = dfa.step.tolist() if len(wrong) else []
+    k = int(wrong[0]) if len(wrong) else n
+    while k < n:
+        state = int(seen[-1, k - 1])
+        if state == start[k]:
+            later = np.flatnonzero(seen[-1, k:-1] != start[k + 1 :])  # the next lane that begins in another state than the one before ends in
+            k = k + 1 + int(later[0]) if len(later) else n
+            continue
+        start[k] = state
+        walked = []
+        for byte, known in zip(rows[:, k].tolist(), seen[:, k].tolist()):
+            state = step[state + byte]
+            if state == known:
+                break
+            walked.append(state)
+        seen[: len(walked), k] = walked
+        k += 1
     return seen.T.ravel()[: len(data)]
 
 
@@ -383,8 +407,15 @@ def spans(scanner: Scanner, text: bytes, marks: np.ndarray, bits: np.ndarray) ->
 def found_in(scanner: Scanner, texts: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
     """The spans of the texts that have any, in one pass over all of them."""
     data = np.frombuffer(bytes([EDGE]).join(texts) + bytes([EDGE]), np.uint8)
-    hits = scanner.marks.accept[states(scanner.marks, data) >> 8]
-    at = np.flatnonzero(hits)
+    places, rules, state = [], [], 0
+    for first in range(0, len(data), PASS):
+        now = states(scanner.marks, data[first : first + PASS], begin=state)
+        state = int(now[-1])
+        accepted = scanner.marks.accept[now >> 8]
+        here = np.flatnonzero(accepted)
+        places.append(here + first)
+        rules.append(accepted[here])
+    at, bits = np.concatenate(places), np.concatenate(rules)
     sizes = np.array([len(t) + 1 for t in texts])
     ends = np.cumsum(sizes)
     which = np.searchsorted(ends, at, "right")
@@ -392,7 +423,7 @@ def found_in(scanner: Scanner, texts: list[bytes]) -> dict[int, list[tuple[int,
     out = {}
     for lo, hi in zip(edges[:-1], edges[1:]):
         k = int(which[lo])
-        if found := spans(scanner, texts[k], at[lo:hi] - (ends[k] - sizes[k]), hits[at[lo:hi]]):
+        if found := spans(scanner, texts[k], at[lo:hi] - (ends[k] - sizes[k]), bits[lo:hi]):
             out[k] = found
     return out
 

@@ -83,6 +83,39 @@ def test_hostile_texts_take_linear_time():
         assert time.time() - began < 5, text[:30]
 
 
+def test_states_that_carry_far_take_a_second_a_megabyte():
+    import time
+
+    scanner = secrets.compiled(secrets.RULES)
+    for text in ("token" + " " * 1_000_000, "xoxa-" + "1" * 1_000_000, "-----BEGIN " + "A" * 1_000_000, "eyJ" + "a" * 1_000_000, ("x" * 1020 + "token" + " " * 3000) * 250):
+        began = time.thread_time()
+        secrets.found_in(scanner, [text.encode()])
+        assert time.thread_time() - began < 1.5, text[:30]
+
+
+@pytest.mark.parametrize("size", [7, 100, 1000])
+def test_passes_join(monkeypatch, size):
+    """Spans don't depend on where a pass ends."""
+    scanner, every = secrets.compiled(secrets.RULES), [t.encode() for t in texts(5, 12)]
+    want = secrets.found_in(scanner, every)
+    monkeypatch.setattr(secrets, "PASS", size)
+    assert secrets.found_in(scanner, every) == want and want
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_lanes_that_stay_wrong(monkeypatch, few):
+    """Lanes corrected together only, and byte by byte only."""
+    monkeypatch.setattr(secrets, "FEW_LANES", few)
+    dfa = secrets.compiled(secrets.RULES).marks
+    for text in (b"token" + b" " * 5000 + b"=abc", b"ab" * 300 + b"xoxb-" + b"1" * 3000, b"-----BEGIN " + b"A" * 700 + b"x" * 900):
+        data = np.frombuffer(text, np.uint8)
+        now, want = 0, []
+        for b in data:
+            now = dfa.step[now + b]
+            want.append(now)
+        assert (secrets.states(dfa, data, 64) == np.array(want)).all()
+
+
 @pytest.mark.parametrize("lane", [1, 3, 64, 5000])
 def test_lanes_are_one_pass(lane):
     dfa = secrets.compiled(secrets.RULES).marks
