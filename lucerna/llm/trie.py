@@ -224,11 +224,10 @@ def cartesian(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         offsets.append((r.block, *sums))
         sums = [a + r[c] for a, c in zip(sums, names)]
     spark = classes.sparkSession
-    offset = spark.createDataFrame(offsets, "block int, " + ", ".join(f"off_{c} long" for c in names)) if offsets else None
-    own = found.where("kind = 'class'")
-    if offset is None:
-        return own, found.where("kind = 'node'")
-    own = own.join(F.broadcast(offset), "block").withColumns({c: F.col(c) + F.col(f"off_{c}") for c in names}).drop(*offset.columns[1:])
+    if not offsets:
+        return tuple(spark.createDataFrame([], ", ".join(f"`{c}` long" for c in columns.split())) for columns in ("conv_id at value after len n total around", "left value conv_id len above low places least n leaves saved"))
+    offset = spark.createDataFrame(offsets, "block int, " + ", ".join(f"off_{c} long" for c in names))
+    own = found.where("kind = 'class'").join(F.broadcast(offset), "block").withColumns({c: F.col(c) + F.col(f"off_{c}") for c in names}).drop(*offset.columns[1:])
 
     # open ends: the block that has them, then that block's running minimum
     @F.pandas_udf("int")
