@@ -1,13 +1,14 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Vectors are compared only where labels (and lengths) are equal. Copies are one class from then on. A label of at most `LEAF`
-classes is one cell, so all its pairs are compared. In a larger one each of `TREES` trees splits at random directions again and
-again: a node's threshold is the median of its sampled vectors' projections, and vectors within a margin of it go to both sides
-(spill). The margin follows the similarity and the number of components: it covers what a linked pair lies apart along a random
-direction in all but about one in five cases, and trees miss a pair independently of each other. Thresholds are fitted on at most
-about `SAMPLE` classes a round; leaves that stay larger than `LEAF` are split again in up to `ROUNDS` rounds, each with a sample
-of its own, and every class is placed. A node whose margin would hold half of it (a tight group, which no direction cuts) stays whole. Leaves that are too large
-after all that are dealt out as pairs of chunks, so all their pairs are compared and no task holds more than two chunks.
+classes is one cell, so all its pairs are compared. In a larger one trees split at random directions again and again: a node's threshold
+is the median of its sampled vectors' projections, and vectors within a margin of it go to both sides (spill). The margin is
+`DEVIATIONS` standard deviations of how far a pair that just links lies apart along a random direction, so a split parts such a pair
+once in some twenty times, and a label gets as many trees as its depth needs to miss one pair in `MISSED` by that reckoning.
+Thresholds are fitted on at most about `SAMPLE` classes a round; leaves that stay larger than `LEAF` are split again in up to
+`ROUNDS` rounds, each with a sample of its own, and every class is placed. A node whose margin would hold half of it (a tight group, which no
+direction cuts) stays whole. Leaves that are too large after all that are dealt out as pairs of chunks, so all their pairs are
+compared and no task holds more than two chunks.
 
 Inside a leaf all pairs are verified by cosine in double precision. A pair that meets in several leaves counts in the first of them
 (each class carries the list of its leaves), so links are counted without writing a pair; what is written is a count for each class
@@ -22,21 +23,23 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import pairwise
-from math import ceil, sqrt
+from math import ceil, erfc, exp, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, drop, few, short_batches, spool
+from .common import connected_components, drop, few, list_column, short_batches, spool
 from .simhash import nearest_forest
 
 COSINE = 0.93
-#: Trees; classes of a cell that isn't split; classes that a round fits on; rounds; sampled classes that a split takes at least.
-TREES, LEAF, SAMPLE, ROUNDS, FEWEST = 6, 1024, 30_000, 4, 16
+#: Classes of a cell that isn't split; classes that a round fits on; rounds; sampled classes that a split takes at least.
+LEAF, SAMPLE, ROUNDS, FEWEST = 1024, 30_000, 4, 16
 #: The margin in standard deviations of a just linked pair's difference along a direction; the share of a node in it at most.
-DEVIATIONS, MOST = 1.3, 0.5
+DEVIATIONS, MOST = 0.8, 0.5
+#: Of so many just linked pairs all trees may miss one; trees at least and at most.
+MISSED, TREES = 500, (3, 16)
 SEED = 13
 #: Pairs whose lists of leaves are compared at once.
 PAIRS_AT_ONCE = 1 << 15
@@ -57,11 +60,20 @@ def directions(tree: int, depth: int, dim: int) -> np.ndarray:
     return np.array([r / np.sqrt(r @ r) for r in rows]).reshape(depth, dim).T
 
 
+def trees_for(count: int, leaf: int = LEAF) -> int:
+    """How many trees a label of `count` classes gets. Along a direction a pair lies apart as a normal variable, and vectors have a
+    density of at most 0.4 a standard deviation of theirs, which is about that of a pair at right angles (sqrt 2 from each other)."""
+    spread = sqrt((2 - 2 * COSINE) / 2) * sqrt(2)  # of a pair, in standard deviations of the vectors
+    beyond = exp(-(DEVIATIONS**2) / 2) / sqrt(2 * pi) - DEVIATIONS * erfc(DEVIATIONS / sqrt(2)) / 2
+    kept = (1 - min(0.5, 0.4 * spread * 2 * beyond)) ** max(1, ceil(log2(max(2, 1.2 * count / leaf))))
+    return min(TREES[1], max(TREES[0], ceil(log(MISSED) / -log(1 - kept)))) if kept < 1 else TREES[0]
+
+
 class Forest:
     """Nodes as arrays: a split has its children at `left` and `left` + 1 and takes projections to `high` to the left and from
     `low` on to the right; a leaf has no children. roots: a node for each tree of a label and length."""
 
-    def __init__(self, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF):
+    def __init__(self, cosine: float = COSINE, trees: int | None = None, leaf: int = LEAF):
         self.roots: dict[tuple[str, int], list[int]] = {}
         self.low, self.high, self.left, self.tree, self.level = [], [], [], [], []
         self.cosine, self.trees, self.leaf = cosine, trees, leaf
@@ -73,7 +85,7 @@ class Forest:
 
     def plant(self, label: str, dim: int, x: np.ndarray, count: int) -> None:
         """Trees for a cell that has none, from sampled rows of it."""
-        self.roots[label, dim] = [self.node(t, 0) for t in range(self.trees)]
+        self.roots[label, dim] = [self.node(t, 0) for t in range(self.trees or trees_for(count, self.leaf))]
         for node in self.roots[label, dim]:
             self.grow(node, x, count)
 
@@ -145,30 +157,44 @@ def placed(classes: DataFrame, forest: dict, kind: str) -> DataFrame:
         for b in batches:
             for label, dim, places in cells(b):
                 row, leaf = leaves(shared.value, label, dim, vectors_at(b.column(4), places, dim, kind))
-                ends = np.searchsorted(row, np.arange(len(places) + 1))
-                own = np.repeat(np.arange(len(places)), np.diff(ends))
-                sizes = np.diff(ends)[own]  # a class with k leaves has k rows, each with all k
-                flat = np.concatenate([leaf[ends[k] : ends[k + 1]] for k in own]) if len(own) else leaf
+                starts = np.searchsorted(row, np.arange(len(places)))
+                sizes = np.bincount(row, minlength=len(places))[row]  # a class with k leaves has k rows, each with all k
+                inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 whole = b.take(pa.array(places[row]))
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat.astype(np.int32)))
+                lists = list_column(leaf[np.repeat(starts[row], sizes) + inside].astype(np.int32), sizes, pa.int32())
                 yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), pa.array(leaf.astype(np.int32)), whole.column(2), whole.column(3), whole.column(4), lists], ["label", "dim", "leaf", "node", "size", "vec", "leaves"])
 
     return classes.select("label", "dim", "node", "size", "vec").mapInArrow(run, "label string, dim int, leaf int, node bigint, size bigint, vec binary, leaves array<int>")
 
 
-def fit(classes: DataFrame, kind: str, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict:
-    """The forest for classes (label, dim, node, size, vec)."""
+def leaf_sizes(classes: DataFrame, forest: dict, kind: str) -> DataFrame:
+    """(label, dim, leaf, n): how many classes each leaf has, summed inside tasks first."""
+    if not forest["roots"]:
+        return classes.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.lit(WHOLE).alias("leaf"), "n")
+    shared = classes.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for b in batches:
+            for label, dim, places in cells(b):
+                leaf, n = np.unique(leaves(shared.value, label, dim, vectors_at(b.column(4), places, dim, kind))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(n)), pa.array([dim] * len(n), pa.int32()), pa.array(leaf.astype(np.int32)), pa.array(n)], ["label", "dim", "leaf", "n"])
+
+    counted = classes.select("label", "dim", "node", "size", "vec").mapInArrow(run, "label string, dim int, leaf int, n bigint")
+    return counted.groupBy("label", "dim", "leaf").agg(F.sum("n").alias("n"))
+
+
+def fit(classes: DataFrame, kind: str, cosine: float = COSINE, trees: int | None = None, leaf: int = LEAF, sample: int = SAMPLE, rounds: int = ROUNDS) -> tuple[dict, DataFrame]:
+    """The forest for classes (label, dim, node, size, vec), and the leaves (label, dim, leaf, n) that are still too large."""
     forest = Forest(cosine, trees, leaf)
     held = -1
-    for k in range(rounds):
-        at = placed(classes, forest.frozen(), kind)
-        large = spool(at.groupBy("label", "dim", "leaf").agg(F.count("*").alias("n")).where(F.col("n") > leaf), "large")
+    for k in range(rounds + 1):
+        large = spool(leaf_sizes(classes, forest.frozen(), kind).where(F.col("n") > leaf), "large")
         total = large.agg(F.sum("n")).first()[0]
-        if not total or total == held:  # nothing is too large, or the last round split nothing
-            drop(large)
+        if not total or total == held or k == rounds:  # nothing is too large, or the last round split nothing
             break
         held = total
         share = min(1.0, sample / total)
+        at = placed(classes, forest.frozen(), kind) if k else classes.withColumn("leaf", F.lit(WHOLE))
         chosen = F.pmod(F.xxhash64("node", "leaf", F.lit(k)), F.lit(1 << 20)) < F.lit(ceil(share * (1 << 20)))
         rows = at.where(chosen).join(few(large), ["label", "dim", "leaf"]).select("label", "dim", "leaf", "n", "node", "vec").toPandas()
         drop(large)
@@ -179,7 +205,7 @@ def fit(classes: DataFrame, kind: str, cosine: float = COSINE, trees: int = TREE
                 forest.plant(label, dim, x, int(part.n.iloc[0]))
             else:
                 forest.grow(int(node), x, int(part.n.iloc[0]))
-    return forest.frozen()
+    return forest.frozen(), large
 
 
 def first_met(mine: np.ndarray, theirs: np.ndarray, leaf: int) -> np.ndarray:
@@ -213,10 +239,10 @@ def leaf_links(x: np.ndarray, size: np.ndarray, side: np.ndarray, two: bool, lis
     return counts, a[chosen], b[chosen]
 
 
-def links(at: DataFrame, kind: str, cosine: float = COSINE, chunk: int = LEAF) -> DataFrame:
-    """(a, b, n) from placed classes: forest edges a - b, and with null b the vectors n that a links with."""
+def links(at: DataFrame, large: DataFrame, kind: str, cosine: float = COSINE, chunk: int = LEAF) -> DataFrame:
+    """(a, b, n) from placed classes: forest edges a - b, and with null b the vectors n that a links with. large: the sizes n of the
+    leaves of more than `chunk` classes."""
     cell = ["label", "dim", "leaf"]
-    large = spool(at.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > chunk), "large")
     m = F.coalesce(F.ceil(F.col("n") / (chunk // 2)), F.lit(1)).cast("int")
     dealt = at.join(few(large), cell, "left").withColumn("m", m).withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
     ways = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.least("s", j).alias("i"), F.greatest("s", j).alias("j"), (F.col("s") > j).cast("int").alias("side")))
@@ -228,10 +254,10 @@ def links(at: DataFrame, kind: str, cosine: float = COSINE, chunk: int = LEAF) -
         dim, leaf = table["dim"][0].as_py(), table["leaf"][0].as_py()
         x = unit(np.frombuffer(b"".join(table["vec"].to_pylist()), kind), dim)
         node, size, side = (table[c].to_numpy() for c in ("node", "size", "side"))
-        every = table["leaves"].to_pylist()
-        lists = np.full((len(x), max(map(len, every))), WHOLE)
-        for k, some in enumerate(every):
-            lists[k, : len(some)] = some
+        every = table["leaves"].combine_chunks()
+        sizes = every.value_lengths().to_numpy()
+        lists = np.full((len(x), int(sizes.max())), WHOLE, np.int32)
+        lists[np.arange(lists.shape[1]) < sizes[:, None]] = every.flatten().to_numpy()
         counts, a, b = leaf_links(x, size, side, table["i"][0].as_py() != table["j"][0].as_py(), lists, leaf, cosine)
         some = np.flatnonzero(counts)
         out = [pa.array(np.concatenate([node[a], node[some]])), pa.concat_arrays([pa.array(node[b]), pa.nulls(len(some), pa.int64())]), pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(counts[some])])]
@@ -255,7 +281,7 @@ def links(at: DataFrame, kind: str, cosine: float = COSINE, chunk: int = LEAF) -
     return rows.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
+def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, trees: int | None = None, leaf: int = LEAF, sample: int = SAMPLE, rounds: int = ROUNDS) -> DataFrame:
     """(id, n_links, component_id, kept) for every row."""
     short_batches(df.sparkSession)
     vector = F.col(vector_col)
@@ -278,8 +304,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     vectors = keyed.where("takes").select("k1", "k2", "label", "v").mapInArrow(packed, "k1 bigint, k2 bigint, label string, dim int, vec binary")
     classes = vectors.groupBy("k1", "k2").agg(F.count("*").alias("size"), F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("vec").alias("vec"))
     classes = spool(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    forest = fit(classes, kind, cosine, trees, leaf, sample, rounds)
-    found = spool(links(placed(classes, forest, kind), kind, cosine, leaf), "links")
+    forest, large = fit(classes, kind, cosine, trees, leaf, sample, rounds)
+    found = spool(links(placed(classes, forest, kind), large, kind, cosine, leaf), "links")
     stars = spool(connected_components(found.where("b is not null").select("a", "b")), "stars")
     counted = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     names = classes.select("k1", "k2", "node", "size").join(stars, "node", "left").join(counted, "node", "left")
@@ -287,7 +313,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     least = ids.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"))
     roots = names.join(least, ["k1", "k2"]).groupBy("root").agg(F.min("least").alias("component_id"))
     named = spool(names.join(roots, "root").select("k1", "k2", "n_links", "component_id"), "named")
-    drop(classes, found, stars, names)
+    drop(classes, large, found, stars, names)
     out = ids.join(named, ["k1", "k2"], "left")
     alone = F.col("k1").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("component_id"))
