@@ -79,10 +79,25 @@ class Page(NamedTuple):
     tells: list[tuple[tuple[str, float], ...]]
 
 
+#: Words of class names in the labelled pages: of what is outside an article, of what is as often part of one, and of its own.
+OUTSIDE = {
+    "nav": "nav navbar navigation menu breadcrumb topbar masthead pagination pager skip", "side": "sidebar widget complementary rail", "ad": "ad ads advert advertisement advertising adsense sponsor sponsored promo promoted",
+    "note": "cookie consent gdpr popup modal overlay alert", "foot": "footer foot copyright contentinfo colophon disclaimer", "comment": "comment comments commentlist disqus respond replies", "form": "newsletter subscribe signup login",
+    "more": "related recommended recommendations sharing",
+}
+EITHER = "notice banner share social follow reply search toolbar discussion side header head effect history box area top list section bar".split()
+OWN = "article post entry content story body text title section chapter abstract intro conclusion".split()
+
+
+#: Words that only say where or what kind of box something is, and OWN ones that stand beside OUTSIDE ones in names of what is outside.
+LAYOUT = frozenset("area banner bar block bottom box container first head header inner item last left link list main outer page primary right secondary section site slot top unit wrap wrapper article content entry post story".split())
+KNOWN = LAYOUT | frozenset(EITHER) - {"history", "effect"} | frozenset(w[:-1] if len(w) > 3 and w.endswith("s") else w for x in OUTSIDE.values() for w in x.split())
+
+
 @lru_cache(4096)
 def told(element: str, attributes: str, in_content: bool) -> tuple[tuple[str, float], ...] | None:
     """What a tag tells of the words in it: its name if it is in AROUND, and each word of its class, id and role, by the share
-    that the word has of its class name. None if the element is never seen.
+    that the word has of its class name; a name of several words tells nothing if one of them is unknown. None if the element is never seen.
     in_content: inside an article or main, where ids of headings, paragraphs, sections and elements within a line are anchors."""
     anchor = in_content and (element in ANCHORS or element not in BLOCK)
     found: dict[str, float] = {f"in:{'own-' * (element == 'header' and in_content)}{element}": 1.0} if element in AROUND else {}
@@ -98,8 +113,10 @@ def told(element: str, attributes: str, in_content: bool) -> tuple[tuple[str, fl
             for one in value.split():
                 one = SIDE_BY_SIDE.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", one).lower())
                 words = list(takewhile(lambda w: w not in HAVING, re.findall(r"[a-z]+", one)))
+                words = [w[:-1] if len(w) > 3 and w.endswith("s") else w for w in words]
+                if len(words) > 1 and not KNOWN.issuperset(words):  # of which only a part is known
+                    continue
                 for w in words:
-                    w = w[:-1] if len(w) > 3 and w.endswith("s") else w
                     found[f"c:{w}"] = max(found.get(f"c:{w}", 0.0), 1 / len(words))
     return tuple(found.items())
 
@@ -245,16 +262,6 @@ def blocks(page: Page) -> list[Block]:
 
 # ---- weights from labelled pages ----
 
-#: Words of class names in the labelled pages: of what is outside an article, of what is as often part of one, and of its own.
-OUTSIDE = {
-    "nav": "nav navbar navigation menu breadcrumb topbar masthead pagination pager skip", "side": "sidebar widget complementary rail", "ad": "ad ads advert advertisement advertising adsense sponsor sponsored promo promoted",
-    "note": "cookie consent gdpr popup modal overlay alert", "foot": "footer foot copyright contentinfo legal disclaimer", "comment": "comment comments commentlist disqus respond replies", "form": "newsletter subscribe signup login",
-    "more": "related recommended recommendations sharing",
-}
-EITHER = "notice banner share social follow reply search toolbar discussion side header head effect history box area top list section bar".split()
-OWN = "article post entry content story body text title section chapter abstract intro conclusion".split()
-
-
 def labelled_pages(count: int = 360, seed: int = 11) -> list[str]:
     """Pages made by rule, with the article's parts between <x-edge> tags: menus, slogans, notices, adverts, sidebars, footers and
     comments, with classes or without, around and inside an article under several elements, or straight in the body."""
@@ -406,7 +413,10 @@ def extract(page: str | None, weights: Weights | None = None) -> str:
     for b, x in zip(found, each):
         for i in range(b.first, b.last + 1):  # tags within a block's line tell nothing
             scores[i] = 0.0
-        scores[b.first] = b.n * (x if x > 0 else AGAINST * x)
+        if x > 0:
+            scores[b.first] = b.n * x
+        elif "in:article" not in b.around and "in:main" not in b.around and not against(b, PAGE_PARTS):
+            scores[b.first] = AGAINST * b.n * x
     lo, hi = best_region(scores)
     part = [(b, x) for b, x in zip(found, each) if lo <= b.first < hi]
     # the smallest element around the region: elements are numbered as they open

@@ -142,6 +142,26 @@ def test_article_keeps_its_parts(part, wrap):
     assert got == "first some words of the story here\nthen a few more of them\nso x=1 holds"
 
 
+@pytest.mark.parametrize("name", ["related-work", "menu-card", "cookie-recipe", "comment-on-method", "ad-hoc-analysis", "promo-history", "foot-note", "legal", "newsletter-history", "widget-test", "breadcrumb-recipe", "sponsored-research", "modal-verbs", "sidebarTheorem", "ads_of_the_1920s"])
+@pytest.mark.parametrize("wrap", ["article", "main", "div id='content'"])
+def test_names_of_the_subject(name, wrap):
+    """A class that only begins like one of what is outside leaves nothing out."""
+    got = html.extract(f"<html><body><nav>{MENU}</nav><{wrap}>{TEXT}<div class='{name}'><p>a sentence of the story with some words in it.</p></div></{wrap.split()[0]}><footer>end</footer></body></html>")
+    assert got == "first some words of the story here\nthen a few more of them\na sentence of the story with some words in it."
+
+
+@pytest.mark.parametrize("n", [20, 60, 120, 200, 400, 4000])
+@pytest.mark.parametrize("blocks", [1, 10])
+@pytest.mark.parametrize("between", [False, True])
+def test_adverts_of_any_length(n, blocks, between):
+    """What follows an advert in an article, or in another article after it, stays."""
+    say = lambda k: " ".join(["word"] * k)
+    advert = "<div class='ad-slot'>" + f"<p>{say(n // blocks)}</p>" * blocks + "</div>"
+    join = f"</article>{advert}<article>" if between else advert
+    got = html.extract(f"<html><body><nav>{MENU}</nav><article><p>{say(60)}.</p>{join}<p>{say(30)} end.</p></article><footer>end</footer></body></html>")
+    assert got == f"{say(60)}.\n{say(30)} end."
+
+
 def test_pages_without_an_article():
     for page in (f"<nav>{MENU}</nav><div class='ad'><p>buy it now</p></div>", "<div class='ad'><p>buy it now</p></div><article></article><footer>end</footer>", "<article></article><div class='comments'><article>me too</article></div>"):
         assert html.extract(page) == ""
