@@ -5,10 +5,15 @@ from __future__ import annotations
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .json_arrays import read_array, write_array
+from .stores import exists, work_folder
+
+__all__ = ["append_lines", "checksums", "count_lines", "exists", "mismatches", "read_lines", "read_papers", "read_questions", "stage_archive", "valid_lines", "work_folder", "write_array", "write_table"]
+
 CHOICES = T.StructType([T.StructField("text", T.ArrayType(T.StringType())), T.StructField("label", T.ArrayType(T.StringType()))])
 QUESTION = T.StructType([
     T.StructField("question", T.StringType()), T.StructField("answer", T.StringType()), T.StructField("type", T.StringType()), T.StructField("domain", T.StringType()),
@@ -19,42 +24,13 @@ ANSWER = "struct<unanswerable:boolean,extractive_spans:array<string>,free_form_a
 PAPERS = f"map<string,struct<title:string,qas:array<struct<question:string,question_id:string,answers:array<struct<answer:{ANSWER}>>>>>>"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that spark.checkpoint.dir names, which executors share; it goes when the driver's JVM ends.
-    A folder of this machine serves only where the session names none and runs in one process; else ValueError."""
-    import tempfile
-    import uuid
-
-    sc = spark.sparkContext
-    top = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = tempfile.mkdtemp(prefix="lucerna-")
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return path
-
-
-def numbered(df: DataFrame, split: str, order: list[str]) -> DataFrame:
-    """question_id from the position in the given order. Positions run through the whole file, so this is done once,
-    when questions are taken in, and the id kept."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("question_id", F.format_string(f"ske-{split}-%05d", place))
-
-
 def read_questions(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """A JSON array of questions with ids by position; the split is the file's stem with '-' for '_'."""
+    """A JSON array of questions with ids by their place in the file; the split is the file's stem with '-' for '_'."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    rows = spark.read.schema(QUESTION).json(path, multiLine=True).withColumn("_at", F.monotonically_increasing_id())  # one file: one task, in file order
-    return numbered(rows, split or PurePosixPath(path).stem.replace("_", "-"), ["_at"]).drop("_at")
+    name = (split or PurePosixPath(path).stem.replace("_", "-")).replace("%", "%%")
+    rows = read_array(spark, path, QUESTION)
+    return rows.withColumn("question_id", F.format_string(f"ske-{name}-%05d", "_at")).drop("_file", "_at")
 
 
 def read_papers(spark: SparkSession, folder: str, glob: str = "*.json") -> DataFrame:
@@ -81,31 +57,13 @@ def stage_archive(archive: str, folder: str, word: str) -> list[str]:
     return sorted(names)
 
 
-def write_array(df: DataFrame, path: str) -> None:
-    """One JSON array, indented; an export for small results, made by the driver from rows as they come, in any store that Spark
-    writes to."""
-    import json
-
-    sc = df.sparkSession.sparkContext
-    target = sc._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(sc._jsc.hadoopConfiguration()).create(target, True)
-    held = ["["]
-    for k, row in enumerate(df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).toLocalIterator()):
-        held.append(("," if k else "") + "\n" + json.dumps(json.loads(row.j), ensure_ascii=False, indent=2))
-        if len(held) == 1000:
-            out.write(bytearray("".join(held).encode()))
-            held = []
-    out.write(bytearray(("".join(held) + "\n]\n").encode()))
-    out.close()
-
-
 def write_table(df: DataFrame, path: str) -> None:
     """Parquet, replacing what is there."""
     df.write.mode("overwrite").parquet(path)
 
 
 def append_lines(df: DataFrame, path: str, by: tuple[str, ...] = ("model", "strategy")) -> None:
-    """JSON lines in folders by cell; nulls are kept."""
+    """JSON lines in folders by cell, without a log; nulls are kept."""
     df.write.mode("append").option("ignoreNullFields", "false").partitionBy(*by).json(path)
 
 
