@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vocabulary as V
+from .likeness import likeness
 from .text import S, blank_to_null, extract, strip
 
 
@@ -44,16 +45,11 @@ def sole_letter(text: Column, labels: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def closest_choice(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """The label of the choice whose text is most like the answer, if enough so; null answers are passed by."""
-    from difflib import SequenceMatcher
 
     def one(answer, texts, labels):
         if answer is None or texts is None:
             return None
-        found = []
-        for k, (text, _) in enumerate(zip(texts, labels)):
-            m = SequenceMatcher(None, answer.lower(), (text or "").lower())
-            if m.real_quick_ratio() >= V.FUZZY_SHARE and m.quick_ratio() >= V.FUZZY_SHARE:  # bounds from above
-                found.append((m.ratio(), -k))
+        found = [(likeness(answer.lower(), (t or "").lower(), V.FUZZY_SHARE), -k) for k, (t, _) in enumerate(zip(texts, labels))]
         best, k = max(found, default=(0.0, 0))
         return labels[-k].upper() if best >= V.FUZZY_SHARE else None
 

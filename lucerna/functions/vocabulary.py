@@ -26,4 +26,4 @@ CHINESE_ANSWER, CHINESE_REASON, CHINESE_CONFIDENCE = ["答案", "回答"], ["理
 CHINESE_OTHER = ["不确定"]
 CHINESE_SHARE = 0.3
 FUZZY_SHARE = 0.8
-QUORUM, SAMPLES = 3, 5
+QUORUM, SAMPLES, CHECKPOINT_EVERY = 3, 5, 500

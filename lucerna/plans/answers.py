@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise, parsing
 from ..functions import vocabulary as V
+from ..functions.text import strip
 from ..operators import prompts, voting
 from . import parse_sql
 from .derived import RESPONSES, framed, framed_sql, pick, pick_sql, questions, responses
@@ -72,12 +73,17 @@ def mc_native(spark, sf_dir):
     return normalise.with_normal(rows.withColumn("raw", answer), "raw", "type", "choices", "letter", fuzzy=False).select("question_id", "letter")
 
 
-@query()
+@query(f"""WITH RECURSIVE {RESPONSES}, c AS (SELECT *, choice_text[doc_id % 2 + 1] AS c FROM r WHERE type LIKE 'mcq%'),
+a AS (SELECT * EXCLUDE (answer), {TRIM("CASE (doc_id // 6) % 6 WHEN 0 THEN c || '!' WHEN 1 THEN 'x ' || c WHEN 2 THEN left(c, length(c) - 1) || '#' WHEN 3 THEN upper(c) || '??' WHEN 4 THEN replace(c, ' ', '') ELSE question END")} AS answer FROM c),
+{parse_sql.closest('a', 'question_id', 'answer')}
+SELECT question_id, md5(answer) AS answer_md5, CASE WHEN answer <> '' THEN {parse_sql.choice('answer', 'choice_label', 'close')} END AS letter FROM a LEFT JOIN lc USING (question_id)""")
 def mc_fuzzy(spark, sf_dir):
-    """The likeness step; its ratio has no SQL form."""
-    rows = questions(spark, sf_dir).where(F.col("type").isin(V.CHOICE_TYPES))
-    answer = F.concat(F.get("choices.text", F.pmod("doc_id", F.lit(2)).cast("int")), F.lit("!"))
-    return normalise.with_normal(rows.withColumn("raw", answer), "raw", "type", "choices", "letter").select("question_id", F.col("raw").alias("answer"), "letter")
+    """The likeness step: choices with signs added, changed or lost, and whole texts."""
+    rows = questions(spark, sf_dir).where(F.col("type").isin(V.CHOICE_TYPES)).withColumn("c", F.get("choices.text", F.pmod("doc_id", F.lit(2)).cast("int")))
+    c, kind = F.col("c"), F.pmod(F.floor(F.col("doc_id") / 6), F.lit(6))
+    answer = F.when(kind == 0, F.concat(c, F.lit("!"))).when(kind == 1, F.concat(F.lit("x "), c)).when(kind == 2, F.concat(F.substring(c, F.lit(1), F.length(c) - 1), F.lit("#"))).when(kind == 3, F.concat(F.upper(c), F.lit("??")))
+    answer = strip(answer.when(kind == 4, F.replace(c, F.lit(" "), F.lit(""))).otherwise(F.col("question")))
+    return normalise.with_normal(rows.withColumn("raw", answer), "raw", "type", "choices", "letter").select("question_id", F.md5("raw").alias("answer_md5"), "letter")
 
 
 TRUTHS = ["Yes", " TRUE ", "Nothing of it", "I think this is wrong", "yesterday", "incorrect.", "maybe", "", "the right one, not false"]
@@ -138,14 +144,14 @@ def vote(spark, sf_dir):
     return outcome(voting.majority(voting.votes(sample_rows(spark, sf_dir), fuzzy=False), ["doc_id"])).select("doc_id", *OUTCOME)
 
 
-@query()
-def parse_full(spark, sf_dir):
-    """Every step on noisy responses; the likeness step has no SQL form, and tests compare with plain Python."""
-    rows = responses(spark, sf_dir).withColumn("choices", prompts.choices_or_null())
-    return parsing.parse(rows, mode="rag").select("question_id", "type", "strategy", "parsed.*")
+PARSED_COLUMNS = ["answer", "answer_normalized", "justification", "rationale", "key_reasoning", "uncertainty", "confidence", "citations", "parse_success", "parse_errors", "refusal", "think_block_removed"]
 
 
-PARSED_COLUMNS = ["answer", "answer_normalized", "justification", "rationale", "key_reasoning", "uncertainty", "confidence", "citations", "parse_success", "parse_errors", "refusal", "think_block_removed"]
+@query(f"WITH RECURSIVE {RESPONSES}, {parse_sql.PARSED_CLOSE} SELECT question_id, type, strategy, {', '.join(PARSED_COLUMNS)} FROM parsed")
+def parse_full(spark, sf_dir):
+    """Every step on noisy responses, with passages."""
+    rows = responses(spark, sf_dir).withColumn("choices", prompts.choices_or_null())
+    return parsing.parse(rows, mode="rag").select("question_id", "type", "strategy", *[f"parsed.{c}" for c in PARSED_COLUMNS])
 
 
 @query(f"WITH {RESPONSES}, {parse_sql.PARSED} SELECT question_id, type, strategy, {', '.join(PARSED_COLUMNS)} FROM parsed")

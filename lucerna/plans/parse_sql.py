@@ -36,14 +36,38 @@ def first_line(x: str) -> str:
     return f"list_filter(list_transform(string_split({x}, chr(10)), lambda x: {TRIM('x')}), lambda x: x <> '')[1]"
 
 
-def choice(x: str, valid: str) -> str:
-    """A choice's letter without the likeness step; x is stripped."""
-    letters = [
+def stated(x: str, valid: str) -> list[str]:
+    """The letters that the four patterns find, '' where one misses; x is stripped."""
+    return [
         rf"upper(regexp_extract({x}, '^\s*\(?([A-Fa-f])\)?\s*$', 1))", rf"upper(regexp_extract({x}, '(?i)^\s*\(?([A-F])\)?[).:\s]+\S', 1))",
         rf"upper(regexp_extract({x}, '(?i)(?:answer|option|choice)\s+(?:is\s+)?[(\[]?([A-F])[)\]]?\b', 1))", rf"upper(regexp_extract({x}, '\b([A-Fa-f])\s*\.?\s*$', 1))",
     ]
+
+
+def choice(x: str, valid: str, close: str | None = None) -> str:
+    """A choice's letter, with the likeness step's one in `close` if there is that step; x is stripped."""
+    letters = stated(x, valid)
     sole = f"list_distinct(list_filter(list_transform(string_split({x}, ''), lambda c: upper(c)), lambda c: list_contains({valid}, c)))"
-    return "CASE " + " ".join(f"WHEN list_contains({valid}, {s}) THEN {s}" for s in letters) + f" WHEN len({sole}) = 1 THEN {sole}[1] END"
+    return "CASE " + " ".join(f"WHEN list_contains({valid}, {s}) THEN {s}" for s in letters) + (f" WHEN {close} IS NOT NULL THEN {close}" if close else "") + f" WHEN len({sole}) = 1 THEN {sole}[1] END"
+
+
+def closest(rows: str, key: str, x: str) -> str:
+    """From rows with a key, type, choice_text, choice_label and the stripped answer x to lc (key, close): the label of the choice most like the answer.
+
+    lr holds the runs that answer and choice share, by diagonal. lw starts with the whole texts; each step takes the longest run that
+    lies in a window, cut to it (the first one of both texts), and goes on with the windows before and behind it. Choices have less than
+    200 signs here, so frequent signs need no rule of their own.
+    """
+    return f"""lp AS (SELECT {key}, k, lower({x}) AS a, lower(choice_text[k]) AS b FROM (SELECT *, unnest(range(1, len(choice_text) + 1)) AS k FROM {rows} WHERE type LIKE 'mcq%' AND {x} <> ''
+    AND NOT ({' OR '.join(f'list_contains(choice_label, {s})' for s in stated(x, 'choice_label'))})) WHERE 2.0 * least(length({x}), length(choice_text[k])) / (length({x}) + length(choice_text[k])) >= {V.FUZZY_SHARE}),
+lm AS (SELECT {key}, k, i, i - j AS d FROM (SELECT *, unnest(range(0, length(b))) AS j FROM (SELECT *, unnest(range(0, length(a))) AS i FROM lp)) WHERE substr(a, i + 1, 1) = substr(b, j + 1, 1)),
+lr AS (SELECT {key}, k, d, min(i) AS i, count(*) AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY {key}, k, d ORDER BY i) AS g FROM lm) GROUP BY {key}, k, d, g),
+lw({key}, k, a0, a1, b0, b1, size) AS (SELECT {key}, k, 0::BIGINT, length(a), 0::BIGINT, length(b), 0::BIGINT FROM lp
+  UNION ALL SELECT {key}, k, CASE side WHEN 1 THEN a0 ELSE s + n END, CASE side WHEN 1 THEN s ELSE a1 END, CASE side WHEN 1 THEN b0 ELSE s - d + n END, CASE side WHEN 1 THEN s - d ELSE b1 END, CASE side WHEN 1 THEN n ELSE 0 END
+  FROM (SELECT *, unnest([1, 2]) AS side FROM (SELECT *, row_number() OVER (PARTITION BY {key}, k, a0, a1, b0, b1 ORDER BY n DESC, s, s - d) AS best
+    FROM (SELECT lw.{key}, lw.k, a0, a1, b0, b1, d, greatest(i, a0, b0 + d) AS s, least(i + lr.n, a1, b1 + d) - greatest(i, a0, b0 + d) AS n FROM lw JOIN lr ON lr.{key} = lw.{key} AND lr.k = lw.k) WHERE n > 0) WHERE best = 1)),
+ls AS (SELECT {key}, k, 2.0 * m / (length(a) + length(b)) AS share FROM lp JOIN (SELECT {key}, k, sum(size) AS m FROM lw GROUP BY {key}, k) USING ({key}, k)),
+lc AS (SELECT {key}, upper(arg_max(choice_label[k], (share, -k))) AS close FROM ls JOIN (SELECT {key}, choice_label FROM {rows}) USING ({key}) WHERE share >= {V.FUZZY_SHARE} GROUP BY {key})"""
 
 
 def truth(x: str) -> str:
@@ -62,8 +86,8 @@ def vote_text(x: str) -> str:
     return f"nullif(regexp_replace(regexp_replace(lower({x}), '[.!?,;:]+$', ''), '\\s+', ' ', 'g'), '')"
 
 
-def normal(x: str, otherwise: str) -> str:
-    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN type LIKE 'mcq%' THEN {choice(x, 'choice_label')} WHEN type = 'true_or_false' THEN {truth(x)} ELSE {otherwise} END"
+def normal(x: str, otherwise: str, close: str | None = None) -> str:
+    return f"CASE WHEN {x} IS NULL OR {x} = '' THEN NULL WHEN type LIKE 'mcq%' THEN {choice(x, 'choice_label', close)} WHEN type = 'true_or_false' THEN {truth(x)} ELSE {otherwise} END"
 
 
 def citations(x: str) -> str:
@@ -104,6 +128,9 @@ parsed AS (SELECT * EXCLUDE (refusal, answer), answer AS given, CASE WHEN refusa
     WHEN found IS NULL AND NOT refusal THEN ['answer_field_missing'] ELSE CAST([] AS VARCHAR[]) END AS parse_errors,
   refusal, removed AS think_block_removed FROM n)"""
 
+#: The same with the likeness step; needs WITH RECURSIVE.
+PARSED_CLOSE = PARSED.replace("n AS (SELECT *, " + normal("reply", open_answer("reply")), closest("h", "question_id", "reply") + ",\nn AS (SELECT *, " + normal("reply", open_answer("reply"), "close")).replace("AS said FROM h)", "AS said FROM h LEFT JOIN lc USING (question_id))")
+
 
 def votes(keys: str, quorum: int = V.QUORUM) -> str:
     """From `voted` (keys, sample_ix, valid, vote) to `outcome`, a row per question."""
