@@ -75,17 +75,60 @@ def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
+#: Leading bits by which whole numbers are put into buckets: a bucket's numbers differ by less than one part in 2^(BITS - 1).
+BITS = 10
+
+
+def _bucket(value: Column) -> tuple[Column, Column]:
+    """(bits cut off, what is left) of a whole number from 0 on; they order buckets as their numbers are ordered."""
+    cut = F.greatest(F.length(F.bin(value)) - BITS, F.lit(0))
+    return cut, F.call_function("shiftright", value, cut)
+
+
+def medians(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, median) of whole numbers from 0 on, exact, nulls left out; a group of nulls alone has none.
+
+    Two scans. The first counts numbers by bucket, of which a group has some ten thousand at most, whatever it holds; the middle ranks
+    lie in one or two of them. The second counts the numbers of those buckets one by one.
+    """
+    cut, head = _bucket(F.col("_v"))
+    rows = df.select(*by, F.col(value).cast("long").alias("_v")).where("_v is not null").withColumn("_cut", cut).withColumn("_head", head)
+    keys = [F.col(c) for c in by] or [F.lit(0)]
+    upto = Window.partitionBy(*keys).orderBy("_cut", "_head").rowsBetween(Window.unboundedPreceding, 0)
+    counts = rows.groupBy(*by, "_cut", "_head").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_to", F.sum("_n").over(upto)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)  # ranks from 0
+    middle = counts.where((F.col("_to") > low) & (F.col("_to") - F.col("_n") <= high)).select(*by, "_cut", "_head", (F.col("_to") - F.col("_n")).alias("_before"), "_all")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"m.{c}")) for c in (*by, "_cut", "_head")]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    found = rows.alias("r").join(middle.alias("m"), on).groupBy(*[F.col(f"m.{c}").alias(c) for c in (*by, "_cut", "_head")], "_before", "_all", F.col("r._v").alias("_v")).agg(F.count("*").alias("_n"))
+    within = Window.partitionBy(*keys, "_cut", "_head").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("_to", F.col("_before") + F.sum("_n").over(within))
+    at = lambda rank: F.max(F.when((F.col("_to") > rank) & (F.col("_to") - F.col("_n") <= rank), F.col("_v")))
+    grouped = found.groupBy(*by) if by else found.groupBy()
+    return grouped.agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def length_stats(df: DataFrame, text: str, by: str | None = None) -> DataFrame:
     """Lengths in characters: count, min, max, mean, median, sample deviation."""
-    n = F.length(text)
-    figures = [F.count(n).alias("n"), F.min(n).cast("long").alias("min_len"), F.max(n).cast("long").alias("max_len"), F.avg(n).alias("mean_len"), F.median(n).alias("median_len"), F.stddev_samp(n).alias("std_len")]
-    return (df.groupBy(by) if by else df.groupBy()).agg(*figures)
+    keys = [by] if by else []
+    rows = df.select(*keys, F.length(text).alias("_n"))
+    n = F.col("_n")
+    figures = [F.count(n).alias("n"), F.min(n).cast("long").alias("min_len"), F.max(n).cast("long").alias("max_len"), F.avg(n).alias("mean_len"), F.stddev_samp(n).alias("std_len")]
+    out, middle = rows.groupBy(*keys).agg(*figures), medians(rows, "_n", keys).withColumnRenamed("median", "median_len")
+    columns = [*keys, "n", "min_len", "max_len", "mean_len", "median_len", "std_len"]
+    if not by:
+        return out.crossJoin(F.broadcast(middle)).select(*columns)  # one row by one row
+    return out.alias("s").join(middle.alias("m"), F.col(f"s.{by}").eqNullSafe(F.col(f"m.{by}")), "left").select(F.col(f"s.{by}").alias(by), *columns[1:])
 
 
 def per_group_stats(df: DataFrame, group: str) -> DataFrame:
     """Rows per group: groups, min, max, mean, median."""
     n = df.groupBy(group).agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("groups"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.avg("n").alias("mean_n"), F.median("n").alias("median_n"))
+    out = n.agg(F.count("*").alias("groups"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.avg("n").alias("mean_n"))
+    return out.crossJoin(F.broadcast(medians(n, "n", []).withColumnRenamed("median", "median_n")))  # one row by one row
 
 
 def first_by(df: DataFrame, group: str, preference: Column, index: str, keep: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import shortened
-from ..operators import audit, papers, ranking
+from ..operators import audit, papers, profiles, ranking
 from ..sources import json_files
 from .derived import QUESTIONS, questions
 from .registry import query, table
@@ -262,3 +262,19 @@ def table_sink(spark, sf_dir):
     for rows in (docs(spark, sf_dir).limit(1), docs(spark, sf_dir)):
         json_files.write_table(rows, path)
     return spark.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("""SELECT CAST(ts AS DATE) AS day, column_name, count(*) AS n, count(*) FILTER (v IS NULL) AS n_empty, min(v) AS least, max(v) AS greatest, true AS within, 0::BIGINT AS new_files
+FROM (SELECT ts, unnest(['user_id', 'event_type', 'props']) AS column_name, nullif(unnest([CAST(user_id AS VARCHAR), event_type, props]), '') AS v FROM events) GROUP BY ALL""")
+def daily_profile(spark, sf_dir):
+    """Daily profiles of the events from stored sketches, whether each distinct count is within the bound of the exact one, and how many files a
+    second refresh reads."""
+    store, columns = json_files.work_folder(spark, "profiles"), ["user_id", "event_type", "props"]
+    day = F.col("ts").cast("date")
+    profiles.refresh(spark, f"{sf_dir}/events.parquet", store, columns, day)
+    new = len(profiles.refresh(spark, f"{sf_dir}/events.parquet", store, columns, day))
+    exact = table(spark, sf_dir, "events").select(day.alias("day"), *columns).groupBy("day").agg(*[F.count_distinct(F.nullif(F.col(c).cast("string"), F.lit(""))).alias(c) for c in columns])
+    exact = exact.unpivot(["day"], columns, "column_name", "exact")
+    found = profiles.merged(profiles.stored(spark, store), ["day"]).alias("m").join(exact.alias("e"), F.col("m.day").eqNullSafe(F.col("e.day")) & (F.col("m.column_name") == F.col("e.column_name")))
+    within = F.abs(F.col("n_distinct") - F.col("exact")) <= profiles.BOUND * F.col("exact")
+    return found.select("m.day", "m.column_name", "n", "n_empty", "least", "greatest", within.alias("within"), F.lit(new).cast("long").alias("new_files"))
