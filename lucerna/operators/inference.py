@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
 from typing import Protocol
 
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,23 +94,32 @@ def held(factory: Callable[[], Backend]) -> Backend:
     return _held[key]
 
 
-def generated(df: DataFrame, factory: Callable[[], Backend], settings: dict) -> DataFrame:
-    """Adds `prompt_tokens` and `samples` (array<struct<text, tokens>>) by a backend, batch by batch."""
+def generated(df: DataFrame, factory: Callable[[], Backend], settings: dict, batch: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+    """Adds `prompt_tokens` and `samples` (array<struct<text, tokens>>) by a backend, batch by batch.
+
+    batch: prompts in a batch at most; prompts are then dealt out by ranges of their length and sorted, so that a batch holds prompts of like
+    length and no padding is wasted. profile: what a task of this stage needs (an accelerator, memory), on clusters that give
+    resources by stage; the stages around it run on what they had.
+    """
     names = df.columns
     at = names.index("prompt")
+    if batch:
+        df = df.repartitionByRange(F.length("prompt")).sortWithinPartitions(F.length("prompt"))
 
     def run(batches: Iterator):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int64())]))
-        for b in batches:
-            out = held(factory).generate(b.column(at).to_pylist(), settings)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for n, _ in out], pa.int64()), pa.array([[{"text": t, "tokens": n} for t, n in s] for _, s in out], kind)], [*names, "prompt_tokens", "samples"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, batch or max(1, whole.num_rows)):
+                b = whole.slice(k, batch) if batch else whole
+                out = held(factory).generate(b.column(at).to_pylist(), settings)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([n for n, _ in out], pa.int64()), pa.array([[{"text": t, "tokens": n} for t, n in s] for _, s in out], kind)], [*names, "prompt_tokens", "samples"])
 
     from pyspark.sql import types as T
 
     sample = T.StructType([T.StructField("text", T.StringType()), T.StructField("tokens", T.LongType())])
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("prompt_tokens", T.LongType()), T.StructField("samples", T.ArrayType(sample))]))
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("prompt_tokens", T.LongType()), T.StructField("samples", T.ArrayType(sample))]), profile=profile)
 
 
 def mock_text(strategy: str, kind: str = "type", key: str = "answerKey"):

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 import time
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..sources import json_files, settings
+from ..sources import commit_log, json_files, settings
 from . import inference, prompts
 
 #: Assumptions of the time estimate: tokens a second, output tokens a question.
 TOKENS_A_SECOND, TOKENS_A_QUESTION = 750, 200
 
 
-def matrix(spark: SparkSession, models: list[str], strategies: list[str]) -> DataFrame:
-    """(cell_no, model, strategy), by model and then strategy in the given orders; both lists are settings."""
-    cells = [(k, m, s) for k, (m, s) in enumerate(((m, s) for m in models for s in strategies), 1)]
-    return spark.createDataFrame(cells, "cell_no int, model string, strategy string")
+def matrix(spark: SparkSession, models: list[str] | DataFrame, strategies: list[str]) -> DataFrame:
+    """(cell_no, model, strategy), by model and then strategy: models of a list of settings in its order, or of a table (its first column;
+    distinct, without null) by name; strategies in the given order."""
+    kinds = F.posexplode(F.lit(strategies)).alias("_s", "strategy")
+    if not isinstance(models, DataFrame):
+        models = spark.createDataFrame(list(enumerate(models)), "_m int, model string").select("_m", "model")
+    else:
+        names = models.select(F.col(models.columns[0]).cast("string").alias("model")).where("model is not null").distinct()
+        models = names.select((F.row_number().over(Window.orderBy("model")) - 1).alias("_m"), "model")  # a row for each model
+    return models.select("_m", "model", kinds).select((F.col("_m") * len(strategies) + F.col("_s") + 1).cast("int").alias("cell_no"), "model", "strategy")
 
 
 def status(cells: DataFrame, done: DataFrame, expected: int) -> DataFrame:
@@ -56,20 +63,22 @@ def estimate(cells: DataFrame, expected: int, samples: int = V.SAMPLES) -> DataF
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
-    """Keys and successes of the valid records under a path; none where there is no path."""
+    """Keys and successes of the valid records that are committed under a path; none where there are none."""
     schema = "question_id string, parsed struct<parse_success:boolean>, sc_result struct<sc_success:boolean>, model string, strategy string"
-    if not json_files.exists(spark, path):
+    committed = commit_log.read(spark, path)
+    if committed is None:
         return spark.createDataFrame([], "model string, strategy string, question_id string, parse_success boolean, sc_success boolean")
-    lines = json_files.valid_lines(spark.read.text(path))
+    lines = json_files.valid_lines(committed)
     rows = lines.select("model", "strategy", F.from_json("value", schema).alias("r"))
     return rows.select("model", "strategy", "r.question_id", "r.parsed.parse_success", "r.sc_result.sc_success")
 
 
 def run_cell(questions: DataFrame, config: dict, model: str, strategy: str, out: str, limit: int | None = None, factory=None, folder: str | None = None) -> dict:
-    """Answers what is missing of a cell, appends the records and tells how it went. Without a factory the model is mocked.
+    """Answers what is missing of a cell, commits the records chunk by chunk and tells how it went. Without a factory the model is mocked.
 
-    limit: None for all questions, else the first so many by id, none for 0. A record that an earlier run left is never
-    written again: resumption goes by key. Appending JSON isn't a transaction, so readers take distinct keys.
+    limit: None for all questions, else the first so many by id, none for 0. A record that an earlier run committed is never
+    written again: resumption goes by key. A run that is killed leaves whole chunks; files hold `checkpoint_every` records at most, a chunk
+    about that many for each core.
     """
     spark = questions.sparkSession
     name = strategy.lower()
@@ -78,22 +87,28 @@ def run_cell(questions: DataFrame, config: dict, model: str, strategy: str, out:
     chosen = questions if limit is None else questions.orderBy("question_id").limit(limit)
     total = chosen.count()
     done = read_done(spark, out).where((F.col("model") == model) & (F.col("strategy") == name))
-    left = missing(chosen, done, ["question_id"])
-    n = left.count()
+    every = config.get("inference", {}).get("checkpoint_every", V.CHECKPOINT_EVERY)
+    left, chunks = commit_log.chunks(missing(chosen, done, ["question_id"]), ["question_id"], every)
+    spooled = f"{json_files.work_folder(spark, 'left')}"
+    if chunks:
+        left.write.partitionBy("_chunk").parquet(spooled)
+        left = spark.read.schema(left.schema).parquet(spooled)
+    n = left.count() if chunks else 0
     summary = {"model": model, "strategy": name, "total": total, "processed": n, "skipped": total - n, "parse_rate": 0.0, "duration_s": 0.0, "status": "skipped" if total and not n else "complete"}
-    if n:
-        params = inference.sampling(name, config.get("inference", {}))
-        asked = left.withColumn("prompt", prompts.prompt(F.col("question"), name, prompts.choices_or_null(), folder=folder))
-        answered = inference.mocked(asked, name, params) if factory is None else inference.generated(asked, factory, params)
+    params = inference.sampling(name, config.get("inference", {}))
+    run = uuid.uuid4().hex
+    for k in range(chunks):
+        asked = left.where(F.col("_chunk") == k).drop("_chunk").withColumn("prompt", prompts.prompt(F.col("question"), name, prompts.choices_or_null(), folder=folder))
+        answered = inference.mocked(asked, name, params) if factory is None else inference.generated(asked, factory, params, config.get("inference", {}).get("batch_size"))
         made = inference.records(answered, model, name, config.get("inference", {}).get("sc_min_valid", V.QUORUM))
-        json_files.append_lines(made, out)
+        commit_log.append(made, out, f"{run}-{k}", every)
     now = read_done(spark, out).where((F.col("model") == model) & (F.col("strategy") == name)).dropDuplicates(["question_id"])
     rate = parse_rates(now).first()
     return summary | {"parse_rate": rate.parse_rate if rate else 0.0, "duration_s": round(time.time() - began, 3)}
 
 
 def run_matrix(questions: DataFrame, config: dict, out: str, models: list[str] | None = None, strategies: list[str] | None = None, limit: int | None = None, factories: dict | None = None) -> list[dict]:
-    """Every cell, model by model, so that a backend is loaded once for a model's strategies."""
+    """Every cell, model by model, so that a worker loads a backend once for all of a model's strategies."""
     names = settings.subset(models, list(config["models"]))
     kinds = settings.subset(strategies, list(config["strategies"]))
     return [run_cell(questions, config, m, s, out, limit, (factories or {}).get(m)) for m in names for s in kinds]

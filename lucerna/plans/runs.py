@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from functools import partial
+
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from ..functions import parsing
 from ..operators import inference, prompts
 from ..operators import runs as ops
-from ..sources import json_files
+from ..sources import commit_log, json_files
 from . import parse_sql
 from .answers import OUTCOME, outcome
 from .derived import FRAMES, QUESTIONS, RESPONSES, framed, framed_sql, pick, pick_sql, questions, responses
@@ -19,9 +24,10 @@ MODELS, STRATEGIES = ["model-a", "model-b", "model-c"], ["da", "ras", "ctl", "sc
 CELLS = "cells AS (SELECT row_number() OVER (ORDER BY m, s)::INT AS cell_no, ['model-a', 'model-b', 'model-c'][m] AS model, ['da', 'ras', 'ctl', 'sc'][s] AS strategy FROM range(1, 4) a(m), range(1, 5) b(s))"
 
 
-@query(f"WITH {CELLS} SELECT * FROM cells")
+@query("SELECT (row_number() OVER (ORDER BY model, s))::INT AS cell_no, model, ['da', 'ras', 'ctl', 'sc'][s] AS strategy FROM (SELECT DISTINCT source AS model FROM documents WHERE source IS NOT NULL), range(1, 5) b(s)")
 def matrix(spark, sf_dir):
-    return ops.matrix(spark, MODELS, STRATEGIES)
+    """Every source as a model, by every strategy."""
+    return ops.matrix(spark, table(spark, sf_dir, "documents").select("source"), STRATEGIES)
 
 
 def done_rows(spark, sf_dir):
@@ -158,18 +164,68 @@ def generated_records(spark, sf_dir):
     return done.select("question_id", "prompt_tokens", first["text"].alias("raw"), first["tokens"].alias("completion_tokens"))
 
 
-@query("""WITH t AS (SELECT count(*) AS n FROM documents), l AS (SELECT unnest([0, 50, 80, NULL]) AS lim, unnest([1, 2, 3, 4]) AS run_no),
-w AS (SELECT run_no, least(coalesce(lim, n), n) AS total FROM l, t), x AS (SELECT *, total - coalesce(lag(total) OVER (ORDER BY run_no), 0) AS processed, total - (total - coalesce(lag(total) OVER (ORDER BY run_no), 0)) AS skipped FROM w)
-SELECT run_no::INT AS run_no, total, processed, skipped, CASE WHEN total > 0 AND processed = 0 THEN 'skipped' ELSE 'complete' END AS status, total AS records FROM x""")
+class Dying(inference.Scripted):
+    """A backend that is lost in the middle of a batch."""
+
+    def generate(self, prompts, settings):
+        if any(len(p) % 2 for p in prompts):
+            raise RuntimeError("lost")
+        return super().generate(prompts, settings)
+
+
+@query("""WITH t AS (SELECT count(*) AS n FROM documents), l AS (SELECT unnest([0, 50, 80, NULL, NULL]) AS lim, unnest([1, 2, 3, 4, 5]) AS run_no),
+w AS (SELECT run_no, run_no <> 4 AS ok, least(coalesce(lim, n), n) AS total FROM l, t), x AS (SELECT *, coalesce(max(CASE WHEN ok THEN total END) OVER (ORDER BY run_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+SELECT run_no::INT AS run_no, total, CASE WHEN ok THEN total - before ELSE 0 END AS processed, before AS skipped, CASE WHEN NOT ok THEN 'killed' WHEN total > 0 AND total = before THEN 'skipped' ELSE 'complete' END AS status,
+  CASE WHEN ok THEN total ELSE before END AS records, 0::BIGINT AS doubles FROM x""")
 def run_resume(spark, sf_dir):
-    """A mocked cell run with growing limits into one folder: each run adds what is missing, and the folder holds each question once."""
+    """A cell run with growing limits into one folder, the fourth time by a backend that is lost within a chunk: each run adds what is missing,
+    the lost one nothing, and the folder holds each question once."""
     q = questions(spark, sf_dir).select("doc_id", "question_id", "question", "type", "domain", "details", "answerKey", "choices", "answer")
-    out = json_files.work_folder(spark, "runs")
+    out, config = json_files.work_folder(spark, "runs"), {"models": {"m": {}}, "strategies": ["da"], "inference": {"checkpoint_every": 200}}
     rows = []
-    for k, limit in enumerate([0, 50, 80, None], 1):
-        s = ops.run_cell(q, {"models": {"m": {}}, "strategies": ["da"]}, "m", "da", out, limit)
-        rows.append((k, s["total"], s["processed"], s["skipped"], s["status"], json_files.count_lines(spark, out)))
-    return spark.createDataFrame(rows, "run_no int, total long, processed long, skipped long, status string, records long")
+    for k, limit in enumerate([0, 50, 80, None, None], 1):
+        try:
+            s = ops.run_cell(q, config, "m", "da", out, limit, inference.Scripted.of(REPLIES) if k != 4 else partial(Dying, tuple(REPLIES)))
+        except PySparkException:
+            done = ops.read_done(spark, out).count()
+            s = {"total": q.count(), "processed": 0, "skipped": done, "status": "killed"}
+        done = ops.read_done(spark, out)
+        n = done.count()
+        rows.append((k, s["total"], s["processed"], s["skipped"], s["status"], n, n - done.select("question_id").distinct().count()))
+    return spark.createDataFrame(rows, "run_no int, total long, processed long, skipped long, status string, records long, doubles long")
+
+
+class Counting(inference.Scripted):
+    """A backend whose replies tell the process, the load and the batch that they come from."""
+
+    def __init__(self, replies):
+        super().__init__(replies)
+        self.load = uuid.uuid4().hex
+
+    def generate(self, prompts, settings):
+        lengths = [len(p) for p in prompts]
+        said = f"ANSWER: B\nJUSTIFICATION: {os.getpid()} {self.load} {uuid.uuid4().hex} {len(prompts)} {min(lengths)} {max(lengths)}"
+        return [(n, [(said, 1)] * settings["n"]) for n in lengths]
+
+
+BATCH = 32
+
+
+@query("SELECT m AS model, n AS records, 0::BIGINT AS reloads, 0::BIGINT AS oversized, true AS alike FROM (SELECT unnest(['m1', 'm2']) AS m), (SELECT 2 * count(*) AS n FROM documents)")
+def backend_loads(spark, sf_dir):
+    """Two models by two strategies: how often a worker loads a model beyond the first time, how many batches are too large, and whether
+    batches hold prompts of like length (on average the shortest has over half of the longest's; in batches at random a twentieth)."""
+    q = questions(spark, sf_dir).select("doc_id", "question_id", "question", "type", "domain", "details", "answerKey", "choices", "answer")
+    out, config = json_files.work_folder(spark, "loads"), {"models": {"m1": {}, "m2": {}}, "strategies": ["da", "ras"], "inference": {"batch_size": BATCH}}
+    ops.run_matrix(q, config, out, factories={m: partial(Counting, (m,)) for m in config["models"]})
+    lines = json_files.valid_lines(commit_log.read(spark, out)).select("model", "strategy", F.get_json_object("value", "$.raw_response").alias("r"))
+    x = F.split(F.substring_index("r", ": ", -1), " ")
+    rows = lines.select("model", "strategy", *[x[k].alias(c) for k, c in enumerate(("pid", "load", "batch"))], *[x[k].cast("long").alias(c) for k, c in ((3, "n"), (4, "low"), (5, "high"))])
+    batches = rows.groupBy("model", "strategy", "batch").agg(F.first("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high")).groupBy("model", "strategy")
+    batches = batches.agg(F.count_if(F.col("n") > BATCH).alias("oversized"), F.avg((F.col("high") - F.col("low")) / F.col("high")).alias("apart")).groupBy("model")
+    batches = batches.agg(F.sum("oversized").alias("oversized"), F.bool_and(F.col("apart") < 0.5).alias("alike"))
+    loads = rows.groupBy("model").agg(F.count("*").alias("records"), (F.count_distinct("load") - F.count_distinct("pid")).alias("reloads"))
+    return loads.join(batches, "model").select("model", "records", "reloads", "oversized", "alike")
 
 
 @query("SELECT 'ske-docs-' || printf('%05d', row_number() OVER (ORDER BY doc_id) - 1) AS question_id, coalesce(text, '') AS question, source AS task FROM documents")
