@@ -65,11 +65,11 @@ def first_line(spark, sf_dir):
 CHOICE_ANSWERS = [" (b) ", "C. because {}", "so the Answer is [d] then", "it must be A.", "neither xyz", "zzz b zzz", "a thing of note", "The best option: {} D "]
 
 
-@query(f"""WITH {RESPONSES}, a AS (SELECT question_id, choice_label, {TRIM(framed_sql('task', f'(doc_id % {len(CHOICE_ANSWERS)})', CHOICE_ANSWERS))} AS x FROM r WHERE type LIKE 'mcq%')
+@query(f"""WITH {RESPONSES}, a AS (SELECT question_id, choice_label, {TRIM(framed_sql('question', f'(doc_id % {len(CHOICE_ANSWERS)})', CHOICE_ANSWERS))} AS x FROM r WHERE type LIKE 'mcq%')
 SELECT question_id, {parse_sql.choice('x', 'choice_label')} AS letter FROM a""")
 def mc_native(spark, sf_dir):
     rows = questions(spark, sf_dir).where(F.col("type").isin(V.CHOICE_TYPES))
-    answer = framed(F.col("details.task"), F.pmod("doc_id", F.lit(len(CHOICE_ANSWERS))), CHOICE_ANSWERS)
+    answer = framed(F.col("question"), F.pmod("doc_id", F.lit(len(CHOICE_ANSWERS))), CHOICE_ANSWERS)
     return normalise.with_normal(rows.withColumn("raw", answer), "raw", "type", "choices", "letter", fuzzy=False).select("question_id", "letter")
 
 

@@ -126,14 +126,15 @@ def output_records(spark, sf_dir):
 _AT = "((doc_id * 2 + k * (doc_id % 4 + 1)) % 9)"
 
 
-@query(f"""WITH {QUESTIONS}, r AS (SELECT *, k AS sample_ix, 'sc' AS strategy, {framed_sql('task', _AT, FRAMES)} AS raw_response FROM q, (SELECT unnest([0, 1, 2, 3, 4]) AS k)), {parse_sql.PARSED},
+@query(f"""WITH {QUESTIONS}, r AS (SELECT *, k AS sample_ix, 'sc' AS strategy, {framed_sql('(CASE WHEN k = doc_id % 5 THEN question ELSE task END)', _AT, FRAMES)} AS raw_response FROM q, (SELECT unnest([0, 1, 2, 3, 4]) AS k)), {parse_sql.PARSED},
 x AS (SELECT *, parse_success AND NOT refusal AS valid, {TRIM("coalesce(nullif(answer_normalized, ''), answer)")} AS y FROM parsed),
 voted AS (SELECT question_id, sample_ix, valid, CASE WHEN valid THEN {parse_sql.normal('y', parse_sql.vote_text('y'))} END AS vote FROM x), {parse_sql.votes('question_id')},
 per AS (SELECT question_id, list(coalesce(answer_normalized, '?') ORDER BY sample_ix) AS each, sum(length(raw_response))::BIGINT AS completion_tokens FROM x GROUP BY question_id) SELECT * FROM outcome JOIN per USING (question_id)""")
 def sampled_records(spark, sf_dir):
-    """Records of repeated samples over noisy responses, with their votes, each sample's parse and all tokens."""
+    """Records of repeated samples over noisy responses (one of five around the document's whole text), with their votes, each sample's parse and all tokens."""
     i = F.col("doc_id")
-    texts = [framed(F.col("details.task"), F.pmod(i * 2 + k * (F.pmod(i, F.lit(4)) + 1), F.lit(9)), FRAMES) for k in range(5)]
+    given = lambda k: F.when(F.pmod(i, F.lit(5)) == k, F.col("question")).otherwise(F.col("details.task"))
+    texts = [framed(given(k), F.pmod(i * 2 + k * (F.pmod(i, F.lit(4)) + 1), F.lit(9)), FRAMES) for k in range(5)]
     samples = F.array(*[F.struct(t.alias("text"), F.length(t).cast("long").alias("tokens")) for t in texts])
     asked = questions(spark, sf_dir).withColumn("prompt", F.lit("")).withColumn("prompt_tokens", F.lit(0).cast("long")).withColumn("samples", samples)
     done = inference.records(asked, "noisy", "sc", fuzzy=False, now=NOW)
