@@ -33,7 +33,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns, connected_components, drop, few, list_column, raw, short_batches, sliced, spool, unused
@@ -45,7 +45,7 @@ CHUNK, LEAF, LEVELS = 512, 8, 3
 SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: Shingles with a hash below `COUNTED` come first in the order and are counted; those in `FREQUENT` rows or more, up to the `LISTED` most
 #: frequent, go behind them. Bits of the parities.
-COUNTED, FREQUENT, LISTED, PARITIES = 3 << 61, 64, 500_000, 512
+COUNTED, FREQUENT, LISTED, PARITIES = 1 << 62, 64, 500_000, 512
 #: Shingles hashed before their bits are counted.
 COUNT_AT_ONCE = 1 << 15
 
@@ -93,19 +93,21 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def prefix(found: np.ndarray, frequent: np.ndarray, level: np.ndarray, least: float = SIMILAR) -> np.ndarray:
-    """The first n - ceil(least n) + 1 hashes of a set in the order: those below `COUNTED` that aren't frequent, frequent ones by level,
-    all others. frequent: ascending."""
+def prefix(found: np.ndarray, frequent: np.ndarray, level: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
+    """The first n - ceil(least n) + 1 hashes of a set in the order: those below `COUNTED` that aren't frequent, and then frequent ones by
+    level and all others. frequent: ascending."""
     n = len(found)
     if not n:
-        return found
+        return found, found
     counted = found[: np.searchsorted(found, np.uint64(COUNTED))]
     place = np.searchsorted(frequent, counted)
     place[place == len(frequent)] = 0
     often = frequent[place] == counted if len(frequent) else np.zeros(len(counted), bool)
     late = counted[often]
     late = late[np.lexsort([late, level[place[often]]])] if len(late) else late
-    return np.concatenate([counted[~often], late, found[len(counted) :]])[: n - ceil(least * n - 1e-9) + 1]
+    most = n - ceil(least * n - 1e-9) + 1
+    rare = counted[~often][:most]
+    return rare, np.concatenate([late, found[len(counted) :]])[: most - len(rare)]
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -470,23 +472,27 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mixed = [int((f ^ (f >> np.uint64(31))).sum(dtype=np.uint64)) * 0x9E3779B97F4A7C15 + len(f) for f in found]
             c = np.array([x % (1 << BITS) for x in mixed], np.uint64).view(np.int64)
             fp = np.array([set_fingerprint(f) for f in found], np.uint64).view(np.int64)
-            first = [prefix(f, *often.value, least).view(np.int64) for f in found]
-            sizes, ends = np.array([len(f) for f in found]), np.array([len(f) for f in first])
-            columns = [b.column(0), b.column(2), pa.array(c), pa.array(sizes), pa.array(fp), list_column(np.concatenate([parities(f) for f in found]), np.full(len(found), PARITIES // 64), pa.int64()), list_column(np.concatenate(first), ends, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "c", "n", "fp", "bits", "prefix"])
+            first = [[x.view(np.int64) for x in prefix(f, *often.value, least)] for f in found]
+            sizes = np.array([len(f) for f in found])
+            listed = [list_column(np.concatenate(x), np.array([len(y) for y in x]), pa.int64()) for x in zip(*first)]
+            columns = [b.column(0), b.column(2), pa.array(c), pa.array(sizes), pa.array(fp), list_column(np.concatenate([parities(f) for f in found]), np.full(len(found), PARITIES // 64), pa.int64()), *listed]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "c", "n", "fp", "bits", "rare", "late"])
 
-    prints = spool(source.select("id", "text", "key").mapInArrow(scan, f"id {kind}, key bigint, c bigint, n bigint, fp bigint, bits array<bigint>, prefix array<bigint>"), "prints")
+    prints = spool(source.select("id", "text", "key").mapInArrow(scan, f"id {kind}, key bigint, c bigint, n bigint, fp bigint, bits array<bigint>, rare array<bigint>, late array<bigint>"), "prints")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
-    classes = spool(prints.groupBy("c").agg(F.min(place).alias("of"), *[F.any_value(x).alias(x) for x in ("n", "fp", "bits", "prefix")]), "classes")
+    classes = spool(prints.groupBy("c").agg(F.min(place).alias("of"), *[F.any_value(x).alias(x) for x in ("n", "fp", "bits")]), "classes")
 
     # candidates: near fingerprints, and of each token's classes the smallest and the largest
     prints_of = spool(classes.groupBy("fp").agg(F.min("c").alias("lead")), "fps")
     lead = lambda x: prints_of.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}"))
     by_bits = links(prints_of.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
     equal = classes.join(prints_of, "fp").select(F.col("c").alias("x"), F.col("lead").alias("y"))
-    tokens = classes.select(F.explode("prefix").alias("token"), "c")
-    span = tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    tokens = spool(tokens.join(span, "token"), "tokens")
+    # a rare token's classes are few and meet in one task; the others' least and largest are found by parts first
+    of_token = Window.partitionBy("token")
+    rare = prints.select(F.explode("rare").alias("token"), "c").withColumns({"lo": F.min("c").over(of_token), "hi": F.max("c").over(of_token)})
+    late = prints.select(F.explode("late").alias("token"), "c").distinct()
+    late = late.join(late.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "token")
+    tokens = spool(rare.unionByName(late).where("lo < hi").distinct(), "tokens")
     leads = tokens.select("c", F.explode(F.array("lo", "hi")).alias("y")).select(F.col("c").alias("x"), "y")
     pairs = by_bits.unionByName(equal).unionByName(leads).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = spool(pairs, "pairs")
@@ -503,14 +509,15 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         drop(stars)
         stars = again
     named = classes.select("c", "of").join(stars.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    first = spool(named.groupBy("root").agg(F.min("of").alias("of")).select(F.col("of.id").alias("of_id"), F.col("of.key").alias("of_key")), "first")
+    best = named.groupBy("root").agg(F.min("of").alias("best"))
+    judged = prints.groupBy("id", "key", "c").agg(F.count("*").alias("n")).join(named.join(best, "root").select("c", "best"), "c")
+    stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
+    judged = spool(judged.select("id", "key", "n", stays.alias("stays")), "judged")
+    drop(prints, classes, prints_of, tokens, pairs, linked, stars, rows, more)
     one, key = unused(docs, "of_id"), unused(docs, "of_key")
     mine = F.col(id_col).eqNullSafe(F.col(one)) & (text_key(F.col(text_col)) == F.col(key))
-    renamed = first.toDF(one, key)
-    kept = docs.join(renamed, mine, "left_semi")
-    again = prints.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key").toDF(one, key)
-    again = spool(again.join(renamed.withColumnRenamed(one, "_i").withColumnRenamed(key, "_k"), F.col(one).eqNullSafe(F.col("_i")) & (F.col(key) == F.col("_k")), "left_semi"), "again")
-    drop(prints, classes, prints_of, tokens, pairs, linked, stars, rows, more)
+    kept = docs.join(few(judged.where("not stays").select("id", "key").toDF(one, key)), mine, "left_anti")
+    again = spool(judged.where("stays and n > 1").select("id", "key").toDF(one, key), "again")
     if again.isEmpty():
         return kept
     several = kept.join(again, mine, "left_semi").groupBy(F.col(id_col).alias(one), text_key(F.col(text_col)).alias(key)).agg(F.any_value(F.struct(*columns(docs))).alias("row")).select("row.*")
