@@ -457,7 +457,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is no other), of rows with one id the one with the smallest `text_key`, of wholly equal ids and texts any one.
 
     Texts with one set of shingles are a class; classes link if their similarity is `least` or more, and no link is lost. First each
-    class is held against those near by fingerprint and, for each token of its prefix, against the token's smallest and largest class; then, where
+    class is held against those near by fingerprint and, for each token of its prefix, against the token's smallest class; then, where
     a token's classes aren't all connected yet, against those of other components. Every row is judged by its own
     text, so rows that share an id and differ in their texts both stay. Null, empty and wordless texts are one group.
     """
@@ -482,7 +482,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
     classes = spool(prints.groupBy("c").agg(F.min(place).alias("of"), *[F.any_value(x).alias(x) for x in ("n", "fp", "bits")]), "classes")
 
-    # candidates: near fingerprints, and of each token's classes the smallest and the largest
+    # candidates: near fingerprints, and of each token's classes the smallest
     prints_of = spool(classes.groupBy("fp").agg(F.min("c").alias("lead")), "fps")
     lead = lambda x: prints_of.select(F.col("fp").alias(x), F.col("lead").alias(f"lead_{x}"))
     by_bits = links(prints_of.select("fp")).join(lead("a"), "a").join(lead("b"), "b").select(F.col("lead_a").alias("x"), F.col("lead_b").alias("y"))
@@ -493,7 +493,7 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     late = prints.select(F.explode("late").alias("token"), "c").distinct()
     late = late.join(late.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")), "token")
     tokens = spool(rare.unionByName(late).where("lo < hi").distinct(), "tokens")
-    leads = tokens.select("c", F.explode(F.array("lo", "hi")).alias("y")).select(F.col("c").alias("x"), "y")
+    leads = tokens.select(F.col("c").alias("x"), F.col("lo").alias("y"))
     pairs = by_bits.unionByName(equal).unionByName(leads).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = spool(pairs, "pairs")
     linked = _judged(pairs, classes, source, least)
@@ -504,16 +504,16 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = roots.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
     rows = spool(roots.join(open_, "token").join(classes.select("c", "n", "bits"), "c").select("token", "c", "root", "n", "bits"), "open")
     more = _judged(_across(rows, least).join(pairs, ["a", "b"], "left_anti"), classes, source, least)
-    if not more.isEmpty():
-        again = spool(connected_components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "stars")
-        drop(stars)
-        stars = again
-    named = classes.select("c", "of").join(stars.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    of = stars.withColumnRenamed("node", "c")
+    root_of = lambda x: of.select(F.col("c").alias(x), F.col("root").alias(f"root_{x}"))
+    across = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    over = spool(connected_components(across), "over")
+    named = classes.select("c", "of").join(of, "c", "left").withColumn("node", F.coalesce("root", "c")).drop("root").join(over, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = named.groupBy("root").agg(F.min("of").alias("best"))
     judged = prints.groupBy("id", "key", "c").agg(F.count("*").alias("n")).join(named.join(best, "root").select("c", "best"), "c")
     stays = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("key") == F.col("best.key"))
     judged = spool(judged.select("id", "key", "n", stays.alias("stays")), "judged")
-    drop(prints, classes, prints_of, tokens, pairs, linked, stars, rows, more)
+    drop(prints, classes, prints_of, tokens, pairs, linked, stars, rows, more, over)
     one, key = unused(docs, "of_id"), unused(docs, "of_key")
     mine = F.col(id_col).eqNullSafe(F.col(one)) & (text_key(F.col(text_col)) == F.col(key))
     kept = docs.join(few(judged.where("not stays").select("id", "key").toDF(one, key)), mine, "left_anti")
