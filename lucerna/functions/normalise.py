@@ -13,6 +13,9 @@ from . import vocabulary as V
 from .likeness import likeness
 from .text import S, blank_to_null, extract, strip
 
+#: An end of a run of ASCII letters, digits and underscores.
+ASCII_EDGE = r"(?-i:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+
 
 def choice_labels(choices: Column) -> Column:
     """Labels of the choices; A, B, ... where there are fewer labels than texts."""
@@ -21,13 +24,14 @@ def choice_labels(choices: Column) -> Column:
     return F.when(F.size(choices["label"]) < n, made).otherwise(choices["label"])
 
 
-def stated_letter(text: Column, labels: Column) -> Column:
+def stated_letter(text: Column, labels: Column, ascii_words: bool = False) -> Column:
     """A choice's letter by the first of four patterns that names a valid label, or null. text: stripped."""
+    edge = ASCII_EDGE if ascii_words else r"\b"
     patterns = (
         rf"(?Ud)\A{S}*\(?([A-Fa-f])\)?{S}*\z",
         rf"(?Uid)\A{S}*\(?([A-F])\)?[).:\s\x1c-\x1f]+[^\s\x1c-\x1f]",
-        rf"(?Uid)(?:answer|option|choice){S}+(?:is{S}+)?[(\[]?([A-F])[)\]]?\b",
-        rf"(?Ud)\b([A-Fa-f]){S}*+\.?{S}*+\z",
+        rf"(?Uid)(?:answer|option|choice){S}+(?:is{S}+)?[(\[]?([A-F])[)\]]?{edge}",
+        rf"(?Ud){edge}([A-Fa-f]){S}*+\.?{S}*+\z",
     )
     letters = F.array(*[F.upper(F.regexp_extract(text, p, 1)) for p in patterns])  # '' where a pattern misses
     valid = F.transform(labels, lambda x: F.upper(x))
@@ -57,11 +61,12 @@ def closest_choice(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> I
         yield pd.Series([one(*x) for x in zip(answers, texts, labels)], dtype="object")
 
 
-def truth(answer: Column) -> Column:
+def truth(answer: Column, ascii_words: bool = False) -> Column:
     """Yes or No, or null."""
+    edge = ASCII_EDGE if ascii_words else r"\b"
     text = F.lower(strip(answer))
     words = F.create_map(*[F.lit(x) for pair in V.TRUTH_WORDS.items() for x in pair])
-    word = extract(text, rf"(?Uid)\b({'|'.join(V.TRUTH_WORDS)})\b")
+    word = extract(text, rf"(?Uid){edge}({'|'.join(V.TRUTH_WORDS)}){edge}")
     return F.coalesce(F.try_element_at(words, text), F.when(text.startswith("yes"), "Yes").when(text.startswith("no"), "No"), F.try_element_at(words, F.lower(word)))
 
 
@@ -75,8 +80,9 @@ def vote_text(raw: Column) -> Column:
     return blank_to_null(F.regexp_replace(F.rtrim(F.lower(strip(raw)), F.lit(".!?,;:")), rf"(?U){S}+", " "))
 
 
-def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzzy: bool = True, voting: bool = False) -> DataFrame:
+def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzzy: bool = True, voting: bool = False, ascii_words: bool = False) -> DataFrame:
     """Adds the normal form of an answer by question type, null for blank answers; with `voting`, open answers as they are counted.
+    ascii_words: a word ends before any letter beyond ASCII, as in the queries' SQL; else at the ends of Unicode's words.
 
     Steps are columns of their own, so that no pattern is evaluated twice. The likeness step runs in Python; rows that need it
     not reach it as nulls.
@@ -85,7 +91,7 @@ def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzz
     df = df.withColumn("_n_text", F.nullif(strip(F.col(raw)), F.lit("")))
     df = df.withColumn("_n_is", F.coalesce(is_choice, F.lit(False))).withColumn("_n_labels", F.when(F.col("_n_is"), choice_labels(F.col(choices))))
     text, labels = F.when(F.col("_n_is"), F.col("_n_text")), F.col("_n_labels")
-    df = df.withColumn("_n_letter", stated_letter(text, labels))
+    df = df.withColumn("_n_letter", stated_letter(text, labels, ascii_words))
     letter = F.col("_n_letter")
     steps = [letter]
     if fuzzy:
@@ -94,7 +100,7 @@ def with_normal(df: DataFrame, raw: str, kind: str, choices: str, out: str, fuzz
         steps.append(F.col("_n_close"))
     steps.append(F.when(letter.isNull(), sole_letter(text, labels)))
     open_form = vote_text(F.col("_n_text")) if voting else open_answer(F.col("_n_text"))
-    normal = F.when(F.col("_n_is"), F.coalesce(*steps)).when(F.col(kind) == V.TRUTH_TYPE, truth(F.col("_n_text"))).otherwise(open_form)
+    normal = F.when(F.col("_n_is"), F.coalesce(*steps)).when(F.col(kind) == V.TRUTH_TYPE, truth(F.col("_n_text"), ascii_words)).otherwise(open_form)
     return df.withColumn(out, normal).drop("_n_text", "_n_is", "_n_labels", "_n_letter", "_n_close")
 
 

@@ -78,7 +78,7 @@ def first_line(text: Column) -> Column:
     return blank_to_null(strip(F.substring_index(strip(text), "\n", 1)))
 
 
-def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy", kind: str = "type", choices: str = "choices", mode: str = "closed_book", fuzzy: bool = True) -> DataFrame:
+def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy", kind: str = "type", choices: str = "choices", mode: str = "closed_book", fuzzy: bool = True, ascii_words: bool = False) -> DataFrame:
     """Adds `parsed`, a struct of answer, answer_normalized, justification, rationale, key_reasoning, uncertainty,
     confidence, citations, parse_success, parse_errors, raw_response, refusal and think_block_removed.
 
@@ -100,7 +100,7 @@ def parse(df: DataFrame, raw: str = "raw_response", strategy: str = "strategy",
     df = df.withColumn("_found", blank_to_null(field["ANSWER"]))
     df = df.withColumn("_fallback", F.when(F.col("_there") & F.col("_found").isNull() & ~F.col("_refusal"), first_line(F.col("_text"))))
     df = df.withColumn("_answer", F.coalesce("_found", "_fallback"))
-    df = normalise.with_normal(df, "_answer", kind, choices, "_normal", fuzzy)
+    df = normalise.with_normal(df, "_answer", kind, choices, "_normal", fuzzy, ascii_words=ascii_words)
     found, refusal, normal, reply = F.col("_found"), F.col("_refusal"), F.col("_normal"), F.col("_answer")
     error = (
         F.when(~F.col("_there"), "empty_response")

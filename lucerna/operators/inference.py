@@ -137,19 +137,19 @@ def mocked(df: DataFrame, strategy: str, settings: dict) -> DataFrame:
     return df.withColumn("prompt_tokens", F.lit(MOCK_PROMPT_TOKENS).cast("long")).withColumn("samples", F.array_repeat(one, settings["n"]))
 
 
-def records(df: DataFrame, model: str, strategy: str, min_valid: int = V.QUORUM, fuzzy: bool = True, now: str | None = None) -> DataFrame:
+def records(df: DataFrame, model: str, strategy: str, min_valid: int = V.QUORUM, fuzzy: bool = True, now: str | None = None, ascii_words: bool = False) -> DataFrame:
     """Output records from questions with prompt, prompt_tokens and samples; repeated samples are voted on and the first one's
     parse stands for the record."""
     now = now or datetime.now(UTC).isoformat(timespec="seconds")
     base = df.withColumn("type", F.coalesce("type", F.lit("open-ended-qa"))).withColumn("gold_answer", prompts.gold()).withColumn("choices", prompts.choices_or_null())
     base = base.withColumn("strategy", F.lit(strategy)).withColumn("model", F.lit(model)).withColumn("timestamp", F.lit(now))
     first = base.withColumn("raw_response", F.coalesce(F.get("samples", F.lit(0))["text"], F.lit("")))
-    first = parsing.parse(first, fuzzy=fuzzy).withColumn("completion_tokens", F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["tokens"], F.lit(0))))
+    first = parsing.parse(first, fuzzy=fuzzy, ascii_words=ascii_words).withColumn("completion_tokens", F.aggregate("samples", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["tokens"], F.lit(0))))
     if strategy == "sc":
         each = base.select("question_id", "type", "choices", "strategy", F.posexplode("samples").alias("sample_ix", "s")).withColumn("raw_response", F.col("s.text"))
-        each = parsing.parse(each, fuzzy=fuzzy)
+        each = parsing.parse(each, fuzzy=fuzzy, ascii_words=ascii_words)
         sample = each.select("question_id", "sample_ix", "parsed")
-        voted = voting.votes(each.select("question_id", "type", "choices", "sample_ix", "parsed.answer", "parsed.answer_normalized", "parsed.parse_success", "parsed.refusal"), fuzzy=fuzzy)
+        voted = voting.votes(each.select("question_id", "type", "choices", "sample_ix", "parsed.answer", "parsed.answer_normalized", "parsed.parse_success", "parsed.refusal"), fuzzy=fuzzy, ascii_words=ascii_words)
         result = voting.majority(voted, ["question_id"], min_valid)
         per = sample.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("sample_ix", "parsed"))).alias("p")).select("question_id", F.transform("p", lambda x: x["parsed"]).alias("per_sample"))
         packed = result.join(per, "question_id").select("question_id", F.struct(*voting.RESULT, "per_sample").alias("sc_result"))

@@ -12,11 +12,11 @@ from ..functions.text import blank_to_null
 RESULT = ("final_answer", "final_answer_normalized", "vote_counts", "total_samples", "valid_samples", "votes", "sc_success", "agreement_ratio", "tie_broken")
 
 
-def votes(samples: DataFrame, kind: str = "type", choices: str = "choices", fuzzy: bool = True) -> DataFrame:
+def votes(samples: DataFrame, kind: str = "type", choices: str = "choices", fuzzy: bool = True, ascii_words: bool = False) -> DataFrame:
     """Adds `valid` (parsed and no refusal) and `vote`, null for samples that don't count."""
     valid = F.col("parse_success") & ~F.col("refusal")
     text = F.when(valid, F.coalesce(blank_to_null(F.col("answer_normalized")), F.col("answer")))
-    return normalise.with_normal(samples.withColumn("valid", valid).withColumn("_counted", text), "_counted", kind, choices, "vote", fuzzy, voting=True).drop("_counted")
+    return normalise.with_normal(samples.withColumn("valid", valid).withColumn("_counted", text), "_counted", kind, choices, "vote", fuzzy, voting=True, ascii_words=ascii_words).drop("_counted")
 
 
 def majority(voted: DataFrame, keys: list[str], min_valid: int = V.QUORUM) -> DataFrame:
