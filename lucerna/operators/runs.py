@@ -78,7 +78,7 @@ def run_cell(questions: DataFrame, config: dict, model: str, strategy: str, out:
 
     limit: None for all questions, else the first so many by id, none for 0. A record that an earlier run committed is never
     written again: resumption goes by key. A run that is killed leaves whole chunks; files hold `checkpoint_every` records at most, a chunk
-    about that many for each core.
+    about that many for each core, or a sixteenth of the run if that is more.
     """
     spark = questions.sparkSession
     name = strategy.lower()

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import stores
 
 LOG, STAGED = "_log", "_staged"
+#: Chunks of a run at most; each has a cost of its own (plans, jobs, the log), so their number must not grow with the run.
+CHUNKS = 16
 
 
 def manifests(spark: SparkSession, out: str) -> list[dict]:
@@ -61,8 +63,9 @@ def read(spark: SparkSession, out: str) -> DataFrame | None:
     return spark.read.option("basePath", out).text(files) if files else None
 
 
-def chunks(df: DataFrame, keys: list[str], every: int) -> tuple[DataFrame, int]:
-    """Adds _chunk, from 0, by the keys' hash: about `every` rows for each core in a chunk. The frame should be written or cheap."""
+def chunks(df: DataFrame, keys: list[str], every: int, most: int = CHUNKS) -> tuple[DataFrame, int]:
+    """Adds _chunk, from 0, by the keys' hash: about `every` rows for each core in a chunk, more where there would be over `most` chunks. The
+    frame should be written or cheap."""
     n = df.count()
-    count = -(-n // (every * df.sparkSession.sparkContext.defaultParallelism)) if n else 0
+    count = min(most, -(-n // (every * df.sparkSession.sparkContext.defaultParallelism))) if n else 0
     return df.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(max(1, count))).cast("int")), count

@@ -109,3 +109,10 @@ def test_chunks_by_hash(spark):
     df, count = commit_log.chunks(spark.range(1000).withColumnRenamed("id", "question_id"), ["question_id"], 10)
     assert count > 1 and df.agg(F.max("_chunk")).first()[0] == count - 1
     assert commit_log.chunks(spark.range(0), ["id"], 10)[1] == 0
+
+
+def test_chunks_dont_grow_in_number(spark):
+    """A chunk's own cost is paid sixteen times at most, however long the run, and no row is left out."""
+    df, count = commit_log.chunks(spark.range(5000).withColumnRenamed("id", "question_id"), ["question_id"], 1)
+    assert count == 16
+    assert df.count() == 5000 and {r._chunk for r in df.select("_chunk").distinct().collect()} == set(range(16))
