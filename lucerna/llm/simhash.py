@@ -46,6 +46,8 @@ SIMILAR_WORDS, SIMILAR = 5, 0.8
 #: Shingles with a hash below `COUNTED` come first in the order and are counted; those in `FREQUENT` rows or more, up to the `LISTED` most
 #: frequent, go behind them. Bits of the parities.
 COUNTED, FREQUENT, LISTED, PARITIES = 1 << 62, 64, 500_000, 512
+#: Pairs that a task remembers.
+SEEN = 500_000
 #: Shingles hashed before their bits are counted.
 COUNT_AT_ONCE = 1 << 15
 
@@ -87,12 +89,18 @@ def set_fingerprint(found: np.ndarray) -> int:
     return majority(found[k : k + COUNT_AT_ONCE] for k in range(0, len(found), COUNT_AT_ONCE))
 
 
-def parities(found: np.ndarray) -> np.ndarray:
+def parities(found: np.ndarray, places: int = PARITIES) -> np.ndarray:
     """Whether an odd number of hashes falls on each place, as longs. Two sets differ in at least as many hashes as parities."""
-    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    odd = np.bincount((found % np.uint64(places)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def wide_parities(found: np.ndarray) -> np.ndarray:
+    """Parities on a place for each hash at least (a power of two), so that they tell long sets apart too; folding both halves into one gives
+    those of half the places."""
+    return parities(found, max(PARITIES, 1 << (len(found) - 1).bit_length()) if len(found) else PARITIES)
+
+
 def prefix(found: np.ndarray, frequent: np.ndarray, level: np.ndarray, least: float = SIMILAR) -> tuple[np.ndarray, np.ndarray]:
     """The first n - ceil(least n) + 1 hashes of a set in the order: those below `COUNTED` that aren't frequent, and then frequent ones by
     level and all others. frequent: ascending."""
@@ -380,8 +388,11 @@ def _judged(pairs: DataFrame, classes: DataFrame, source: DataFrame, least: floa
             same = [similar(x, y) >= least for x, y in zip(raw(b.column(2)), raw(b.column(3)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}"))
+    size = F.least(F.size("wide_a"), F.size("wide_b"))  # sets of like size have as many places, or twice as many
+    xor = lambda x, y: x.bitwiseXOR(y)
+    fold = lambda x: F.when(F.size(x) == size, F.col(x)).otherwise(F.zip_with(F.slice(x, F.lit(1), size), F.slice(x, size + 1, size), xor))
+    differ = F.aggregate(F.zip_with(fold("wide_a"), fold("wide_b"), lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda x, y: x + y)
     both = F.col("n_a") + F.col("n_b")
     near = (F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-6) & (differ <= both * ((1 - least) / (1 + least)) + 1e-6)
     close = spool(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "close")
@@ -394,10 +405,19 @@ def _judged(pairs: DataFrame, classes: DataFrame, source: DataFrame, least: floa
     return linked
 
 
+def _telling(roots: DataFrame) -> DataFrame:
+    """(token, least): of the tokens with classes of several roots one for each set of classes, as tokens of one set give the same pairs. Sets are told
+    apart by their size and 128 bits of hashes. least: the smallest class. roots: (token, c, root), each once."""
+    mixed = [F.bit_xor(F.xxhash64("c", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    sets = roots.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k"), F.min("c").alias("least"), *mixed).where("lo < hi")
+    return sets.groupBy("k", "x0", "x1").agg(F.min("token").alias("token"), F.min("least").alias("least")).select("token", "least")
+
+
 def _across(rows: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (a, b) of classes of different roots that share a token and pass the bounds. rows: (token, c, root, n, bits).
+    """Pairs (a, b) of classes of different roots that share a token and pass the bounds. rows: (least, token, c, root, n, bits).
 
-    In each token's group the classes outside of its most frequent root meet all others, both dealt out in chunks.
+    In each token's group the classes outside of its most frequent root meet all others, both dealt out in chunks. Tokens
+    with one smallest class meet in one task, which gives a pair once for them.
     """
     sizes = rows.groupBy("token", "root").agg(F.count("*").alias("k")).groupBy("token")
     sizes = sizes.agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.max("k").alias("k_main"), F.count("*").alias("roots")).where("roots > 1")
@@ -405,10 +425,10 @@ def _across(rows: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
     dealt = rows.join(spool(sizes, "sizes"), "token").withColumn("mi", parts(F.col("k") - F.col("k_main"))).withColumn("mj", parts(F.col("k")))
     upto = lambda m: F.sequence(F.lit(0), m - 1)
     place = lambda m: F.pmod(F.xxhash64("c"), m).cast("int")
-    names = ["token", "i", "j", "side", "c", "root", "n", "bits"]
+    names = ["least", "token", "i", "j", "side", "c", "root", "n", "bits"]
     held = dealt.withColumn("i", F.explode(upto(F.col("mi")))).withColumn("j", place(F.col("mj"))).withColumn("side", F.lit(1)).select(*names)
     asking = dealt.where("root <> main").withColumn("j", F.explode(upto(F.col("mj")))).withColumn("i", place(F.col("mi"))).withColumn("side", F.lit(0)).select(*names)
-    key = ["token", "i", "j"]
+    key = ["least", "i", "j", "token"]
 
     def group(cols: list, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         side, c, root, n, bits = (x[lo:hi] for x in cols)
@@ -426,21 +446,30 @@ def _across(rows: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
 
     def run(batches):
         held: list[pa.RecordBatch] = []
+        seen: dict[tuple, set] = {}
 
         def done(table: pa.Table):
             keys = [table[x].to_numpy() for x in key]
             new = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
             cols = [*(table[x].to_numpy() for x in ("side", "c", "root", "n")), table["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)]
-            found = [group(cols, lo, hi) for lo, hi in zip([0, *new], [*new, table.num_rows])]
-            a, b = (np.concatenate(x) for x in zip(*found))
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+            out: list[tuple[int, int]] = []
+            for lo, hi in zip([0, *new], [*new, table.num_rows]):
+                at = tuple(int(k[lo]) for k in keys[:3])
+                if at not in seen or len(seen[at]) > SEEN:
+                    seen.clear()
+                known = seen.setdefault(at, set())
+                a, b = group(cols, lo, hi)
+                pairs = set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist())) - known
+                known |= pairs
+                out += pairs
+            a, b = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:  # the rows of one group may go on in the next batch
             if not batch.num_rows:
                 continue
             held.append(batch)
-            new = np.flatnonzero(np.any([(k := batch.column(x).to_numpy())[1:] != k[:-1] for x in range(3)], axis=0))
+            new = np.flatnonzero(np.any([(k := batch.column(x).to_numpy())[1:] != k[:-1] for x in key], axis=0))
             if len(new):
                 last = int(new[-1]) + 1
                 yield done(pa.Table.from_batches([*held[:-1], batch.slice(0, last)]))
@@ -448,7 +477,7 @@ def _across(rows: DataFrame, least: float, chunk: int = CHUNK) -> DataFrame:
         if held:
             yield done(pa.Table.from_batches(held))
 
-    together = held.unionByName(asking).repartition(*key).sortWithinPartitions(*key)
+    together = held.unionByName(asking).repartition(*key[:3]).sortWithinPartitions(*key)
     return together.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -474,13 +503,14 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             fp = np.array([set_fingerprint(f) for f in found], np.uint64).view(np.int64)
             first = [[x.view(np.int64) for x in prefix(f, *often.value, least)] for f in found]
             sizes = np.array([len(f) for f in found])
-            listed = [list_column(np.concatenate(x), np.array([len(y) for y in x]), pa.int64()) for x in zip(*first)]
-            columns = [b.column(0), b.column(2), pa.array(c), pa.array(sizes), pa.array(fp), list_column(np.concatenate([parities(f) for f in found]), np.full(len(found), PARITIES // 64), pa.int64()), *listed]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "c", "n", "fp", "bits", "rare", "late"])
+            odd = [[p(f) for f in found] for p in (parities, wide_parities)]
+            listed = [list_column(np.concatenate(x), np.array([len(y) for y in x]), pa.int64()) for x in (*odd, *zip(*first))]
+            columns = [b.column(0), b.column(2), pa.array(c), pa.array(sizes), pa.array(fp), *listed]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "key", "c", "n", "fp", "bits", "wide", "rare", "late"])
 
-    prints = spool(source.select("id", "text", "key").mapInArrow(scan, f"id {kind}, key bigint, c bigint, n bigint, fp bigint, bits array<bigint>, rare array<bigint>, late array<bigint>"), "prints")
+    prints = spool(source.select("id", "text", "key").mapInArrow(scan, f"id {kind}, key bigint, c bigint, n bigint, fp bigint, bits array<bigint>, wide array<bigint>, rare array<bigint>, late array<bigint>"), "prints")
     place = F.struct(F.col("id").isNull().alias("no"), "id", "key")
-    classes = spool(prints.groupBy("c").agg(F.min(place).alias("of"), *[F.any_value(x).alias(x) for x in ("n", "fp", "bits")]), "classes")
+    classes = spool(prints.groupBy("c").agg(F.min(place).alias("of"), *[F.any_value(x).alias(x) for x in ("n", "fp", "bits", "wide")]), "classes")
 
     # candidates: near fingerprints, and of each token's classes the smallest
     prints_of = spool(classes.groupBy("fp").agg(F.min("c").alias("lead")), "fps")
@@ -501,8 +531,8 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # what is left: classes of one token in different components
     roots = tokens.select("token", "c").join(stars.withColumnRenamed("node", "c"), "c", "left").select("token", "c", F.coalesce("root", "c").alias("root"))
-    open_ = roots.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-    rows = spool(roots.join(open_, "token").join(classes.select("c", "n", "bits"), "c").select("token", "c", "root", "n", "bits"), "open")
+    open_ = _telling(roots)
+    rows = spool(roots.join(open_, "token").join(classes.select("c", "n", "bits"), "c").select("least", "token", "c", "root", "n", "bits"), "open")
     more = _judged(_across(rows, least).join(pairs, ["a", "b"], "left_anti"), classes, source, least)
     of = stars.withColumnRenamed("node", "c")
     root_of = lambda x: of.select(F.col("c").alias(x), F.col("root").alias(f"root_{x}"))

@@ -250,3 +250,24 @@ def test_distinct_rows(spark, hard, empty):
     got = [tuple(r) for r in simhash.distinct_texts(spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")).collect()]
     assert sorted(map(str, {r[:2] for r in got})) == sorted(map(str, {(1, "some words here and there"), (1, "quite different words are in this row"), (None, "x"), (3, ""), (5, "again"), (None, "y")})) and len(got) == 6
     assert simhash.distinct_texts(empty).count() == 0 and simhash.distinct_texts(hard).columns == hard.columns
+
+
+def test_wide_parities_fold_and_tell_long_sets_apart():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 512, 513, 5000):
+        found = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        wide = simhash.wide_parities(found)
+        assert len(wide) * 64 >= max(512, len(found))
+        while len(wide) > 8:
+            wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+        assert (wide == simhash.parities(found)).all()
+    a, b = (np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64)) for _ in range(2))
+    apart = lambda f: int(np.bitwise_count((f(a) ^ f(b)).view(np.uint64)).sum())
+    assert apart(simhash.parities) <= 10000 / 9 < apart(simhash.wide_parities)
+
+
+def test_tokens_of_one_set_count_once(spark):
+    """Of twenty tokens with the same classes one is left, of those with other classes each; tokens of one root none."""
+    rows = [(t, c, c) for t in range(20) for c in (1, 2, 3)] + [(50, c, c) for c in (1, 2)] + [(60, c, 7) for c in (8, 9)]
+    got = simhash._telling(spark.createDataFrame(rows, "token long, c long, root long"))
+    assert sorted(map(tuple, got.collect())) == [(0, 1), (50, 1)]
