@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from . import stores
 _ESCAPE = re.compile(rb"\\.", re.DOTALL)
 _STEP = np.zeros(256, np.int64)
 _STEP[[ord(c) for c in "[{"]], _STEP[[ord(c) for c in "]}"]] = 1, -1
+#: Bytes that a worker looks at at once (a longer value comes whole), and objects that it shows at once.
+PIECE, SHOWN = 1 << 20, 256
 #: What may stand before an object of an array.
 _BETWEEN = b" \t\r\n,["
 
@@ -35,8 +38,8 @@ def _ranges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _by_range(batches) -> Iterator[tuple[tuple[str, int], bytes]]:
-    """(range, its next bytes), in order; what the file lacks behind its last brace gets one too."""
-    for b in batches:
+    """(range, its next bytes, about `PIECE` at most), in order; what the file lacks behind its last brace gets one too."""
+    for b in sliced(batches):
         files, starts, values = (c.to_pylist() for c in b.columns)
         at = 0
         for k in range(1, len(values) + 1):
@@ -45,6 +48,19 @@ def _by_range(batches) -> Iterator[tuple[tuple[str, int], bytes]]:
                 at = k
 
 
+def sliced(batches) -> Iterator[pa.RecordBatch]:
+    """Slices whose last column holds `PIECE` bytes at most; a longer value comes alone."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            yield b.slice(at, to - at)
+            at = to
+
+
 def _steps(data: bytes, quoted: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """For each byte whether it is outside of strings and its change of depth there, and whether the data ends inside a string."""
     signs = np.frombuffer(_ESCAPE.sub(b"__", data), np.uint8)
@@ -156,9 +172,10 @@ def write_array(df: DataFrame, path: str) -> None:
     folder = f"{path}-parts-{stores.uuid.uuid4().hex}"
 
     def shown(batches):
-        for b in batches:
-            rows = ["  " + json.dumps(json.loads(j), ensure_ascii=False, indent=2).replace("\n", "\n  ") + "," for j in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+        for whole in batches:
+            for b in (whole.slice(k, SHOWN) for k in range(0, whole.num_rows, SHOWN)):
+                rows = ["  " + json.dumps(json.loads(j), ensure_ascii=False, indent=2).replace("\n", "\n  ") + "," for j in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
 
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).mapInArrow(shown, "value string").write.text(folder)
     parts = [(p, n) for p, n in stores.listed(spark, folder) if n]

@@ -87,3 +87,14 @@ def test_names_are_taken_once(spark, tmp_path):
     stores.put(spark, str(tmp_path / "b"), "2")
     assert not stores.move(spark, str(tmp_path / "a"), str(tmp_path / "b")) and stores.move(spark, str(tmp_path / "a"), str(tmp_path / "d" / "c"))
     assert stores.listed(spark, str(tmp_path / "none")) == []
+
+
+def test_a_worker_looks_at_bounded_pieces():
+    """A large batch comes in pieces of a megabyte, in order and whole; a longer value alone."""
+    import pyarrow as pa
+
+    values = [bytes([97 + k % 26]) * (3 << 20 if k == 7 else 1000) for k in range(5000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 5000), pa.array([0] * 5000, pa.int64()), pa.array(values, pa.binary())], ["file", "start", "value"])
+    pieces = [p for _, p in J._by_range([batch.slice(0, 0), batch])]
+    assert b"".join(pieces) == b"".join(v + b"}" for v in values)
+    assert sorted(map(len, pieces))[-2] < (1 << 20) + 5000 and max(map(len, pieces)) == (3 << 20) + 1
