@@ -18,6 +18,7 @@ empty benchmark leaves all documents clean; other columns are ignored, whatever
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -192,31 +193,30 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, row bigint, n_words bigint, starts array<int>, ends array<int>, items array<string>"
+    out = f"doc_id {kind}, row bigint, n_words bigint, spans array<struct<start:int,end:int>>, n_hit bigint, items array<string>"
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("row"))
     blocks = blocks_of(benchmark, item_col, item_text_col, block_words)
     first = next(blocks, [])
     second = next(blocks, None)
-    clean = None
-    if second is not None:
-        marked = holding(source, benchmark, item_text_col, window, kind, hashes)
-        none = [F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>"))]
-        clean = marked.where("text is null").select("doc_id", "row", "n_words", *none)
-        source = marked.where("text is not null").select("doc_id", "text", "row")
-    parts = [_block(source, block, window, size, schema, kind) for block in (first, *([second] if second is not None else []), *blocks)]
-    merged = parts[0]
-    if len(parts) > 1:  # several blocks: a document's hits meet by its id and its text's hash; repeated rows stay as many
-        for p in parts[1:]:
-            merged = merged.union(p)
-        lists = [F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("spans_", "items")]
-        merged = merged.withColumn("spans_", F.arrays_zip("starts", "ends")).groupBy("doc_id", "row", "n_words").agg(*lists, F.count("*").alias("n"))
-        merged = merged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int"))))
-        merged = merged.select("doc_id", "row", "n_words", F.col("spans_.starts").alias("starts"), F.col("spans_.ends").alias("ends"), "items")
-    if clean is not None:
-        merged = merged.unionByName(clean)
-    return merged.mapInArrow(_merge, f"doc_id {kind}, row bigint, n_words bigint, spans array<struct<start:int,end:int>>, n_hit bigint, items array<string>")
-
-
-def _block(source: DataFrame, items: list, window: int, size: int, schema: str, kind: str) -> DataFrame:
+    if second is None:  # merged where it is verified: of two steps in a row each task would hold two Python workers
+        return _block(source, first, window, size, out, kind, _merge)
+    marked = holding(source, benchmark, item_text_col, window, kind, hashes)
+    none = [F.array().cast(t).alias(c) for c, t in (("starts", "array<int>"), ("ends", "array<int>"), ("items", "array<string>"))]
+    clean = marked.where("text is null").select("doc_id", "row", "n_words", *none)
+    source = marked.where("text is not null").select("doc_id", "text", "row")
+    parts = [_block(source, block, window, size, schema, kind) for block in (first, second, *blocks)]
+    merged = parts[0]  # a document's hits meet by its id and its text's hash; repeated rows stay as many
+    for p in parts[1:]:
+        merged = merged.union(p)
+    lists = [F.array_distinct(F.flatten(F.collect_set(c))).alias(c) for c in ("spans_", "items")]
+    merged = merged.withColumn("spans_", F.arrays_zip("starts", "ends")).groupBy("doc_id", "row", "n_words").agg(*lists, F.count("*").alias("n"))
+    merged = merged.withColumn("copy", F.explode(F.array_repeat(F.lit(0), (F.col("n") / len(parts)).cast("int"))))
+    merged = merged.select("doc_id", "row", "n_words", F.col("spans_.starts").alias("starts"), F.col("spans_.ends").alias("ends"), "items")
+    return merged.unionByName(clean).mapInArrow(_merge, out)
+
+
+def _block(source: DataFrame, items: list, window: int, size: int, schema: str, kind: str, then: Callable = iter) -> DataFrame:
+    """The hits of a block's windows, one row for each of the source's; `then` goes over the batches in the same task."""
     spark = source.sparkSession
     table, windows, depths = benchmark_windows(items, window, size)
     used = np.zeros(table.count + 1, bool)
@@ -285,7 +285,7 @@ def _block(source: DataFrame, items: list, window: int, size: int, schema: str,
                 names.append(sorted(got))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], ["doc_id", "row", "n_words", "starts", "ends", "items"])
 
-    return matches.mapInArrow(verify, schema)
+    return matches.mapInArrow(lambda batches: then(verify(batches)), schema)
 
 
 def _merge(batches):

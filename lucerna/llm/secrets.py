@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, raw, short_batches, sliced
 
-LANE = 1024
+LANE = 256
 #: How often wrong lanes are corrected together, and below how many they aren't; bytes of a pass, whose last state the next one takes over.
-TOGETHER, FEW_LANES, PASS = 4, 32, 1 << 21
+TOGETHER, FEW_LANES, PASS = 4, 32, 1 << 19
 EDGE = 0xFF  # between texts; never part of UTF-8, and in no rule
 
 

@@ -75,3 +75,10 @@ def test_hard_texts(spark, hard, empty):
     assert d.report(d.decontaminate(empty, bench)).count() == 0
     none = bench.limit(0)
     assert d.report(d.decontaminate(hard, none)).where("n_hit > 0").count() == 0
+
+
+def test_one_worker_a_task(spark):
+    """Steps in a row each hold a Python worker of their own for every task."""
+    docs, items = corpus(3)
+    found = d.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
