@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from typing import Protocol
 
 from pyspark.resource import ResourceProfile
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing
@@ -94,17 +94,20 @@ def held(factory: Callable[[], Backend]) -> Backend:
     return _held[key]
 
 
-def generated(df: DataFrame, factory: Callable[[], Backend], settings: dict, batch: int | None = None, profile: ResourceProfile | None = None) -> DataFrame:
+def generated(df: DataFrame, factory: Callable[[], Backend], settings: dict, batch: int | None = None, profile: ResourceProfile | None = None, prompt: Column | None = None) -> DataFrame:
     """Adds `prompt_tokens` and `samples` (array<struct<text, tokens>>) by a backend, batch by batch.
 
     batch: prompts in a batch at most; prompts are then dealt out by ranges of their length and sorted, so that a batch holds prompts of like
     length and no padding is wasted. profile: what a task of this stage needs (an accelerator, memory), on clusters that give
-    resources by stage; the stages around it run on what they had.
+    resources by stage; the stages around it run on what they had. prompt: the prompts, where the frame doesn't hold them; they
+    are then made after the rows are dealt out, so that texts that prompts repeat are shuffled once.
     """
+    if batch:
+        df = df.withColumn("_length", F.length("prompt" if prompt is None else prompt)).repartitionByRange("_length").sortWithinPartitions("_length").drop("_length")
+    if prompt is not None:
+        df = df.withColumn("prompt", prompt)
     names = df.columns
     at = names.index("prompt")
-    if batch:
-        df = df.repartitionByRange(F.length("prompt")).sortWithinPartitions(F.length("prompt"))
 
     def run(batches: Iterator):
         import pyarrow as pa

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..sources import commit_log, json_files, settings
+from ..sources import commit_log, json_files, settings, stores
 from . import inference, prompts
 
 #: Assumptions of the time estimate: tokens a second, output tokens a question.
@@ -78,7 +78,8 @@ def run_cell(questions: DataFrame, config: dict, model: str, strategy: str, out:
 
     limit: None for all questions, else the first so many by id, none for 0. A record that an earlier run committed is never
     written again: resumption goes by key. A run that is killed leaves whole chunks; files hold `checkpoint_every` records at most, a chunk
-    about that many for each core, or a sixteenth of the run if that is more.
+    about that many for each core, or a sixteenth of the run if that is more. Records repeat their question in the prompt, so files are
+    compressed (`compression` of the settings, gzip without one), and what is left goes from the work folder with each chunk.
     """
     spark = questions.sparkSession
     name = strategy.lower()
@@ -88,20 +89,27 @@ def run_cell(questions: DataFrame, config: dict, model: str, strategy: str, out:
     total = chosen.count()
     done = read_done(spark, out).where((F.col("model") == model) & (F.col("strategy") == name))
     every = config.get("inference", {}).get("checkpoint_every", V.CHECKPOINT_EVERY)
-    left, chunks = commit_log.chunks(missing(chosen, done, ["question_id"]), ["question_id"], every)
-    spooled = f"{json_files.work_folder(spark, 'left')}"
+    left = chosen if done.isEmpty() else missing(chosen, done, ["question_id"])
+    left, chunks = commit_log.chunks(left, ["question_id"], every)
+    spooled = json_files.work_folder(spark, "left")
     if chunks:
-        left.write.partitionBy("_chunk").parquet(spooled)
+        with stores.brief_shuffles(spark):
+            left.write.option("compression", "zstd").partitionBy("_chunk").parquet(spooled)
         left = spark.read.schema(left.schema).parquet(spooled)
     n = left.count() if chunks else 0
     summary = {"model": model, "strategy": name, "total": total, "processed": n, "skipped": total - n, "parse_rate": 0.0, "duration_s": 0.0, "status": "skipped" if total and not n else "complete"}
     params = inference.sampling(name, config.get("inference", {}))
     run = uuid.uuid4().hex
-    for k in range(chunks):
-        asked = left.where(F.col("_chunk") == k).drop("_chunk").withColumn("prompt", prompts.prompt(F.col("question"), name, prompts.choices_or_null(), folder=folder))
-        answered = inference.mocked(asked, name, params) if factory is None else inference.generated(asked, factory, params, config.get("inference", {}).get("batch_size"))
-        made = inference.records(answered, model, name, config.get("inference", {}).get("sc_min_valid", V.QUORUM))
-        commit_log.append(made, out, f"{run}-{k}", every)
+    prompt = prompts.prompt(F.col("question"), name, prompts.choices_or_null(), folder=folder)
+    try:
+        for k in range(chunks):
+            asked = left.where(F.col("_chunk") == k).drop("_chunk")
+            answered = inference.mocked(asked.withColumn("prompt", prompt), name, params) if factory is None else inference.generated(asked, factory, params, config.get("inference", {}).get("batch_size"), prompt=prompt)
+            made = inference.records(answered, model, name, config.get("inference", {}).get("sc_min_valid", V.QUORUM))
+            commit_log.append(made, out, f"{run}-{k}", every, compression=config.get("inference", {}).get("compression", "gzip"))
+            stores.remove(spark, f"{spooled}/_chunk={k}")
+    finally:
+        stores.remove(spark, spooled)
     now = read_done(spark, out).where((F.col("model") == model) & (F.col("strategy") == name)).dropDuplicates(["question_id"])
     rate = parse_rates(now).first()
     return summary | {"parse_rate": rate.parse_rate if rate else 0.0, "duration_s": round(time.time() - began, 3)}

@@ -31,14 +31,16 @@ def manifests(spark: SparkSession, out: str) -> list[dict]:
     return sorted((json.loads(r.value) for r in rows), key=lambda m: m["version"])
 
 
-def append(df: DataFrame, out: str, chunk: str, every: int, by: tuple[str, ...] = ("model", "strategy")) -> bool:
-    """Commits a chunk of JSON lines under its name; False if the log has it already. Nulls are kept."""
+def append(df: DataFrame, out: str, chunk: str, every: int, by: tuple[str, ...] = ("model", "strategy"), compression: str = "none") -> bool:
+    """Commits a chunk of JSON lines under its name; False if the log has it already. Nulls are kept. compression: a codec of Spark's text
+    files; readers know it by the files' names."""
     spark = df.sparkSession
     log = manifests(spark, out)
     if any(m["chunk"] == chunk for m in log):
         return False
     staged = f"{out}/{STAGED}/{uuid.uuid4().hex}"
-    df.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", every).partitionBy(*by).json(staged)
+    with stores.brief_shuffles(spark):
+        df.write.option("ignoreNullFields", "false").option("maxRecordsPerFile", every).option("compression", compression).partitionBy(*by).json(staged)
     top = str(stores.place(spark, staged)[0].makeQualified(stores.place(spark, staged)[1]).toString())
     names = [p[len(top) + 1 :] for p, n in stores.listed(spark, staged, below=True) if n]
     for name in names:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import UnsupportedOperationException
 from pyspark.sql import SparkSession
@@ -66,6 +68,19 @@ def move(spark: SparkSession, source: str, target: str) -> bool:
 def remove(spark: SparkSession, path: str) -> None:
     files, target = place(spark, path)
     files.delete(target, True)
+    files.cancelDeleteOnExit(target)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write inside go when the write ends, not when the driver's JVM happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def joined(spark: SparkSession, parts: list[tuple[str, int]], path: str, head: str, tail: str, cut: int) -> None:

@@ -1,12 +1,14 @@
 import json
+import os
+import time
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lucerna.operators import inference, runs
+from lucerna.operators import inference, prompts, runs
 from lucerna.plans.derived import questions
-from lucerna.sources import commit_log, stores
+from lucerna.sources import commit_log, json_files, stores
 
 CONFIG = {"models": {"m": {}}, "strategies": ["da"], "inference": {"checkpoint_every": 3}}
 SF = "/root/testdata/sf0.001"
@@ -116,3 +118,57 @@ def test_chunks_dont_grow_in_number(spark):
     df, count = commit_log.chunks(spark.range(5000).withColumnRenamed("id", "question_id"), ["question_id"], 1)
     assert count == 16
     assert df.count() == 5000 and {r._chunk for r in df.select("_chunk").distinct().collect()} == set(range(16))
+
+
+def test_a_run_takes_little_disk(spark, tmp_path, monkeypatch):
+    """A record holds its question twice, but its files are smaller than the questions; a chunk goes from the work folder when it is
+    committed, and nothing stays there; a killed run leaves nothing there either."""
+    q, out, left, seen = questions(spark, SF), str(tmp_path / "o"), tmp_path / "left", []
+    monkeypatch.setattr(json_files, "work_folder", lambda *_: str(left))
+    real = commit_log.append
+
+    def append(df, *args, **kw):
+        seen.append({p.name for p in left.iterdir() if p.is_dir()})
+        return real(df, *args, **kw)
+
+    monkeypatch.setattr(commit_log, "append", append)
+    scripted = inference.Scripted.of(["ANSWER: B\nJUSTIFICATION: x"])
+    done = runs.run_cell(q, {"inference": {"checkpoint_every": 10, "batch_size": 8}}, "m", "da", out, factory=scripted)
+    assert len(seen) > 2 and all(len(a) == len(b) + 1 for a, b in zip(seen, seen[1:])) and not left.exists()
+    texts = q.agg(F.sum(F.octet_length("question"))).first()[0]
+    got = [json.loads(r.value) for r in commit_log.read(spark, out).collect()]
+    assert sum((tmp_path / "o" / f).stat().st_size for m in commit_log.manifests(spark, out) for f in m["files"]) < texts < sum(len(r["question"]) + len(r["prompt"]) for r in got) / 2
+    assert done["processed"] == q.count() and {(r["question_id"], r["question"]) for r in got} == {(r.question_id, r.question) for r in q.collect()}
+    with pytest.raises(PySparkException):
+        runs.run_cell(q, CONFIG, "m", "ras", out, factory=lambda: Lost(()))
+    assert not left.exists()
+    runs.run_cell(q, {"inference": {"compression": "none"}}, "m", "ras", out)
+    assert all(f.endswith(".json") for f in commit_log.manifests(spark, out)[-1]["files"])
+
+
+def test_shuffles_go_with_their_write(spark, tmp_path):
+    """Shuffle files of a chunk don't wait for the garbage collector, and the session's own setting stays."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: map(str, spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()))
+    held = lambda: {f for f in files() if "shuffle_" in f and os.path.exists(f) and os.path.getsize(f) > 1000}  # noqa: E731 (counts leave less)
+    was, before = spark.conf.get(key), held()
+    df = lines(spark, range(2000)).repartitionByRange(3, "question_id")
+    assert commit_log.append(df, str(tmp_path / "o"), "a", 1000)
+    ended = time.time() + 10
+    while held() - before and time.time() < ended:
+        time.sleep(0.2)
+    assert not held() - before and spark.conf.get(key) == was
+
+
+def test_prompts_are_made_after_the_shuffle(spark):
+    """The same records in batches of like length, with the texts in the exchange once."""
+    q = questions(spark, SF)
+    made = prompts.prompt(F.col("question"), "da", prompts.choices_or_null())
+    scripted, params = inference.Scripted.of(["a", "b", "c"]), inference.sampling("da", {})
+    before = inference.generated(q.withColumn("prompt", made), scripted, params, 8)
+    after = inference.generated(q, scripted, params, 8, prompt=made)
+    row = lambda df: sorted(map(str, df.select(*sorted(before.columns)).collect()))
+    assert row(before) == row(after)
+    plan = after._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS prompt#" in plan[: plan.index("RepartitionByExpression")] and "AS prompt#" not in plan[plan.index("RepartitionByExpression") :]
